@@ -189,7 +189,7 @@ def players_with_stats(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(done, "c_custkey", "left_semi")
 
 
-@query(f"WITH {B.SCORE_SQL} SELECT * EXCLUDE ("at") FROM score")
+@query(f'WITH {B.SCORE_SQL} SELECT * EXCLUDE ("at") FROM score')
 def scoreline(spark, sf):
     return B.scorelines(spark, sf).drop("at")
 
@@ -214,7 +214,7 @@ def running_form(spark, sf):
     return form.select("match_id", "season", "team", "prior", *[f"mean_{c}" for c in names])
 
 
-@query(f"WITH {B.FIXTURE_SQL} SELECT match_id, season, row_number() OVER (PARTITION BY season ORDER BY "at", match_id) - 1 >= floor(count(*) OVER (PARTITION BY season) * 0.7::DOUBLE) AS is_test FROM fixture")
+@query(f'WITH {B.FIXTURE_SQL} SELECT match_id, season, row_number() OVER (PARTITION BY season ORDER BY "at", match_id) - 1 >= floor(count(*) OVER (PARTITION BY season) * 0.7::DOUBLE) AS is_test FROM fixture')
 def time_split(spark, sf):
     return W.time_split(B.fixtures(spark, sf), ["season"], ["at", "match_id"]).select("match_id", "season", "is_test")
 
@@ -334,10 +334,11 @@ def _first_sql(rules):
 
 @query("WITH asked AS (SELECT question, strip_accents(lower(question)) AS q FROM (VALUES " + ", ".join(f"('{x}')" for x in _ASKED) + f""") AS t(question))
 SELECT question, {_first_sql(Q.FOOT_WORDS)} AS foot, {_first_sql(Q.GROUP_WORDS)} AS position_group,
-  try_cast(nullif(regexp_extract(q, '{Q.OLDEST}', 1), '') AS INTEGER) AS max_age, try_cast(nullif(regexp_extract(q, '{Q.YOUNGEST}', 1), '') AS INTEGER) AS min_age FROM asked""")
+  coalesce(try_cast(nullif(regexp_extract(q, '{Q.OLDEST}', 1), '') AS INTEGER), -1) AS max_age, coalesce(try_cast(nullif(regexp_extract(q, '{Q.YOUNGEST}', 1), '') AS INTEGER), -1) AS min_age FROM asked""")
 def constraint_parse(spark, sf):
     asked = spark.createDataFrame([(x,) for x in _ASKED], "question string")
-    return asked.select("question", *[c.alias(n) for n, c in Q.parse_constraints("question").items()])
+    found = Q.parse_constraints("question")
+    return asked.select("question", *[(F.coalesce(c, F.lit(-1)) if n.endswith("age") else c).alias(n) for n, c in found.items()])
 
 
 @query("SELECT event_type, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k, count(*) AS n FROM events GROUP BY event_type")
