@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from tallyspark.llm.common import Scratch, documents, text_of
 
 ORDER = 5
-PART, FREQUENT = 8_000_000, 1_000_000
+PART, FREQUENT = 4_000_000, 1_000_000
 #: Bytes of text counted or scored together.
-COUNT_BYTES, SCORE_BYTES = 16_000_000, 4_000_000
+COUNT_BYTES, SCORE_BYTES = 4_000_000, 1_000_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END_WORD = 0
 GRAM_ROW, WORD_ROW = 0, 1
@@ -162,6 +162,7 @@ class Model:
         at = np.searchsorted(contexts, keys >> 8)
         self.top = np.log10(n / (total[at] + kinds[at])) if len(keys) else np.empty(0)
         self.table = Table(keys)
+        levels[ORDER] = ((keys, None), levels[ORDER][1])  # a byte that the longest context knows is found in the table
 
     def score(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last byte after the others; 0 for grams of other parts."""
@@ -179,11 +180,14 @@ class Model:
             own = grams[todo] & ((1 << 8 * (order + 1)) - 1)
             at = np.minimum(np.searchsorted(contexts, own >> 8), len(contexts) - 1)
             seen = contexts[at] == own >> 8 if len(contexts) else np.zeros(len(own), bool)
-            gram_at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            coded = keys[gram_at] == own if len(keys) else seen
+            if order == ORDER or not len(keys):
+                coded, known = np.zeros(len(own), bool), np.ones(len(own), np.int64)
+            else:
+                gram_at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                coded, known = keys[gram_at] == own, n[gram_at]
             left, kinds_left = np.where(seen, total[at] - weigh, 0), np.where(seen, kinds[at] - excluded, 0)
             whole = np.maximum(left + kinds_left, 1)
-            out[todo] += np.where(coded, np.log10(np.maximum(n[gram_at], 1) / whole), np.where(kinds_left > 0, np.log10(np.maximum(kinds_left, 1) / whole), 0))
+            out[todo] += np.where(coded, np.log10(known / whole), np.where(kinds_left > 0, np.log10(np.maximum(kinds_left, 1) / whole), 0))
             weigh, excluded = np.where(seen, weighs[at], 0), np.where(seen, kinds[at], 0)
             todo, weigh, excluded = todo[~coded], weigh[~coded], excluded[~coded]
         out[todo] -= np.log10(256 - excluded)
