@@ -120,7 +120,7 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column, id_col="doc_id", text
     leaf = F.struct(*_leaf(domain, lang_col, source_col))
     cut = cut.select(F.struct(*LEVELS).alias("__leaf"), "budget", "whole", "cutoff").select("__leaf", F.struct("budget", "whole", "cutoff").alias("__cut"))
     joined = docs.withColumn("__leaf", leaf).join(cut, "__leaf")
-    partial = key(mixture, F.col("__cut.whole"), F.col(id_col)) <= F.col("__cut.cutoff")
+    partial = (F.col("__cut.whole") < mixture.epochs) & (key(mixture, F.col("__cut.whole"), F.col(id_col)) <= F.col("__cut.cutoff"))
     copies = (F.col("__cut.whole") + F.when(partial, 1).otherwise(0)).cast("int")
     taken = joined.withColumn("__copies", copies).filter("__copies > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     return taken.select(*docs.columns, F.struct("__leaf.*", "__cut.budget", F.col("__epoch").alias("epoch")).alias("__mix"))
@@ -185,5 +185,5 @@ leaf AS (
          sum(n) OVER (PARTITION BY docs.domain, docs.lang, docs.source ORDER BY md5('42-' || whole || '-' || docs.doc_id)) AS upto
   FROM docs JOIN leaf ON leaf.domain = docs.domain AND leaf.lang = docs.lang AND leaf.source = docs.source
 )
-SELECT doc_id, unnest(range(0, whole + (upto <= rest)::BIGINT))::INTEGER AS epoch, domain, lang, source, budget AS leaf_budget FROM ordered
+SELECT doc_id, unnest(range(0, whole + (upto <= rest AND whole < 2)::BIGINT))::INTEGER AS epoch, domain, lang, source, budget AS leaf_budget FROM ordered
 """
