@@ -30,7 +30,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
-_MAIL_LIKE = re.compile(r"[^\x20\x09-\x0D@]+(?:@|\(at\)|\[at\])[^\x20\x09-\x0D@]+")
+# likewise inside a word: a word is tried once
+_MAIL_LIKE = re.compile(r"(?<![^\x20\x09-\x0D@])[^\x20\x09-\x0D@]+(?:@|\(at\)|\[at\])[^\x20\x09-\x0D@]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -50,7 +51,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             found.append((start, 0, m.end()))
             last = m.end()
     for m in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m.group().split(".")):
+        if all(len(part := p.lstrip("0")) <= 3 and int(part or 0) <= 255 for p in m.group().split(".")):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -68,7 +69,8 @@ def _context(text: str, start: int, end: int) -> list[str]:
     plain = lambda w: re.sub(r"[0-9]+", "0", w.lower())
     left = [plain(w) for w in _WORD.findall(text[max(0, start - 60) : start])][-2:]
     right = [plain(w) for w in _WORD.findall(text[end : end + 40])][:1]
-    return [f"{' '.join(left)} _"] * (len(left) == 2) + [f"{left[-1]} _ {right[0]}"] * bool(left and right)
+    found = [f"{' '.join(left)} _"] if len(left) == 2 else []
+    return [*found, f"{left[-1]} _ {right[0]}"] if left and right else found
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
