@@ -254,6 +254,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     words = counted.filter(F.col("kind") == WORD_ROW).select("key", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     models = _model_parts(trie(counted.filter(F.col("kind") == GRAM_ROW), scratch), spark)
+    end_n = (words.filter(F.col("key") == END_WORD).agg(F.sum("n")).first()[0] or 0) if tokens else 0
     least, *known = _frequent(words)
     frequent = spark.sparkContext.broadcast(tuple(known))
     whole = tokens + 0.1 * (distinct + 1)
@@ -267,7 +268,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         word_keys, word_counts = frequent.value
         at = np.minimum(np.searchsorted(word_keys, keys), len(word_keys) - 1)
         n = np.where(word_keys[at] == keys, word_counts[at], 0) if len(word_keys) else np.zeros(len(keys), np.int64)
-        end_n = int(word_counts[np.searchsorted(word_keys, END_WORD)]) if END_WORD in word_keys else 0
         codes = coded.indices.to_numpy()
         hit = n > 0
         text_no = np.repeat(np.arange(len(texts)), sizes)
