@@ -5,8 +5,8 @@ shortage goes to its siblings; only when all of them are full does it reach the
 from the root with the capacity of whole subtrees, and each level is one window over its nodes.
 
 Each leaf then takes a prefix of its documents in a seeded order: whole epochs first, and of the next epoch as many
-documents as fit. The prefix is found as one cutoff key per leaf, from a histogram over the key's leading digits and
-one bucket of documents; no leaf is ever sorted as a whole, so a source with a third of all rows costs what its rows
+documents as fit. The prefix is found as one cutoff key per leaf, from a histogram over the key's leading digits, read in
+two steps, and one bucket of documents; no leaf is ever sorted as a whole, so a source with a third of all rows costs what its rows
 cost. Only the cutoffs, a row per leaf, meet the documents again.
 """
 
@@ -78,6 +78,16 @@ def budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
     return out.drop("leaf_capacity")
 
 
+def _crossing(scratch: Scratch, buckets: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Per leaf, the largest key (cutoff) of the buckets that fit into rest after base, and the bucket in which rest
+    ends with the tokens before it (base). buckets: the levels, rest, bucket, n, last, base."""
+    upto = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = scratch.save(buckets.withColumn("upto", F.col("base") + F.sum("n").over(upto)), label)
+    full = summed.filter("upto <= rest").groupBy(*LEVELS).agg(F.max("last").alias("cutoff"))
+    crossed = summed.filter("upto > rest and upto - n <= rest").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("base"))).alias("b"))
+    return full, crossed.select(*LEVELS, "b.*")
+
+
 def cutoffs(docs: DataFrame, mixture: Mixture, domain: Column, id_col="doc_id", text_col="text", lang_col="lang", source_col="source") -> DataFrame:
     """domain, lang, source, tokens, budget, whole (epochs taken whole), cutoff (largest key of the next epoch that
     is taken, empty if none): a row per leaf."""
@@ -90,12 +100,13 @@ def cutoffs(docs: DataFrame, mixture: Mixture, domain: Column, id_col="doc_id",
     leaves = leaves.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
     keyed = counted.join(leaves.select(*LEVELS, "whole", "rest"), list(LEVELS)).withColumn("key", key(mixture, F.col("whole"), F.col("id")))
     keyed = scratch.save(keyed.select(*LEVELS, "rest", "key", F.substring("key", 1, mixture.digits).alias("bucket"), "n"), "keyed")
-    upto = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n").alias("n"), F.max("key").alias("last"))
-    buckets = scratch.save(buckets.withColumn("upto", F.sum("n").over(upto)), "buckets")
-    full = buckets.filter("upto <= rest").groupBy(*LEVELS).agg(F.max("last").alias("cutoff"))
-    crossed = buckets.filter("upto > rest and upto - n <= rest").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("base"))).alias("b"))
-    crossed = crossed.select(*LEVELS, "b.*")
+    buckets = scratch.save(keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n").alias("n"), F.max("key").alias("last")), "buckets")
+    half = F.substring("bucket", 1, max(1, mixture.digits // 2))
+    coarse = buckets.groupBy(*LEVELS, "rest", half.alias("bucket")).agg(F.sum("n").alias("n"), F.max("last").alias("last")).withColumn("base", F.lit(0).cast("long"))
+    full, crossed = _crossing(scratch, coarse, "coarse")
+    fine = buckets.withColumn("half", half).join(crossed.withColumnRenamed("bucket", "half"), [*LEVELS, "half"]).drop("half")
+    more, crossed = _crossing(scratch, fine, "fine")
+    full = full.unionByName(more)
     within = Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     partial = keyed.join(crossed, [*LEVELS, "bucket"]).withColumn("upto", F.col("base") + F.sum("n").over(within))
     partial = partial.filter("upto <= rest").groupBy(*LEVELS).agg(F.max("key").alias("cutoff"))
