@@ -25,6 +25,20 @@ def position_group(position: Column) -> Column:
     return out.otherwise("MID")
 
 
+#: Playing roles without sides, in order, the first that the lower-cased position holds wins.
+ROLE_RULES = (
+    ("goalkeeper", "Goalkeeper"), ("wing back", "Wing Back"), ("center back", "Centre Back"), ("back", "Full Back"), ("defensive midfield", "Defensive Midfield"),
+    ("attacking midfield", "Attacking Midfield"), ("center midfield", "Central Midfield"), ("midfield", "Wide Midfield"), ("wing", "Winger"), ("forward", "Centre Forward"), ("striker", "Centre Forward"),
+)
+
+
+def position_role(position: Column) -> Column:
+    out = F.when(position.isNull(), "Unknown")
+    for word, role in ROLE_RULES:
+        out = out.when(F.lower(position).contains(word), role)
+    return out.otherwise("Unknown")
+
+
 def peer_group(gender: Column, group: Column) -> Column:
     return F.concat_ws(":", F.upper(F.substring(F.coalesce(gender, F.lit("unknown")), 1, 1)), group)
 
@@ -49,7 +63,7 @@ def progress(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 def cell(x: Column, y: Column) -> Column:
     """Row-major cell of the grid, clamped at its edges."""
     at = lambda v, n: F.least(F.greatest((v / 10).cast("int"), F.lit(0)), F.lit(n - 1))
-    return at(x, COLUMNS) * ROWS + at(y, ROWS)
+    return at(y, ROWS) * COLUMNS + at(x, COLUMNS)
 
 
 def value_in_euros(raw: Column) -> Column:
@@ -64,12 +78,56 @@ def day_of(value: Column) -> Column:
 
 
 def ordinal(n: Column) -> Column:
-    suffix = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    suffix = F.when((n % 100).between(10, 20), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
     return F.concat(n.cast("string"), suffix)
 
 
 def label(column: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(column, "_per90$", ""), "_", " ")
+    name = F.regexp_replace(column, "_per90$", "")
+    return F.when(name == "xg", "xG").otherwise(F.regexp_replace(name, "_", " "))
+
+
+#: What shot outcomes and body parts are called, and the passes that restart play.
+SHOT_OUTCOMES = {
+    "Goal": "goal", "Saved": "saved", "Saved Off Target": "saved", "Saved to Post": "saved", "Blocked": "blocked",
+    "Off T": "off-target", "Wayward": "off-target", "Post": "hit-woodwork",
+}
+BODY_PARTS = {"Right Foot": "right-foot", "Left Foot": "left-foot", "Head": "head"}
+RESTARTS = ("Corner", "Free Kick", "Kick Off", "Goal Kick")
+
+
+def recoded(value: Column, names: dict[str, str], default: str = "other") -> Column:
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.get(F.map_values(F.map_filter(known, lambda k, _: k == value)), F.lit(0)), F.lit(default))
+
+
+def open_play_move(kind: Column, pass_type: Column, pass_outcome: Column, pass_end: Column, carry_end: Column) -> Column:
+    """Where an open-play pass or a carry ends and whether it gets there; null for everything else."""
+    passed = (kind == "Pass") & ~F.coalesce(pass_type.isin(*RESTARTS), F.lit(False))
+    return F.when(passed, F.struct(pass_end.alias("end"), pass_outcome.isNull().alias("completed"))).when(kind == "Carry", F.struct(carry_end.alias("end"), F.lit(True).alias("completed")))
+
+
+def last_sentence(text: Column) -> Column:
+    """The text up to its last full stop; the whole text where it has none."""
+    cut = F.regexp_extract(text, r"(?s)^(.+\.)", 1)
+    return F.when(cut == "", text).otherwise(F.regexp_replace(cut, r"^\s+|\s+$", ""))
+
+
+def first_json(text: Column) -> Column:
+    """From the first opening to the last closing brace; null without them."""
+    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(found != "", found)
+
+
+#: Words that name a gender.
+FEMALE = r"(?i)\b(female|women|woman|mulher|mulheres|jogadora|jogadoras|feminin[oa]s?)\b"
+MALE = r"(?i)\b(male|men|man|homem|homens|masculin[oa]s?)\b"
+
+
+def asked_gender(text: Column) -> Column:
+    """Null where neither or both are named."""
+    female, male = text.rlike(FEMALE), text.rlike(MALE)
+    return F.when(female & ~male, "female").when(male & ~female, "male")
 
 
 def folded(text: Column) -> Column:
@@ -126,3 +184,12 @@ def win_draw(home: Column, away: Column) -> tuple[Column, Column]:
 
 def poisson_grid(rate: Column, most: int = 10) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.exp(-rate) * F.pow(rate, k) / F.factorial(k))
+
+
+def outcome_probabilities(home: Column, away: Column, most: int = 10) -> Column:
+    """win, draw and lose of the first side from two scoring rates, over up to `most` goals each, adding up to 1."""
+    h, a = poisson_grid(home, most), poisson_grid(away, most)
+    win, draw = win_draw(h, a)
+    lose = win_draw(a, h)[0]
+    whole = win + draw + lose
+    return F.struct((win / whole).alias("win"), (draw / whole).alias("draw"), (lose / whole).alias("lose"))

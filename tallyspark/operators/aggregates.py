@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.operators.windows import first_by
+from tallyspark.sources.tables import column_or
 
 
 def rollup(rows: DataFrame, keys: list[str], sums: list[str], match: str) -> DataFrame:
@@ -20,29 +21,72 @@ def most_played(rows: DataFrame, keys: list[str], position: str, minutes: str) -
 
 
 def event_flags(events: DataFrame) -> DataFrame:
-    """Counting flags of one event; a pass without outcome is complete, only complete ones can be progressive."""
-    kind, done = F.col("type"), F.col("pass_outcome").isNull()
-    moved = lambda end, least: S.progress(F.get("location", F.lit(0)), F.get("location", F.lit(1)), F.get(end, F.lit(0)), F.get(end, F.lit(1))) >= least
+    """Counting flags of one event; a pass without outcome is complete, only complete ones can be progressive. Columns
+    that the feed leaves out count as null."""
+    at = lambda name: column_or(events, name, None)
+    kind, done = F.col("type"), at("pass_outcome").isNull()
     flag = lambda c: F.when(c, 1).otherwise(0)
+
+    def moved(end: str, least: float):
+        if "location" not in events.columns or end not in events.columns:
+            return F.lit(False)
+        x = lambda c, k: F.get(F.col(c), F.lit(k))
+        return S.progress(x("location", 0), x("location", 1), x(end, 0), x(end, 1)) >= least
+
+    single = {"shots": "Shot", "passes": "Pass", "dribbles": "Dribble", "carries": "Carry", "interceptions": "Interception", "blocks": "Block", "clearances": "Clearance", "ball_recoveries": "Ball Recovery", "pressures": "Pressure"}
     return events.withColumns(
-        {
-            "goals": flag((kind == "Shot") & (F.col("shot_outcome") == "Goal")),
-            "shots": flag(kind == "Shot"),
-            "xg": F.when(kind == "Shot", F.coalesce("shot_xg", F.lit(0.0))).otherwise(0.0),
-            "passes": flag(kind == "Pass"),
+        {name: flag(kind == value) for name, value in single.items()}
+        | {
+            "goals": flag((kind == "Shot") & (at("shot_outcome") == "Goal")),
+            "assists": flag(F.coalesce(at("pass_goal_assist").cast("boolean"), F.lit(False))),
+            "xg": F.when(kind == "Shot", F.coalesce(at("shot_xg").cast("double"), F.lit(0.0))).otherwise(0.0),
             "passes_completed": flag((kind == "Pass") & done),
             "progressive_passes": flag((kind == "Pass") & done & moved("pass_end", S.PASS_PROGRESS)),
-            "carries": flag(kind == "Carry"),
+            "dribbles_completed": flag((kind == "Dribble") & (at("dribble_outcome") == "Complete")),
             "progressive_carries": flag((kind == "Carry") & moved("carry_end", S.CARRY_PROGRESS)),
+            "tackles": flag((kind == "Duel") & (at("duel_type") == "Tackle")),
         }
     )
 
 
-def minutes_played(spells: DataFrame, match_end: DataFrame) -> DataFrame:
-    """player, minutes: starters from 0, others from their first action, to the earliest way off or the match's end."""
-    joined = spells.join(match_end, "match_id")
-    start = F.when(F.col("starter"), 0).otherwise(F.col("first_action"))
-    return joined.withColumn("minutes", F.greatest(F.lit(0), F.coalesce("off", "match_end") - start))
+#: What a player's events of a match add up to.
+COUNTED = [
+    "goals", "assists", "shots", "xg", "passes", "passes_completed", "progressive_passes", "dribbles", "dribbles_completed", "carries", "progressive_carries",
+    "tackles", "interceptions", "blocks", "clearances", "ball_recoveries", "pressures",
+]
+
+
+def match_minutes(events: DataFrame) -> DataFrame:
+    """match_id, player_id, minutes, position: from 0 for who is in the lineup, else from the first event, to the way
+    off (a red card before a substitution, the later of two) or the match's last minute. The position is the most
+    frequent one, of equals the first by name.
+
+    events: match_id, seq (order within the match), type, minute, player_id and, if there, position, card and lineup
+    (ids). Only a row per player and match is joined.
+    """
+    at = lambda name: column_or(events, name, None)
+    of = lambda c: F.max_by(F.when(c, F.col("minute")), F.when(c, F.col("seq")))
+    own = (
+        events.filter("player_id is not null")
+        .groupBy("match_id", "player_id")
+        .agg(
+            F.min("minute").alias("first"),
+            of(F.col("type") == "Substitution").alias("sub"),
+            of((F.col("type") == "Bad Behaviour") & (at("card") == "Red Card")).alias("red"),
+            F.mode(at("position").cast("string"), True).alias("position"),
+        )
+    )
+    out = own.join(events.groupBy("match_id").agg(F.max("minute").alias("end")), "match_id").withColumn("start", F.col("first"))
+    if "lineup" in events.columns:
+        starters = events.filter("type = 'Starting XI'").select("match_id", F.explode("lineup").alias("player_id")).distinct().withColumn("starts", F.lit(True))
+        out = out.join(starters, ["match_id", "player_id"], "left").withColumn("start", F.when(F.col("starts"), 0).otherwise(F.col("first")))
+    return out.select("match_id", "player_id", F.greatest(F.lit(0), F.coalesce("red", "sub", "end") - F.col("start")).alias("minutes"), "position")
+
+
+def match_totals(events: DataFrame) -> DataFrame:
+    """A row per match and player: minutes, position and the sums of COUNTED; events of nobody drop out."""
+    sums = event_flags(events).filter("player_id is not null").groupBy("match_id", "player_id").agg(*[F.sum(c).alias(c) for c in COUNTED])
+    return sums.join(match_minutes(events), ["match_id", "player_id"])
 
 
 def sides_of(matches: DataFrame) -> DataFrame:
@@ -71,24 +115,18 @@ def without_fragments(rows: DataFrame, coverage: DataFrame, threshold: float = 0
 
 
 def zone_features(grid: DataFrame, key: str) -> DataFrame:
-    """Weighted means, deviations and shares over a grid's cells (key, cell, n)."""
-    at = grid.withColumn("cx", F.floor(F.col("cell") / S.ROWS) * 10 + 5).withColumn("cy", F.col("cell") % S.ROWS * 10 + 5)
-    n = F.sum("n")
-    sums = at.groupBy(key).agg(
-        n.alias("actions"),
-        F.sum(F.col("n") * F.col("cx")).alias("sx"),
-        F.sum(F.col("n") * F.col("cx") * F.col("cx")).alias("sxx"),
-        F.sum(F.when(F.col("cx") >= 80, F.col("n")).otherwise(0)).alias("final"),
-        F.sum(F.when((F.col("cy") < 20) | (F.col("cy") >= 60), F.col("n")).otherwise(0)).alias("wide"),
-    )
-    mean = F.col("sx") / F.col("actions")
+    """Weighted means, deviations and shares over a grid's cells (key, cell, n); the sums are whole numbers."""
+    at = grid.withColumn("cx", F.col("cell") % S.COLUMNS * 10 + 5).withColumn("cy", F.floor(F.col("cell") / S.COLUMNS) * 10 + 5)
+    shares = {"final_third": "cx >= 80", "own_third": "cx < 40", "left_share": "cy < 26", "right_share": "cy > 54", "wide_share": "cy < 20 or cy >= 60"}
+    total = lambda *factors: F.sum(F.col("n") * factors[0] * factors[-1] if len(factors) > 1 else F.col("n") * factors[0])
+    moments = [x for c in ("cx", "cy") for x in (total(F.col(c)).alias(f"s_{c}"), total(F.col(c), F.col(c)).alias(f"ss_{c}"))]
+    inside = [F.sum(F.when(F.expr(test), F.col("n")).otherwise(0)).alias(name) for name, test in shares.items()]
+    sums = at.groupBy(key).agg(F.sum("n").alias("actions"), *moments, *inside)
+    n = F.col("actions")
+    mean = lambda c: F.col(f"s_{c}") / n
+    spread = lambda c: F.sqrt((F.col(f"ss_{c}") * n - F.col(f"s_{c}") * F.col(f"s_{c}")) / (n * n))
     return sums.filter("actions > 0").select(
-        key,
-        "actions",
-        mean.alias("mean_x"),
-        ((F.col("sxx") * F.col("actions") - F.col("sx") * F.col("sx")) / (F.col("actions") * F.col("actions"))).alias("var_x"),
-        (F.col("final") / F.col("actions")).alias("final_third"),
-        (F.col("wide") / F.col("actions")).alias("wide_share"),
+        key, "actions", mean("cx").alias("mean_x"), mean("cy").alias("mean_y"), spread("cx").alias("spread_x"), spread("cy").alias("spread_y"), *[(F.col(name) / n).alias(name) for name in shares]
     )
 
 

@@ -98,10 +98,19 @@ def match_names(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 #: What questions say, in order of precedence.
-FOOT_WORDS = (("left", r"\b(left[- ]footed|canhoto|esquerdino)\b"), ("right", r"\b(right[- ]footed|destro)\b"), ("both", r"\b(two[- ]footed|ambidestro)\b"))
-GROUP_WORDS = (("GK", r"\b(goalkeeper|keeper|guarda-redes)s?\b"), ("DEF", r"\b(defender|centre-back|defesa)s?\b"), ("MID", r"\b(midfielder|medio)s?\b"), ("FWD", r"\b(forward|striker|winger|avancado)s?\b"))
+FOOT_WORDS = (
+    ("left", r"\b(left[\s-]?footed|left foot|canhot[oa]|esquerdin[oa]|pe esquerdo)s?\b"),
+    ("right", r"\b(right[\s-]?footed|right foot|destr[oa]|pe direito)s?\b"),
+    ("both", r"\b(two[\s-]?footed|both feet|ambidextrous|ambidestr[oa]|ambidextr[oa])s?\b"),
+)
+GROUP_WORDS = (
+    ("GK", r"\b(goalkeeper|keeper|goalie|guarda[\s-]?redes|guardiao|goleiro)s?\b"),
+    ("DEF", r"\b(wing[\s-]?back|full[\s-]?back|centre[\s-]?back|center[\s-]?back|defender|defence|defense|defesa|defensor(?:es)?|centra(?:l|is)|latera(?:l|is)|ala)s?\b"),
+    ("MID", r"\b(midfield(?:er)?|playmaker|holding|regista|medio|meio[\s-]?campo|meia|trinco)s?\b"),
+    ("FWD", r"\b(winger|striker|forward|attacker|centre[\s-]?forward|extremo|ponta de lanca|avancad[oa]|atacante)s?\b"),
+)
 OLDEST, YOUNGEST = r"\b(?:under|below|menos de)\s+(\d{1,2})\b", r"\b(?:over|above|mais de)\s+(\d{1,2})\b"
-LEADERS = r"(^|[^a-z0-9])(most|best|top|highest|leads?|leaders?|mais|melhor(?:es)?)([^a-z0-9]|$)"
+LEADERS = r"\b(most|highest|lead|leads|leading|leader|leaders|top|more|mais|maior|maiores|lidera|lideram)\b"
 
 
 def parse_constraints(question: str) -> dict[str, Column]:

@@ -11,23 +11,10 @@ from tallyspark.operators import models as M
 from tallyspark.operators import search as Q
 from tallyspark.operators import windows as W
 from tallyspark.plans import bindings as B
+from tallyspark.plans.catalog import QUERIES, SQL, query  # noqa: F401
 from tallyspark.sources.tables import table
 from tallyspark.streaming import streams
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _seasons(spark, sf):
     return A.rollup(B.league(spark, sf), ["player", "season"], B.SUMS, "match_id")
 
@@ -243,7 +230,7 @@ def expected_table(spark, sf):
     return out.select("team", "played", "points", S.half_up(F.col("xpts"), 4).alias("xpts"))
 
 
-_CELL = "(least(greatest(trunc({x} / 10)::INTEGER, 0), 11) * 8 + least(greatest(trunc({y} / 10)::INTEGER, 0), 7))"
+_CELL = "(least(greatest(trunc({y} / 10)::INTEGER, 0), 7) * 12 + least(greatest(trunc({x} / 10)::INTEGER, 0), 11))"
 _AT, _NEXT = _CELL.format(x="x", y="y"), _CELL.format(x="next_x", y="next_y")
 
 
@@ -256,9 +243,11 @@ def pitch_grid(spark, sf):
     return _grid(spark, sf)
 
 
-@query(f"""WITH {B.ACTION_SQL}, g AS (SELECT player, {_AT} AS cell, count(*) AS n FROM action GROUP BY ALL), c AS (SELECT player, n, cell // 8 * 10 + 5 AS cx, cell % 8 * 10 + 5 AS cy FROM g),
-s AS (SELECT player, sum(n)::BIGINT AS actions, sum(n * cx)::BIGINT AS sx, sum(n * cx * cx)::BIGINT AS sxx, sum(CASE WHEN cx >= 80 THEN n ELSE 0 END)::BIGINT AS f, sum(CASE WHEN cy < 20 OR cy >= 60 THEN n ELSE 0 END)::BIGINT AS w FROM c GROUP BY player)
-SELECT player, actions, sx::DOUBLE / actions AS mean_x, (sxx * actions - sx * sx)::DOUBLE / (actions * actions) AS var_x, f::DOUBLE / actions AS final_third, w::DOUBLE / actions AS wide_share FROM s""")
+@query(f"""WITH {B.ACTION_SQL}, g AS (SELECT player, {_AT} AS cell, count(*) AS n FROM action GROUP BY ALL), c AS (SELECT player, n, cell % 12 * 10 + 5 AS cx, cell // 12 * 10 + 5 AS cy FROM g),
+s AS (SELECT player, sum(n)::BIGINT AS actions, sum(n * cx)::BIGINT AS sx, sum(n * cx * cx)::BIGINT AS sxx, sum(n * cy)::BIGINT AS sy, sum(n * cy * cy)::BIGINT AS syy,
+  sum(n) FILTER (cx >= 80) AS f, sum(n) FILTER (cx < 40) AS o, sum(n) FILTER (cy < 26) AS l, sum(n) FILTER (cy > 54) AS r, sum(n) FILTER (cy < 20 OR cy >= 60) AS w FROM c GROUP BY player)
+SELECT player, actions, sx::DOUBLE / actions AS mean_x, sy::DOUBLE / actions AS mean_y, sqrt((sxx * actions - sx * sx)::DOUBLE / (actions * actions)) AS spread_x, sqrt((syy * actions - sy * sy)::DOUBLE / (actions * actions)) AS spread_y,
+  coalesce(f, 0)::DOUBLE / actions AS final_third, coalesce(o, 0)::DOUBLE / actions AS own_third, coalesce(l, 0)::DOUBLE / actions AS left_share, coalesce(r, 0)::DOUBLE / actions AS right_share, coalesce(w, 0)::DOUBLE / actions AS wide_share FROM s""")
 def zone_features(spark, sf):
     return A.zone_features(_grid(spark, sf), "player")
 
