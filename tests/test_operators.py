@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import profiles as P
+from tallyspark.operators import search as Q
 from tallyspark.streaming import streams
 
 FOLDER = "/root/testdata/sf0.001"
@@ -56,6 +57,11 @@ def test_questions(spark):
     assert [one(spark, P.metrics_in(F.lit(q))) for q in asked] == list(asked.values())
 
 
+@pytest.mark.parametrize("question, leaders", [("who makes the most tackles", True), ("Quem faz MAIS cortes", True), ("a mostly calm defender", False), ("", False)])
+def test_leaders(spark, question, leaders):
+    assert one(spark, Q.asks_for_leaders(F.lit(question))) is leaders
+
+
 def test_mentioned(spark):
     names = spark.createDataFrame([("Ashley Young",), ("Ana Silva",), ("Rui Silva",), ("Joao Silva",), ("Eva Silva",), ("Kylian Mbappe",), (None,)], "name string")
     found = lambda q: sorted(r.name for r in P.mentioned(names, "name", q).collect())
