@@ -197,11 +197,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     return rows.join(named, "print").select("doc_id", "text_key", "print", "root", "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component, the one with the smallest id, with all its columns."""
+def one_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each root of groups (doc_id, text_key, root), the one with the smallest id, with all its columns."""
     key = lambda i, text: F.concat_ws(".", F.coalesce(i.cast("string"), F.lit("null")), text)
-    scratch = Scratch(docs.sparkSession, "simhash-kept")
-    groups = near_groups(docs, shingle, distance, id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "near-kept")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"), F.col("text_key").alias("t"))).alias("x"))
     kept = scratch.save(first.select(key(F.col("x.i"), F.col("x.t")).alias("__key")), "kept")
     keyed = docs.withColumn("__key", key(F.col(id_col), F.xxhash64(text_of(text_col))))
@@ -209,5 +208,10 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     return keyed.join(kept, "__key", "left_semi").withColumn("__one", one).filter("__one = 1").select(*docs.columns)
 
 
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component, the one with the smallest id, with all its columns."""
+    return one_each(docs, near_groups(docs, shingle, distance, id_col, text_col), id_col, text_col)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
