@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyspark.functions import names
 
 #: The goal's place on a 120 x 80 pitch, progress that counts, the grid.
 GOAL_X, GOAL_Y = 120.0, 40.0
@@ -130,10 +134,14 @@ def asked_gender(text: Column) -> Column:
     return F.when(female & ~male, "female").when(male & ~female, "male")
 
 
+@F.pandas_udf(T.StringType())
+def _fold(text: pd.Series) -> pd.Series:
+    return text.map(names.fold, na_action="ignore")
+
+
 def folded(text: Column) -> Column:
-    """Lower case without accents: canonical decomposition is left to the collation, so this keeps letters only where
-    the common accented ones are listed (fixed values)."""
-    return F.translate(F.lower(text), "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
+    """Lower case without accents: decomposed (NFKD), combining marks dropped; letters that decompose into nothing stay."""
+    return _fold(text)
 
 
 def words(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions import scalars as S
+from tallyspark.functions.names import fold
 from tallyspark.operators import windows as W
 from tallyspark.operators.search import centroid, shared_tokens
 
@@ -85,7 +86,7 @@ COMMON_WORDS = frozenset(
 def mentioned(names: DataFrame, name: str, question: str, most: int = 3) -> DataFrame:
     """Rows that a question names by a word of four letters or more which stands in at most `most` rows. Only rows
     that hold a word of the question reach the count, so nothing but those is shuffled."""
-    asked = sorted({w for w in re.findall("[a-z0-9]+", question.lower()) if len(w) >= 4} - COMMON_WORDS)
+    asked = sorted({w for w in re.findall("[a-z0-9]+", fold(question)) if len(w) >= 4} - COMMON_WORDS)
     wanted = F.array(*map(F.lit, asked)) if asked else F.array().cast("array<string>")
     hits = names.withColumn("__asked", F.array_intersect(F.array_distinct(S.words(F.col(name))), wanted)).filter(F.size("__asked") > 0)
     common = shared_tokens(hits.select(name), name, most).filter(F.col("token").isin(asked)).agg(F.collect_set("token").alias("__common"))  # at most the question's words
