@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import scalars as S
+from tallyspark.functions.names import weighted_ratio
 from tallyspark.operators.windows import first_by
 
 OPERATORS = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__, "eq": Column.__eq__}
@@ -83,18 +86,39 @@ def unique_lookup(left: DataFrame, right: DataFrame, key: str, value: str) -> Da
     return left.join(once, key, "left")
 
 
-def match_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_id, right_id: rows that name the same one: equal names, two words in common, or one that each side has in
-    a single row. left, right: id, name. Joined on words, so no pair without one is ever made; of several matches the
-    one with most words in common, then the smallest right_id."""
-    spread = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), S.folded(F.col("name")).alias(f"{side}_name"), F.explode(S.name_tokens(F.col("name"))).alias("token"))
-    a, b = spread(left, "left"), spread(right, "right")
-    once = lambda df: df.groupBy("token").agg(F.count("*").alias("n")).filter("n = 1").select("token")
-    alone = once(a).join(once(b), "token").withColumn("alone", F.lit(1))
-    useful = a.join(b, "token").join(alone, "token", "left")
-    pairs = useful.groupBy("left_id", "right_id", "left_name", "right_name").agg(F.count("*").alias("common"), F.max("alone").alias("alone"))
-    same = pairs.filter((F.col("left_name") == F.col("right_name")) | (F.col("common") >= 2) | (F.col("alone") == 1))
-    return first_by(same, ["left_id"], [F.desc("common"), F.col("right_id")]).select("left_id", "right_id", "common")
+@F.pandas_udf(T.DoubleType())
+def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([weighted_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def match_names(left: DataFrame, right: DataFrame, least: float = 90.0) -> DataFrame:
+    """left_id, right_id, common (words), score: rows that name the same one: equal names, or names of at least that
+    score with two words in common or one that each side has in a single row. left, right: id, name. The best score
+    wins, then the smallest right_id.
+
+    Each distinct name meets others once, on its words that both sides have: those in a single row of each, and all
+    but its commonest. Two names with two words in common share one that is not the commonest of either, so no pair is
+    missed and the commonest word of all names makes none.
+    """
+    named = lambda df: df.select("id", F.trim(S.folded(F.col("name"))).alias("name")).filter("name <> ''")
+    a, b = named(left), named(right)
+    held = lambda df, n: df.select(F.explode(S.name_tokens(F.col("name"))).alias("token")).groupBy("token").agg(F.count("*").alias(n))
+    both = held(a, "l").join(held(b, "r"), "token").select("token", (F.col("l") * F.col("r")).alias("weight"))
+    ids = b.groupBy("name").agg(F.min("id").alias("right_id"))
+
+    def keyed(df, side):
+        rows = df.select("name").distinct().select("name", S.name_tokens(F.col("name")).alias("words")).withColumn("token", F.explode("words")).join(both, "token")
+        place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("weight"), F.desc("token")))
+        kept = rows.withColumn("place", place).filter("place > 1 OR weight = 1")
+        return kept.select("token", (F.col("weight") == 1).alias(f"{side}_alone"), F.col("name").alias(f"{side}_name"), F.col("words").alias(f"{side}_words"))
+
+    common = F.size(F.array_intersect("left_words", "right_words"))
+    met = keyed(a, "left").join(keyed(b, "right"), "token").withColumn("common", common).filter("common >= 2 OR left_alone").select("left_name", "right_name", "common").distinct()
+    alike = met.filter("left_name <> right_name").withColumn("score", _likeness("left_name", "right_name")).filter(F.col("score") >= least)
+    equal = a.select("name").distinct().join(ids, "name").select(F.col("name").alias("left_name"), F.size(S.name_tokens(F.col("name"))).alias("common"), F.lit(100.0).alias("score"), "right_id")
+    found = alike.join(ids.withColumnRenamed("name", "right_name"), "right_name").select("left_name", "common", "score", "right_id").unionByName(equal)
+    best = first_by(found, ["left_name"], [F.desc("score"), F.col("right_id")])
+    return a.select(F.col("id").alias("left_id"), F.col("name").alias("left_name")).join(best, "left_name").select("left_id", "right_id", "common", "score")
 
 
 #: What questions say, in order of precedence.
