@@ -2,14 +2,19 @@
 
 Every window of WINDOW words picks the smallest of its GRAM-word hashes as its anchor; neighbouring windows that pick
 the same one make a block, named by the anchor and by the windows it begins and ends with. The cut is made by content
-alone, so a passage is cut alike wherever it stands, and the blocks of all documents are the reference. A document is
-parsed left to right: blocks that the index holds elsewhere extend the current factor, however many there are. Where a
-factor ends, a block shares its anchor with the index but not all of its windows: these are checked one by one. What
-factors of WINDOW words and more cover is duplicate.
+alone, so a passage is cut alike wherever it stands, and the blocks of all documents are the reference. The index keeps
+the first and the last place of every block.
+
+A document is parsed left to right over its blocks. At each one the parse tries the places that the index has for it
+elsewhere, follows each as long as the next block stands at the next place, and takes the longest run as a factor
+(first and last word, the place it is copied from). A block that the index holds nowhere else is a literal and ends
+the factor. Where a factor ends, a block may share its anchor with the index but not all of its windows: these are
+checked one by one, and what they cover is joined to the factor. Factors of WINDOW words and more are duplicate spans.
 
 A block costs one index entry, some 25 words' worth, not one per window. Entries are counted before they travel; of
 equal blocks one stands for all at the boundary check, so a passage that a third of all documents hold costs its rows
-and no pairs. Texts travel once, and those that lose words a second time.
+and no pairs. Texts travel once, and those that lose words a second time. Words, windows and blocks are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,8 +24,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,103 +109,142 @@ def _digest(words: list[bytes]) -> str:
 
 
 _BLOCK = [("anchor", pa.int64()), ("block", pa.int64()), ("first", pa.int32()), ("count", pa.int32())]
-_ROWS = "rid string, n_words bigint, sha string, blocks array<struct<anchor:bigint,block:bigint,first:int,count:int>>"
+_ROWS = "row bigint, rid string, n_words bigint, sha string, blocks array<struct<anchor:bigint,block:bigint,first:int,count:int>>"
+#: Places that a task may give to its blocks.
+PLACES = 1 << 40
 
 
 def _indexed(batches):
+    """row is the place of a document's first block; one place is left free between documents, so no run of places
+    leads from one into the next."""
+    place = TaskContext.get().partitionId() * PLACES
     for batch in batches:
-        rids, counts, digests, sizes, found = batch.column("rid"), [], [], [0], []
+        rows, counts, digests, sizes, found = [], [], [], [0], []
         for t in batch.column("text"):
             words = t.as_py().split()
             counts.append(len(words))
             digests.append(_digest(words))
             own = blocks_of(words)
+            rows.append(place)
+            place += len(own[0]) + 1
             sizes.append(sizes[-1] + len(own[0]))
             found.append(own)
         columns = [np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(4)]
         structs = pa.StructArray.from_arrays([pa.array(c.astype(kind.to_pandas_dtype())) for c, (_, kind) in zip(columns, _BLOCK, strict=True)], names=[n for n, _ in _BLOCK])
         yield pa.RecordBatch.from_arrays(
-            [rids, batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), structs)],
-            names=["rid", "id", "n_words", "sha", "blocks"],
+            [pa.array(rows, pa.int64()), batch.column("rid"), batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), structs)],
+            names=["row", "rid", "id", "n_words", "sha", "blocks"],
         )
 
 
-_CHECKED = "rid string, text binary, sure array<struct<a:int,b:int>>, windows array<struct<anchor:bigint,window:bigint,at:int,n:bigint>>"
+def parsed(held: list[tuple[int, int, int, int, int]], row: int) -> list[tuple[int, int, int]]:
+    """The factors of a document: first word, end, place of the first block in the reference. held: ordinal, first
+    window, number of windows, first and last place of each block that the index holds elsewhere, by ordinal. row:
+    the place of the document's own first block."""
+    factors, k = [], 0
+    while k < len(held):
+        longest, source = 0, -1
+        for place in held[k][3:5]:
+            if place == row + held[k][0]:
+                continue
+            n = 1
+            while k + n < len(held) and held[k + n][0] == held[k][0] + n and place + n in held[k + n][3:5]:
+                n += 1
+            if n > longest:
+                longest, source = n, place
+        last = held[k + longest - 1]
+        factors.append((held[k][1], last[1] + last[2] + WINDOW - 1, source))
+        k += longest
+    return factors
+
+
+_FACTORS = "array<struct<a:int,b:int,source:bigint>>"
+_CHECKED = f"rid string, text binary, factors {_FACTORS}, windows array<struct<anchor:bigint,window:bigint,at:int,n:bigint>>"
 
 
 def _opened(batches):
-    """The windows of blocks at factor boundaries, for documents that hold any duplicate block or such a block."""
+    """The factors of documents that the index holds blocks of, and the windows of blocks at factor boundaries."""
+    factor_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("source", pa.int64())]))
     window_type = pa.list_(pa.struct([("anchor", pa.int64()), ("window", pa.int64()), ("at", pa.int32()), ("n", pa.int64())]))
     for batch in batches:
-        sure, opened = [], []
-        for t, todo in zip(batch.column("text"), batch.column("todo")):
-            todo = todo.as_py()
-            sure.append([{"a": x["first"], "b": x["first"] + x["count"] + WINDOW - 1} for x in todo if x["anchor"] is None])
-            checked = [x for x in todo if x["anchor"] is not None]
+        factors, opened = [], []
+        todos = batch.column("todo")
+        fields = {name: todos.flatten().field(name).to_pylist() for name in ("ord", "first", "count", "lo", "hi", "anchor", "n")}
+        at = 0
+        for t, row, size in zip(batch.column("text"), batch.column("row").to_pylist(), pc.list_value_length(todos).to_pylist()):
+            todo = list(zip(*(f[at : at + size] for f in fields.values())))
+            at += size
+            held = sorted(x[:5] for x in todo if x[5] is None)
+            factors.append([{"a": a, "b": b, "source": p} for a, b, p in parsed(held, row) if b - a >= WINDOW])
+            checked = [(x[1], x[2], x[5], x[6]) for x in todo if x[5] is not None]
             own = []
             if checked:
                 words = t.as_py().split()
-                for x in checked:
-                    hashes = windows_of(words[x["first"] : x["first"] + x["count"] + WINDOW - 1]).view(np.int64).tolist()
-                    own += [{"anchor": x["anchor"], "window": h, "at": x["first"] + k, "n": x["n"]} for k, h in enumerate(hashes)]
+                for first, count, anchor, n in checked:
+                    hashes = windows_of(words[first : first + count + WINDOW - 1]).view(np.int64).tolist()
+                    own += [{"anchor": anchor, "window": h, "at": first + k, "n": n} for k, h in enumerate(hashes)]
             opened.append(own)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("rid"), batch.column("text"), pa.array(sure, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(opened, window_type)],
-            names=["rid", "text", "sure", "windows"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("text"), pa.array(factors, factor_type), pa.array(opened, window_type)], names=["rid", "text", "factors", "windows"])
 
 
 def _cut(batches):
     for batch in batches:
         removed, digests, texts = [], [], []
-        for t, sure, found in zip(batch.column("text"), batch.column("sure"), batch.column("found")):
+        for t, factors, found in zip(batch.column("text"), batch.column("factors"), batch.column("found")):
             words = t.as_py().split()
-            spans = [(x["a"], x["b"]) for x in sure.as_py()] + [(a, a + WINDOW) for a in found.as_py() or []]
+            spans = [(x["a"], x["b"]) for x in factors.as_py()] + [(a, a + WINDOW) for a in found.as_py() or []]
             n, kept = without(words, spans)
             removed.append(n)
             digests.append(_digest(kept))
             texts.append(b" ".join(kept).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["rid", "n_removed", "kept_sha256", "kept_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("factors"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["rid", "factors", "n_removed", "kept_sha256", "kept_text"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text (only of documents that lose words, else null): one row per
-    row of docs.
+    """doc_id, n_words, n_removed, kept_sha256, factors (first word, end, place they are copied from), kept_text (the
+    last two only of documents that lose words, else null): one row per row of docs.
 
     Words covered by a window of WINDOW words that also starts anywhere else, in the same document or another, are
-    removed, every occurrence. Null texts have no words. Repeated rows are occurrences of each other's windows. Other
-    columns of docs are not read.
+    removed, every occurrence. Null texts have no words; an empty table gives an empty one. Repeated rows are
+    occurrences of each other's windows and get a row each. Very long texts are hashed PART words at a time and are
+    otherwise like any other. Ties do not arise: of a block's places the first and the last are kept, whichever rows
+    hold them. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     text = text_of(text_col)
     # rows that share an id are told apart by their texts; equal rows share their spans
-    rid = F.concat_ws(".", F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("n"), F.hex(F.xxhash64(text)))), F.hash(text))
+    rid = F.sha2(F.concat_ws("\n", F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n")), text), 256)
     given = docs.select(rid.alias("rid"), F.col(id_col).alias("id"), F.encode(text, "UTF-8").alias("text"))
-    schema = T.StructType([T.StructField("rid", T.StringType()), given.schema["id"], *T._parse_datatype_string(_ROWS).fields[1:]])
+    fields = T._parse_datatype_string(_ROWS).fields
+    schema = T.StructType([*fields[:2], given.schema["id"], *fields[2:]])
     rows = scratch.save(given.mapInArrow(_indexed, schema), "rows")
-    blocks = rows.select("rid", F.explode("blocks").alias("b")).select("rid", "b.*")
-    same = F.min("block") == F.max("block")
-    anchors = scratch.save(blocks.groupBy("anchor").agg(F.count("*").alias("n"), same.alias("same")).filter("n > 1").drop("n"), "anchors")
+    blocks = rows.select("row", F.posexplode("blocks").alias("ord", "b")).select("row", "ord", (F.col("row") + F.col("ord")).alias("place"), "b.*")
+    counted = blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("block") == F.max("block")).alias("same"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    anchors = scratch.save(counted.filter("n > 1").drop("n"), "anchors")
     shared = scratch.save(blocks.join(anchors, "anchor"), "shared")
-    split = shared.filter("not same").groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "count")).alias("one"))
+    differing = shared.filter("not same").drop("lo", "hi")
+    split = differing.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(F.struct("place", "row", "ord", "first", "count")).alias("one"), F.max("place").alias("hi"))
     split = scratch.save(split, "split")
-    repeated = shared.filter("not same").join(split.filter("n > 1").select("anchor", "block"), ["anchor", "block"], "left_semi")
-    nobody = F.lit(None).cast("bigint")
-    sure = shared.filter("same").unionByName(repeated).select("rid", "first", "count", nobody.alias("anchor"), nobody.alias("n"))
-    checked = split.select("one.rid", "one.first", "one.count", "anchor", "n")
-    todo = sure.unionByName(checked).groupBy("rid").agg(F.collect_list(F.struct("first", "count", "anchor", "n")).alias("todo"))
-    opened = scratch.save(given.drop("id").join(todo, "rid").mapInArrow(_opened, _CHECKED), "opened")
+    repeated = differing.join(split.filter("n > 1").select("anchor", "block", F.col("one.place").alias("lo"), "hi"), ["anchor", "block"])
+    nothing = F.lit(None).cast("bigint")
+    held = shared.filter("same").unionByName(repeated).select("row", "ord", "first", "count", "lo", "hi", nothing.alias("anchor"), nothing.alias("n"))
+    checked = split.select("one.row", "one.ord", "one.first", "one.count", nothing.alias("lo"), nothing.alias("hi"), "anchor", "n")
+    todo = held.unionByName(checked).groupBy("row").agg(F.collect_list(F.struct("ord", "first", "count", "lo", "hi", "anchor", "n")).alias("todo"))
+    # of equal rows the first is parsed for all; a block's first place is never in another
+    first = rows.groupBy("rid").agg(F.min("row").alias("row"))
+    opened = scratch.save(given.drop("id").join(todo.join(first, "row"), "rid").select("rid", "text", "row", "todo").mapInArrow(_opened, _CHECKED), "opened")
     windows = opened.select("rid", F.explode("windows").alias("w")).select("rid", "w.*")
     known = scratch.save(windows.groupBy("anchor", "window").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window"), "windows")
     found = windows.filter("n = 1").join(known, ["anchor", "window"]).groupBy("rid").agg(F.collect_set("at").alias("found"))
-    cut = opened.select("rid", "text", "sure").join(found, "rid", "left")
-    cut = scratch.save(cut.mapInArrow(_cut, "rid string, n_removed bigint, kept_sha256 string, kept_text string").filter("n_removed > 0").dropDuplicates(["rid"]), "cut")
+    cut = opened.select("rid", "text", "factors").join(found, "rid", "left")
+    cut = scratch.save(cut.mapInArrow(_cut, f"rid string, factors {_FACTORS}, n_removed bigint, kept_sha256 string, kept_text string").filter("n_removed > 0").dropDuplicates(["rid"]), "cut")
+    scratch.drop("anchors", "shared", "split", "opened", "windows")
     out = rows.select("rid", "id", "n_words", "sha").join(cut, "rid", "left")
     return out.select(
-        F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text"
+        F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "factors", "kept_text"
     )
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+    return substring_dedup(documents(spark, sf_dir)).drop("factors", "kept_text")
