@@ -1,14 +1,15 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
 A fingerprint is eight bytes, each with its position. Two fingerprints that differ in at most d bits share at least
-8 - d positional bytes, the guaranteed minimum. Postings of single positional bytes would hold a 256th of all rows, so
-the index posts each fingerprint under every set of that many positional bytes (56 sets of five at d = 3): who meets in
-a posting reaches the minimum by construction, the tally of shared bytes is exact there, and bit distance verifies.
-
-Copies share a fingerprint and enter the index once. A posting's members differ in the other bytes alone, three at
-d = 3, so it can never hold more than 2 ** 24 of them. It gives no pairs but a star per connected part, found by
-breadth-first search, at most a link per member. Components come from those links by alternating large and small
-stars, as joins and aggregates over tables at rest.
+8 - d positional bytes, the guaranteed minimum, and so at least four of the first d + 4. The index posts each
+fingerprint under every four of these (35 keys at d = 3), as single positional bytes would post a 256th of all rows
+under one key. Within a posting the shared positional bytes of pairs are tallied, pairs that reach the minimum are
+retained, and bit distance verifies them. Postings of one member go before that. A posting with more than MANY members
+is posted again under each fifth byte, which pairs at the minimum share as well.
+
+Copies share a fingerprint and enter the index once. A posting gives no table of pairs but a star per connected part,
+found by breadth-first search from a member to those that are left, at most a link per member. Components come from
+those links by alternating large and small stars, as joins and aggregates over tables at rest.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from tallyspark.llm.common import Scratch, documents, text_of
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED, SHINGLE, DISTANCE = 42, 3, 3
-#: Shingles whose bits are counted together.
-BITS_AT_ONCE = 65_536
+#: Shingles whose bits are counted together; bytes of a posting's key; members from which a posting is posted again.
+BITS_AT_ONCE, KEY_BYTES, MANY = 65_536, 4, 4096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -61,42 +62,58 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return given.mapInArrow(run, T.StructType([given.schema["doc_id"], given.schema["text_key"], T.StructField("print", T.LongType())]))
 
 
-def _near(values: np.ndarray, distance: int, bits: int) -> np.ndarray:
-    """For each of the distinct values the place of the first member of its connected part, if values within
-    distance are connected. By comparing with what is left, or, once that is dearer, by trying all flips."""
+def _tallied(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the distinct fingerprints the place of the first member of its connected part, if those that share
+    8 - distance positional bytes or more and differ in at most distance bits are connected, and the tally of the pair
+    that connected it."""
     n = len(values)
-    root = np.full(n, -1, np.int64)
-    flips = None
-    if n > 4096:
-        single = [1 << b for b in range(bits)]
-        flips = np.array([sum(c) for d in range(1, distance + 1) for c in combinations(single, d)], values.dtype)
+    root, tally = np.full(n, -1, np.int64), np.full(n, 8, np.int32)
+    parent = np.arange(n)
     left = np.arange(n)
     for first in range(n):
         if root[first] >= 0:
             continue
-        root[first] = first
-        todo = [first]
+        root[first], todo = first, [first]
         while todo:
             at = todo.pop()
-            if flips is None:
-                left = left[root[left] < 0]
-                near = left[np.bitwise_count(values[left] ^ values[at]) <= distance]
-            else:
-                tried = values[at] ^ flips
-                place = np.minimum(np.searchsorted(values, tried), n - 1)
-                near = place[(values[place] == tried) & (root[place] < 0)]
-            root[near] = first
+            left = left[root[left] < 0]
+            differing = values[left] ^ values[at]
+            shared = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+            enough = shared >= 8 - distance
+            kept, counts = left[enough], shared[enough]
+            near = np.bitwise_count(differing[enough]) <= distance
+            root[kept[near]], parent[kept[near]], tally[kept[near]] = first, at, counts[near]
+            todo += kept[near].tolist()
+    return parent, tally
+
+
+def _flipped(values: np.ndarray, distance: int, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many sorted fingerprints that can differ in the bytes at places alone: all flips are looked up."""
+    n = len(values)
+    single = [1 << 8 * (7 - p) + b for p in places for b in range(8)]
+    flips = np.array([sum(c) for d in range(1, distance + 1) for c in combinations(single, d)], np.uint64)
+    seen, parent, tally = np.zeros(n, bool), np.arange(n), np.full(n, 8, np.int32)
+    for first in range(n):
+        if seen[first]:
+            continue
+        seen[first], todo = True, [first]
+        while todo:
+            at = todo.pop()
+            tried = values[at] ^ flips
+            place = np.minimum(np.searchsorted(values, tried), n - 1)
+            near = place[(values[place] == tried) & ~seen[place]]
+            seen[near], parent[near] = True, at
+            tally[near] = ((values[near] ^ values[at]).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
             todo += near.tolist()
-    return root
+    return parent, tally
 
 
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """a, b, shared (positional bytes of the pair): links between distinct fingerprints whose connected components
     are those of all pairs within distance. prints: one column print, distinct."""
     if not 1 <= distance <= 3:
-        raise ValueError("postings are bounded for distances of 1 to 3")
-    kept = 8 - distance
-    sets = list(combinations(range(8), kept))
+        raise ValueError("the index is made for distances of 1 to 3")
+    sets = list(combinations(range(distance + KEY_BYTES), KEY_BYTES))
     byte_of = lambda p: F.shiftrightunsigned("print", 8 * (7 - p)).bitwiseAND(F.lit(255))
     entries = []
     for k, places in enumerate(sets):
@@ -105,51 +122,54 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             key = F.shiftleft(key, 8).bitwiseOR(byte_of(p))
         entries.append(key)
     posted = prints.select(F.explode(F.array(*entries)).alias("posting"), "print")
-    tables = prints.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = posted.repartition(int(tables), "posting").sortWithinPartitions("posting", "print")
+    scratch = Scratch(prints.sparkSession, "postings")
+    met = scratch.save(posted.withColumn("held", F.count("*").over(Window.partitionBy("posting"))).filter("held > 1"), "met")
+    others = F.lit([[p for p in range(8) if p not in places] for places in sets])
+    fifth = F.transform(
+        F.get(others, F.shiftright("posting", 8 * KEY_BYTES).cast("int")),
+        lambda p: p * 256 + F.call_function("shiftrightunsigned", F.col("print"), 8 * (7 - p)).bitwiseAND(F.lit(255)).cast("int"),
+    )
+    few = met.filter(F.col("held") <= MANY).select("posting", F.lit(-1).alias("fifth"), "print")
+    many = met.filter(F.col("held") > MANY).select("posting", F.explode(fifth).alias("fifth"), "print")
+    dealt = few.unionByName(many).repartition("posting", "fifth").sortWithinPartitions("posting", "fifth", "print")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("shared", T.IntegerType())])
-    bits = 8 * distance
 
-    def linked(keys: np.ndarray, values: np.ndarray):
+    def linked(keys: np.ndarray, fifths: np.ndarray, values: np.ndarray):
         """Whole postings, sorted."""
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (fifths[1:] != fifths[:-1]))))
         sizes = np.diff(np.concatenate((starts, [len(keys)])))
-        many = sizes > 1
-        a, b = [], []
-        for s, n in zip(starts[many].tolist(), sizes[many].tolist()):
-            own = values[s : s + n].view(np.uint64)
-            rest = [p for p in range(8) if p not in sets[int(keys[s]) >> 8 * kept]]
-            small = np.zeros(n, np.int64)
-            for p in rest:
-                small = small << 8 | ((own >> np.uint64(8 * (7 - p))) & np.uint64(255)).astype(np.int64)
-            order = np.argsort(small)
-            root = _near(small[order], distance, bits)
-            child = np.flatnonzero(root != np.arange(n))
-            a.append(own[order[root[child]]])
-            b.append(own[order[child]])
+        a, b, tallies = [], [], []
+        for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+            own = np.sort(values[s : s + n].view(np.uint64))
+            if n <= MANY:
+                parent, tally = _tallied(own, distance)
+            else:
+                same = {*sets[int(keys[s]) >> 8 * KEY_BYTES], int(fifths[s]) >> 8}
+                parent, tally = _flipped(own, distance, [p for p in range(8) if p not in same])
+            child = np.flatnonzero(parent != np.arange(n))
+            a.append(own[parent[child]])
+            b.append(own[child])
+            tallies.append(tally[child])
         if not a:
             return None
-        a, b = np.concatenate(a), np.concatenate(b)
-        differing = a ^ b
-        shared = sum(((differing >> np.uint64(8 * p)) & np.uint64(255)) == 0 for p in range(8))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(shared.astype(np.int32))], names=["a", "b", "shared"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)] + [pa.array(np.concatenate(tallies))], names=["a", "b", "shared"])
 
     def run(batches):
-        held_keys, held_values = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        held = [[np.empty(0, t)] for t in (np.int64, np.int32, np.int64)]
         for batch in batches:
-            keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys, fifths, values = (batch.column(k).to_numpy() for k in range(3))
             if not len(keys):
                 continue
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last posting may go on in the next batch
-            if cut or (len(held_keys[-1]) and held_keys[-1][-1] != keys[0]):
-                out = linked(np.concatenate((*held_keys, keys[:cut])), np.concatenate((*held_values, values[:cut])))
-                held_keys, held_values = [], []
+            # the last posting may go on in the next batch
+            cut = int(np.flatnonzero((keys != keys[-1]) | (fifths != fifths[-1]))[-1]) + 1 if (keys[0], fifths[0]) != (keys[-1], fifths[-1]) else 0
+            if cut or (len(held[0][-1]) and (held[0][-1][-1], held[1][-1][-1]) != (keys[0], fifths[0])):
+                out = linked(*[np.concatenate((*h, c[:cut])) for h, c in zip(held, (keys, fifths, values))])
+                held = [[], [], []]
                 if out:
                     yield out
-            held_keys.append(keys[cut:])
-            held_values.append(values[cut:])
-        keys = np.concatenate(held_keys)
-        if len(keys) and (out := linked(keys, np.concatenate(held_values))):
+            for h, c in zip(held, (keys, fifths, values)):
+                h.append(c[cut:])
+        if len(held[0]) and (whole := [np.concatenate(h) for h in held]) and len(whole[0]) and (out := linked(*whole)):
             yield out
 
     return dealt.mapInArrow(run, schema)

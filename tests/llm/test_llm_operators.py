@@ -197,7 +197,9 @@ def test_simhash(docs):
     assert simhash.near_groups(empty(docs)).count() == 0
 
 
-def test_links_join_long_chains_and_large_clusters(spark):
+@pytest.mark.parametrize("many", [simhash.MANY, 8])
+def test_links_join_long_chains_and_large_clusters(spark, monkeypatch, many):
+    monkeypatch.setattr(simhash, "MANY", many)
     chain = [0]
     for k in range(60):
         chain.append(chain[-1] ^ (0b111 << k))
@@ -217,16 +219,24 @@ def test_links_join_long_chains_and_large_clusters(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
-def test_near_by_flips_equals_near_by_comparison():
-    few = np.sort(np.array(random.sample(range(1 << 24), 3000)))
-    many = np.sort(np.array(random.sample(range(1 << 14), 6000)))
-    for values in (few, many[:4096]):
-        a = simhash._near(values, 3, 24)
-        root = {int(v): int(values[r]) for v, r in zip(values, a)}
-        for v in random.sample(list(root), 50):
-            near = [w for w in root if (v ^ w).bit_count() <= 3]
-            assert {root[w] for w in near} == {root[v]}
-    assert set(simhash._near(many, 3, 24)) == {0}
+def test_tallies_and_flips_equal_comparison():
+    same = 0xABCDEF0123 << 24
+    few = np.sort(np.array([same ^ x for x in random.sample(range(1 << 24), 3000)], np.uint64))
+    many = np.sort(np.array([same ^ x for x in random.sample(range(1 << 14), 2000)], np.uint64))
+    for values in (few, many):
+        for parent, tally in (simhash._tallied(values, 3), simhash._flipped(values, 3, [5, 6, 7])):
+            child = np.flatnonzero(parent != np.arange(len(values)))
+            for c in child[:200].tolist():
+                a, b = int(values[c]), int(values[parent[c]])
+                assert (a ^ b).bit_count() <= 3 and tally[c] == sum((a >> 8 * k & 255) == (b >> 8 * k & 255) for k in range(8)) >= 5
+            root = np.arange(len(values))
+            for _ in range(len(values)):
+                if (root == parent[root]).all():
+                    break
+                root = parent[root]
+            for v in random.sample(range(len(values)), 50):
+                near = np.bitwise_count(values ^ values[v]) <= 3
+                assert set(root[near]) == {root[v]}
 
 
 def test_substring_dedup(docs):
