@@ -12,11 +12,13 @@ import base64
 import hashlib
 import heapq
 import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +28,9 @@ from pyspark.sql import types as T
 from tallyspark.llm.common import documents, text_of
 
 #: Characters of text looked up together, and pre-tokens of one text held together.
-BATCH_CHARS, BATCH_PIECES = 2_000_000, 500_000
-#: Distinct pre-tokens whose ids a worker remembers.
-REMEMBERED = 400_000
+BATCH_CHARS, BATCH_PIECES = 500_000, 200_000
+#: Distinct pre-tokens that a worker remembers, and ids of theirs, each standing for a few bytes of pre-token.
+REMEMBERED, REMEMBERED_IDS = 200_000, 1_000_000
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -109,8 +111,8 @@ class Codec:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.starts: list[int] = [0]
+        self.flat = array("I")
+        self.starts = array("q", [0])
 
     def _rank(self, left: int, right: int) -> int:
         """Rank of the token that two tokens make together, -1 if they make none."""
@@ -151,7 +153,7 @@ class Codec:
         """Ids of all pieces in order, and how many each piece has."""
         coded = pa.array(pieces, pa.string()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.flat) > REMEMBERED_IDS:
             self._forget()
         new = [p for p in distinct if p not in self.known]
         raw = [p.encode() for p in new]
@@ -163,14 +165,14 @@ class Codec:
                 self.flat.extend(self.merged(b))
             self.starts.append(len(self.flat))
         at = np.array([self.known[p] for p in distinct], np.int64)
-        starts = np.array(self.starts, np.int64)
+        starts = np.frombuffer(self.starts, np.int64)
         begin, count = starts[at], starts[at + 1] - starts[at]
         order = coded.indices.to_numpy()
         begin, count = begin[order], count[order]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         places = np.arange(total) - np.repeat(ends - count, count) + np.repeat(begin, count)
-        return np.array(self.flat, np.uint32)[places], count
+        return np.frombuffer(self.flat, np.uint32)[places], count
 
     def texts(self, texts: list[str | None]) -> Iterator[list[np.ndarray]]:
         """The ids of each text, in one part or, for long texts, several."""
@@ -219,6 +221,18 @@ def _codec(call: str, vocabulary) -> Codec:
     return _kept[call]
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of BATCH_CHARS bytes of text, or one row of more, so that no more is held as objects."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > BATCH_CHARS:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    yield batch.slice(start)
+
+
 def _prepared(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast(Vocabulary(read_ranks(path), pattern))
 
@@ -226,7 +240,9 @@ def _prepared(spark: SparkSession, path: str, pattern: str):
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: one row per row of docs, any order.
 
-    A null text counts as empty and has no ids. Repeated rows get a row each; other columns of docs are not read.
+    A null text counts as empty and has no ids; a null id stays null; an empty table gives an empty one. Repeated rows
+    get a row each and nothing ties; very long texts are encoded in parts of whole pre-tokens. Other columns of docs
+    are not read.
     """
     vocabulary, call = _prepared(docs.sparkSession, path, pattern), uuid.uuid4().hex
     given = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -235,7 +251,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches):
         codec = _codec(call, vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _portions(whole)):
             counts, id_digests, byte_digests, lists = [], [], [], []
             for parts in codec.texts(batch.column("text").to_pylist()):
                 of_ids, of_bytes = hashlib.sha256(), hashlib.sha256()
