@@ -1,18 +1,23 @@
 """Token counts by overlap resynchronisation.
 
-A huge document is encoded in overlapping chunks with offsets. Where two chunks overlap, a position counts as a stable
-common boundary if both start a token there, white space stands before it, and both give the same tokens from there to
-the end of the overlap. White space is what makes it a proof and not a guess: the vocabulary's normaliser and its
-splitting pattern carry nothing across it, and no special token holds any. The left chunk counts up to the boundary
-and the right one from it on. Where an overlap holds no boundary, it is widened until one is found or the text ends.
-
-Other documents are encoded word by word, which the same proof allows; a task remembers a bounded number of words, as
-most of its time would else go to words it has seen. Texts stay in their task and nothing is shuffled.
+A document of more than CHUNK characters is encoded in overlapping chunks with offsets. Where two chunks overlap, a
+position counts as a stable common boundary if both start a token there, white space stands before it, and both give
+the same tokens from there to the end of the overlap. White space is what makes it a proof and not a guess: the
+vocabulary's normaliser and its splitting pattern carry nothing across it, and no special token holds any. The left
+chunk counts up to the boundary and the right one from it on. Where an overlap holds no boundary, it is widened until
+one is found or the text ends.
+
+A shorter document is one chunk. It is encoded word by word, which the same proof allows; a task remembers words up to
+a bound of bytes, as most of its time would else go to words it has seen. Whether the proof holds is read from the
+vocabulary's file; for one that carries anything across white space, documents are encoded whole by the library.
+Texts stay in their task and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Callable
 
@@ -23,9 +28,10 @@ from pyspark.sql import types as T
 
 from tallyspark.llm.common import documents, text_of
 
-CHUNK, OVERLAP, LIMIT = 65_536, 1024, 2048
-#: Characters of text counted together, and words whose counts a worker remembers.
-BATCH_CHARS, REMEMBERED = 1_000_000, 400_000
+#: Characters of a chunk and of an overlap, and tokens that are no more than a model takes.
+CHUNK, OVERLAP, LIMIT = 8192, 256, 2048
+#: Characters of text counted together, and bytes of words whose counts a worker remembers.
+BATCH_CHARS, REMEMBERED = 1_000_000, 8_000_000
 WHITE = frozenset(" \t\n\x0b\x0c\r")
 
 Encode = Callable[[str], tuple[list[int], list[int]]]
@@ -41,7 +47,7 @@ def _boundary(text: str, left, left_at: int, right, right_at: int, end: int) ->
         if p <= right_at or text[p - 1] not in WHITE or text[p] in WHITE or p not in starts:
             continue
         # the last word of the overlap may be cut short on the left, so it is not compared
-        stop = max((x for x in range(end - 1, p, -1) if text[x] in WHITE), default=p)
+        stop = next((x for x in range(end - 1, p, -1) if text[x] in WHITE), p)
         own = [(i, x + left_at) for i, x in zip(left[0][starts[p] :], left[1][starts[p] :], strict=True) if x + left_at < stop]
         other = [(i, x + right_at) for i, x in zip(right[0][k:], right[1][k:], strict=True) if x + right_at < stop]
         if own == other:
@@ -72,29 +78,77 @@ def spliced_count(text: str, encode: Encode, chunk: int = CHUNK, overlap: int =
     return total + sum(s + at >= counted_to for s in left[1])
 
 
+#: What a vocabulary file calls the steps that look at no more than a word, and those that cut at white space.
+_WORDWISE = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer"}
+_CUTTING = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+
+
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    if part is None:
+        return []
+    return [x for p in part[inner] for x in _steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+
+def _within_words(step: dict) -> bool:
+    """Whether a normaliser changes words by themselves; runs of white space may become other white space."""
+    if step["type"] != "Replace":
+        return step["type"] in _WORDWISE
+    return step["pattern"].get("Regex") in (r"\s", r"\s+") and bool(step["content"]) and set(step["content"]) <= WHITE
+
+
+def _cuts(step: dict) -> bool:
+    """Whether a splitter cuts at white space and drops it: by its kind, or as it keeps nothing but matches of a pattern
+    that has no look-around and can't match white space, by the classes in it."""
+    if step["type"] != "Split":
+        return step["type"] in _CUTTING
+    pattern = step["pattern"].get("Regex", " ")
+    rest = re.sub(r"\[\^\\s[^\]]*\]", "", pattern)
+    return step["behavior"] == "Removed" and step["invert"] and not re.search(r"\s|\.|\^|\$|\(\?|\\(?!p\{[LNMPS])", rest)
+
+
+def splits_at_space(vocabulary: str) -> bool:
+    """Whether a text's tokens are those of its words between ASCII white space, one after the other, by what the file
+    says: all normalisers work within words, the first splitter cuts at white space and drops it, and no added token
+    holds white space or takes any that stands beside it."""
+    read = json.loads(vocabulary)
+    normalisers, splitters = _steps(read.get("normalizer"), "normalizers"), _steps(read.get("pre_tokenizer"), "pretokenizers")
+    added = read.get("added_tokens") or []
+    return all(map(_within_words, normalisers)) and bool(splitters) and _cuts(splitters[0]) and not any(t.get("lstrip") or t.get("rstrip") or WHITE & set(t["content"]) for t in added)
+
+
 class Counter:
-    """vocabulary: the text of a tokenizers file."""
+    """vocabulary: the text of a tokenizers file. spliced: documents that went through chunks so far."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_words = splits_at_space(vocabulary)
         self.known: dict[bytes, int] = {}
+        self.held = self.spliced = 0
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         found = self.tokenizer.encode(text, add_special_tokens=False)
         return found.ids, [a for a, _ in found.offsets]
 
     def counts(self, texts: list[bytes]) -> list[int]:
-        split = [None if len(t) > CHUNK else t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
+        if not self.by_words:
+            return [len(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids) for t in texts]
+        whole = [t.decode() if len(t) > CHUNK else "" for t in texts]
+        split = [None if len(s) > CHUNK else t.split() for s, t in zip(whole, texts, strict=True)]
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         known = self.known
         new = list({w for words in split if words for w in words if w not in known})
         if new:
+            self.held += sum(map(len, new)) + 100 * len(new)
             known.update(zip(new, map(len, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
-        return [spliced_count(t.decode(), self.encode) if words is None else sum(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        self.spliced += sum(words is None for words in split)
+        return [spliced_count(s, self.encode) if words is None else sum(map(known.__getitem__, words)) for s, words in zip(whole, split, strict=True)]
 
 
 _kept: dict[str, Counter] = {}
@@ -111,8 +165,9 @@ def _counter(call: str, vocabulary) -> Counter:
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: one row per row of docs, any order.
 
-    A null text counts as empty. Repeated rows get a row each; other columns of docs are not read. The vocabulary is
-    read from its file by the driver and sent to the tasks, as executors need not hold it.
+    A null text counts as empty, a null id stays null, and an empty table gives an empty one. Repeated rows get a row
+    each; other columns of docs are not read. Very long texts are read in chunks; there is no order to tie in. The
+    vocabulary is read from its file by the driver and sent to the tasks, as executors need not hold it.
     """
     with open(path) as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
