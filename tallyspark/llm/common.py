@@ -46,6 +46,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by their names, whatever these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often and wherever body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

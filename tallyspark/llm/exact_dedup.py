@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, documents, let, text_of
+from tallyspark.llm.common import Scratch, columns_of, documents, let, text_of
 
 BLOCK_BYTES = 4096
 
@@ -115,13 +115,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns: of equal texts the one with the largest id, a null id being
+    the smallest; of rows that share that id, repeated rows too, one. Null and empty texts are equal; very long ones
+    are cut like any other; an empty table gives an empty one. Columns may have any name, with dots too.
+
+    Identities decide who stays; the rows are then found again by their id and the SHA-256 of their text.
+    """
     kept = exact_groups(docs, id_col, text_col).filter("kept")
     key = lambda i, sha: F.concat_ws(":", sha, F.coalesce(i.cast("string"), F.lit("null")))
     keys = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
     first = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
     keyed = docs.withColumn("__key", key(F.col(id_col), F.sha2(text_of(text_col).cast("binary"), 256)))
-    return keyed.join(keys, "__key", "left_semi").withColumn("__first", first).filter("__first = 1").select(*docs.columns)
+    return keyed.join(keys, "__key", "left_semi").withColumn("__first", first).filter("__first = 1").select(*columns_of(docs))
 
 
 def op4_exact_dedup(spark, sf_dir):

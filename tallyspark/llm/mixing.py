@@ -2,7 +2,9 @@
 
 The budget goes down the tree by weight. A node that holds fewer tokens than its share takes what it has, and the
 shortage goes to its siblings; only when all of them are full does it reach the next level up. That is water-filling
-from the root with the capacity of whole subtrees, and each level is one window over its nodes.
+from the root with the capacity of whole subtrees, and each level is one window over its nodes. A subtree's capacity
+counts the leaves that weights let it give to, so what a leaf of weight 0 holds is no room for anybody's shortage.
+Shares are rounded along their running sum, so siblings take a budget to the last token.
 
 Each leaf then takes a prefix of its documents in a seeded order: whole epochs first, and of the next epoch as many
 documents as fit. The prefix is found as one cutoff key per leaf, from a histogram over the key's leading digits, read in
@@ -17,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, documents, text_of, words_of
+from tallyspark.llm.common import Scratch, columns_of, documents, text_of, words_of
 
 LEVELS = ("domain", "lang", "source")
 
@@ -61,13 +63,18 @@ def _fill(nodes: DataFrame, level: str, parents: list[str], mixture: Mixture) ->
         .withColumn("full", F.col("capacity").cast("double") * F.col("w_left") <= F.col("w").cast("double") * F.col("left"))
     )
     last = tried.withColumn("open_left", F.min(F.when(~F.col("full"), F.struct(-F.col("w_left"), F.col("left").alias("left"), F.col("w_left").alias("w")))).over(group))
-    share = F.floor(F.col("w").cast("double") * F.col("open_left.left") / F.col("open_left.w")).cast("long")
-    return last.withColumn("budget", F.when(F.col("w").isNull(), 0).when(F.col("full"), F.col("capacity")).otherwise(share)).drop("w", "left", "w_left", "full", "open_left")
+    last = last.withColumn("w_upto", F.sum(F.when(~F.col("full"), F.col("w"))).over(of.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    share = F.expr("(w_upto * open_left.left) div open_left.w - ((w_upto - w) * open_left.left) div open_left.w")
+    return last.withColumn("budget", F.when(F.col("w").isNull(), 0).when(F.col("full"), F.col("capacity")).otherwise(share)).drop("w", "left", "w_left", "full", "open_left", "w_upto")
 
 
 def budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
-    """domain, lang, source, tokens, budget: what each leaf gets. leaves: domain, lang, source, tokens."""
-    held = leaves.withColumn("leaf_capacity", F.col("tokens") * mixture.epochs)
+    """domain, lang, source, tokens, budget: what each leaf gets. leaves: domain, lang, source, tokens, a row each and
+    at rest, as every level reads them. Nodes that fill up at the same level of water are taken by name."""
+    weighs = mixture.weight(LEVELS[0]) > 0
+    for level in LEVELS[1:]:
+        weighs = weighs & (mixture.weight(level) > 0)
+    held = leaves.withColumn("leaf_capacity", F.when(weighs, F.col("tokens") * mixture.epochs).otherwise(F.lit(0).cast("long")))
     out = held.crossJoin(F.broadcast(leaves.agg(F.floor(F.sum("tokens") * mixture.budget / 1000).cast("long").alias("budget"))))  # one row
     for depth, level in enumerate(LEVELS):
         parents = list(LEVELS[:depth])
@@ -95,7 +102,8 @@ def cutoffs(docs: DataFrame, mixture: Mixture, domain: Column, id_col="doc_id",
     counted = scratch.save(
         docs.select(*_leaf(domain, lang_col, source_col), F.col(id_col).alias("id"), F.size(words_of(text_of(text_col))).cast("long").alias("n")), "counted"
     )
-    leaves = scratch.save(budgets(counted.groupBy(*LEVELS).agg(F.sum("n").alias("tokens")), mixture), "leaves")
+    tokens = scratch.save(counted.groupBy(*LEVELS).agg(F.sum("n").alias("tokens")), "tokens")
+    leaves = scratch.save(budgets(tokens, mixture), "leaves")
     leaves = leaves.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens")).cast("long")).otherwise(F.lit(0).cast("long")))
     leaves = leaves.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
     keyed = counted.join(leaves.select(*LEVELS, "whole", "rest"), list(LEVELS)).withColumn("key", key(mixture, F.col("whole"), F.col("id")))
@@ -112,7 +120,9 @@ def cutoffs(docs: DataFrame, mixture: Mixture, domain: Column, id_col="doc_id",
     partial = partial.filter("upto <= rest").groupBy(*LEVELS).agg(F.max("key").alias("cutoff"))
     cut = full.unionByName(partial).groupBy(*LEVELS).agg(F.max("cutoff").alias("cutoff"))
     out = leaves.drop("rest").join(cut, list(LEVELS), "left").withColumn("cutoff", F.coalesce("cutoff", F.lit("")))
-    return scratch.save(out, "cutoffs")
+    out = scratch.save(out, "cutoffs")
+    scratch.drop("counted", "tokens", "leaves", "keyed", "buckets", "coarse", "fine")
+    return out
 
 
 def _leaf(domain: Column, lang_col: str, source_col: str) -> list[Column]:
@@ -123,9 +133,11 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column, id_col="doc_id", text
     """The rows of docs that the mixture takes, once for each epoch that takes them, with all their columns and a
     struct __mix (domain, lang, source, budget, epoch).
 
-    Null domains, languages and sources are a node "(none)"; null ids share one key; null texts hold no token and go
-    with whoever stands beside them in the order. Rows that share an id go in or out together. A node of weight 0
-    gives nothing. Columns of docs named like a level are left as they are.
+    Null domains, languages and sources are a node "(none)"; null ids share one key; null and empty texts hold no token
+    and go with whoever stands beside them in the order. Rows that share an id, repeated ones too, tie in the order and
+    go in or out together. A text longer than what is left of its leaf's budget ends that leaf's prefix before it. A
+    node of weight 0 gives nothing. An empty table gives an empty one. Columns of docs named like a level, or with dots
+    in their names, are left as they are.
     """
     cut = cutoffs(docs, mixture, domain, id_col, text_col, lang_col, source_col)
     leaf = F.struct(*_leaf(domain, lang_col, source_col))
@@ -134,7 +146,7 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column, id_col="doc_id", text
     partial = (F.col("__cut.whole") < mixture.epochs) & (key(mixture, F.col("__cut.whole"), F.col(id_col)) <= F.col("__cut.cutoff"))
     copies = (F.col("__cut.whole") + F.when(partial, 1).otherwise(0)).cast("int")
     taken = joined.withColumn("__copies", copies).filter("__copies > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    return taken.select(*docs.columns, F.struct("__leaf.*", "__cut.budget", F.col("__epoch").alias("epoch")).alias("__mix"))
+    return taken.select(*columns_of(docs), F.struct("__leaf.*", "__cut.budget", F.col("__epoch").alias("epoch")).alias("__mix"))
 
 
 def domain_of_source(source: Column) -> Column:
@@ -169,11 +181,12 @@ def _fill_sql(name: str, level: str, parents: tuple[str, ...], weight: str, abov
   WINDOW before AS (PARTITION BY {by} ORDER BY capacity::DOUBLE / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
 {name}_full AS (SELECT *, capacity::DOUBLE * w_rest <= w::DOUBLE * rest AS is_full FROM {name}_tried),
-{name} AS (
-  SELECT {keys}, CASE WHEN is_full THEN capacity
-    ELSE floor(w::DOUBLE * arg_max(rest, w_rest) FILTER (NOT is_full) OVER (PARTITION BY {by}) / max(w_rest) FILTER (NOT is_full) OVER (PARTITION BY {by})) END::BIGINT AS budget
+{name}_open AS (
+  SELECT *, sum(w) FILTER (NOT is_full) OVER (PARTITION BY {by} ORDER BY capacity::DOUBLE / w, {level} ROWS UNBOUNDED PRECEDING) AS w_upto,
+    arg_max(rest, w_rest) FILTER (NOT is_full) OVER (PARTITION BY {by}) AS open_rest, max(w_rest) FILTER (NOT is_full) OVER (PARTITION BY {by}) AS open_w
   FROM {name}_full
-)"""
+),
+{name} AS (SELECT {keys}, CASE WHEN is_full THEN capacity ELSE (w_upto * open_rest) // open_w - ((w_upto - w) * open_rest) // open_w END::BIGINT AS budget FROM {name}_open)"""
 
 
 SQL = rf"""

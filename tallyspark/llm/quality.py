@@ -78,7 +78,9 @@ def _failures(m: Callable[[str], Column]) -> Column:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measurements and failures (a bit per rule), one row per row of docs; the text is read once and
-    nothing is shuffled. A null text has no words. Repeated rows get a row each; other columns are not read.
+    nothing is shuffled. A null or empty text has no words; a null id stays null; an empty table gives an empty one.
+    Repeated rows get a row each, there is nothing to tie in, and very long texts are measured whole; other columns
+    are not read.
     """
     read = docs.select(F.col(id_col).alias("doc_id"), _measured(text_of(text_col)).alias("m")).select("doc_id", "m.w.*", "m.l.*", "m.c.*")
     return read.withColumn("failures", _failures(F.col))
@@ -105,7 +107,8 @@ def ablation(table: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass a policy, with all their columns."""
+    """The rows of docs that pass a policy, with all their columns. Null, empty and very long texts, repeated rows and
+    empty tables are as in ledger; ids are not read and names of columns don't matter."""
     parts = {"n_words": "w", "n_repeat_words": "w", "n_lines": "l", "n_dup_lines": "l", "word_chars": "c", "n_symbols": "c"}
     failures = let(_measured(text_of(text_col)), lambda m: _failures(lambda name: m[parts[name]][name]))
     return docs.filter(failures.bitwiseAND(F.lit(mask(policy))) == 0)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import Scratch, documents, text_of
+from tallyspark.llm.common import Scratch, columns_of, documents, text_of
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -203,8 +203,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, print, root (smallest fingerprint), component_id (smallest id reachable over fingerprints within distance): one row per row of docs.
 
-    Texts without words are linked like any other. Null ids are no component's smallest unless it has no other.
-    Repeated ids and rows get a row each; other columns of docs are not read.
+    Null, empty and other texts without words are linked like any other. Null ids are no component's smallest unless
+    it has no other. Repeated ids and rows get a row each; very long texts are read whole; an empty table gives an
+    empty one; other columns of docs are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, shingle, id_col, text_col), "rows")
@@ -225,11 +226,12 @@ def one_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) ->
     kept = scratch.save(first.select(key(F.col("x.i"), F.col("x.t")).alias("__key")), "kept")
     keyed = docs.withColumn("__key", key(F.col(id_col), F.xxhash64(text_of(text_col))))
     one = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    return keyed.join(kept, "__key", "left_semi").withColumn("__one", one).filter("__one = 1").select(*docs.columns)
+    return keyed.join(kept, "__key", "left_semi").withColumn("__one", one).filter("__one = 1").select(*columns_of(docs))
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component, the one with the smallest id, with all its columns."""
+    """One row of docs for each component, the one with the smallest id, with all its columns; nulls, repeats and
+    empty tables are as in near_groups, and of rows that share that id one stays. Columns may have any name."""
     return one_each(docs, near_groups(docs, shingle, distance, id_col, text_col), id_col, text_col)
 
 
