@@ -58,14 +58,16 @@ def format_conversations(turns: DataFrame, template: Template = Template(), conv
 
     Turns go in the order of turn (null first), then role and text, which settles ties; repeated rows are repeated
     turns. Null roles and texts count as empty. Conversations out of order are formatted too, with valid false and
-    state naming where the machine stopped. A null conv_id is a conversation of its own. A conversation's turns meet
-    in one row because its formatted text is one value.
+    state naming where the machine stopped. A turn without conv_id belongs to no other and is a conversation by itself,
+    so turns without one never meet. A conversation's turns meet in one row because its formatted text is one value;
+    texts of any length are formatted whole. An empty table gives an empty one; other columns are not read.
     """
     given = turns.select(
         F.col(conv).alias("conv_id"),
+        F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("alone"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
     )
-    grouped = given.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    grouped = given.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     steps = F.create_map(*[F.lit(x) for (state, said), to in template.steps.items() for x in (f"{state}|{said}", to)])
     mark = lambda s: F.struct(s.alias("text"), F.lit(False).alias("loss"))
     segments = F.flatten(
@@ -135,7 +137,7 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), marked AS (
-  SELECT *, replace(regexp_replace(regexp_replace(regexp_replace(text, '\\', '\\\\', 'g'), '</', '<\\/', 'g'), ': ', ':\\ ', 'g'), '', '') AS e FROM turns
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, replace(regexp_replace(regexp_replace(regexp_replace(text, '\\', '\\\\', 'g'), '</', '<\\/', 'g'), ': ', ':\\ ', 'g'), '', '') AS e FROM turns
 ), lengths AS (
   -- between each two neighbouring # goes one escape: as many as a run of # is long, less one
   SELECT *, 4 + length(role) + 2 + length(e) + length(regexp_replace(e, '[^#]', '', 'g'))
@@ -145,7 +147,7 @@ WITH turns AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(n) AS n,
          string_agg(role, '>' ORDER BY turn, role, text) AS roles
-  FROM lengths GROUP BY conv_id
+  FROM lengths GROUP BY conv_id, alone
 ), walked AS (
   SELECT *, CASE WHEN NOT regexp_full_match(roles, '(system|system>user(>assistant>user)*(>assistant)?|user(>assistant>user)*(>assistant)?)') THEN 'refused'
                  WHEN roles LIKE '%assistant' THEN 'answered' WHEN roles LIKE '%user' THEN 'asked' ELSE 'told' END AS state
