@@ -1,9 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base expressions find the seeds. What stands around a seed becomes a lexical pattern, and around an identifier-like
-string that no base expression accepts, a candidate. Patterns and values form a graph: a pattern is as trustworthy as
-the values found in it, a value as the patterns it is found in. Spark scores both in turn; patterns that end above a
-threshold, seen with enough different seeds, turn their candidates into findings.
+Base expressions find the seeds. What stands around a seed is generalised into lexical patterns: the word before it,
+the word after it, both, the two before it, and the second before it with the next one skipped; words are taken whole,
+lower-cased, with runs of digits as one class. Around an identifier-like string that no base expression accepts the
+same patterns make it a candidate. Patterns and values form a graph. In each round Spark scores the patterns, by the
+share of their values that are of one kind, and then the values, by the patterns they stand in; values that the
+trusted patterns vouch for become seeds of the next round, whose contexts support further patterns. When a round finds
+no value, candidates that stand in a trusted pattern are findings.
+
+Beside the four base kinds the seeds may hold secrets: quoted strings that are assigned to a name such as token or
+password. They have no base expression of their own in the contract and are a kind by themselves.
 
 Texts are read once. What leaves them is a row per document with its spans and candidates, written to the shared
 folder; the graph holds a row per pattern and value, already counted, and is joined at rest.
@@ -11,6 +17,7 @@ folder; the graph holds a row per pattern and value, already counted, and is joi
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
@@ -23,6 +30,10 @@ from pyspark.sql import types as T
 from tallyspark.llm.common import Scratch, documents, text_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kind of secrets, and the classes of strings that can stand for one another: of the kinds in order, and by name.
+SECRET = len(KINDS)
+ADDRESS, NUMBER, TOKEN = 0, 1, 2
+CLASS_OF = (ADDRESS, NUMBER, NUMBER, NUMBER, TOKEN)
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 # a match can't begin inside a run of digits that it did not begin with, so runs are tried once
@@ -32,7 +43,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
 # likewise inside a word: a word is tried once
 _MAIL_LIKE = re.compile(r"(?<![^\x20\x09-\x0D@])[^\x20\x09-\x0D@]+(?:@|\(at\)|\[at\])[^\x20\x09-\x0D@]+")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SECRET = re.compile(r"""(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|password|passwd)['"]?[\x20]?[=:][\x20]?["']([^"'\x20\x09-\x0D]{16,})["']""")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+SPACES = frozenset(" \t\n\x0b\x0c\r")
 
 
 def luhn(digits: str) -> bool:
@@ -64,46 +77,92 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    return [(m.start(1), SECRET, m.end(1)) for m in _SECRET.finditer(text)]
+
+
+def _before(text: str, end: int, n: int) -> list[str]:
+    """The last n whole words before a place, nearest first; a word that touches it counts."""
+    found = []
+    while len(found) < n:
+        while end > 0 and text[end - 1] in SPACES:
+            end -= 1
+        if end == 0:
+            break
+        start = end
+        while start > 0 and text[start - 1] not in SPACES:
+            start -= 1
+        found.append(text[start:end])
+        end = start
+    return found
+
+
+def _after(text: str, start: int) -> str | None:
+    while start < len(text) and text[start] in SPACES:
+        start += 1
+    end = start
+    while end < len(text) and text[end] not in SPACES:
+        end += 1
+    return text[start:end] or None
+
+
+def named(text: str) -> str:
+    """A text as it is, or, if it is long, its SHA-256: equal for equal texts."""
+    return text if len(text) <= 64 else "#" + hashlib.sha256(text.encode()).hexdigest()
+
+
 def _context(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a span: the two words before it, and the words on either side; digits are one class."""
-    plain = lambda w: re.sub(r"[0-9]+", "0", w.lower())
-    left = [plain(w) for w in _WORD.findall(text[max(0, start - 60) : start])][-2:]
-    right = [plain(w) for w in _WORD.findall(text[end : end + 40])][:1]
-    found = [f"{' '.join(left)} _"] if len(left) == 2 else []
-    return [*found, f"{left[-1]} _ {right[0]}"] if left and right else found
+    """The lexical patterns of a span."""
+    plain = lambda w: named(re.sub(r"[0-9]+", "0", w.lower()))
+    left = [plain(w) for w in _before(text, start, 2)]
+    right = _after(text, end)
+    found = [f"{left[0]} _"] if left else []
+    if right:
+        found.append(f"_ {plain(right)}")
+    if left and right:
+        found.append(f"{left[0]} _ {plain(right)}")
+    if len(left) == 2:
+        found += [f"{left[1]} {left[0]} _", f"{left[1]} * _"]
+    return found
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, class, end) of identifier-like strings off the base spans; class 0 is for addresses, 1 for numbers."""
-    starts = [s for s, _, _ in base]
-    ends = [0]
-    for _, _, e in base:
-        ends.append(max(ends[-1], e))
-    out = []
-    for kind, pattern in ((0, _MAIL_LIKE), (1, _NUMBER)):
+    """(start, class, end) of identifier-like strings off the seeds: addresses, then numbers off these, then tokens of
+    letters and digits off both."""
+    taken, out = sorted((s, e) for s, _, e in base), []
+    for kind, pattern in ((ADDRESS, _MAIL_LIKE), (NUMBER, _NUMBER), (TOKEN, _TOKEN)):
         if kind or "@" in text or "at)" in text or "at]" in text:
+            starts, ends = [s for s, _ in taken], [0]
+            for _, e in taken:
+                ends.append(max(ends[-1], e))
             for m in pattern.finditer(text):
-                before = bisect_right(starts, m.end() - 1)
-                if ends[before] <= m.start():
-                    out.append((m.start(), kind, m.end()))
+                if ends[bisect_right(starts, m.end() - 1)] > m.start():
+                    continue
+                if kind == TOKEN and not (re.search("[A-Za-z]", m.group()) and len(re.findall("[0-9]", m.group())) >= 4):
+                    continue
+                out.append((m.start(), kind, m.end()))
+            taken = sorted(taken + [(s, e) for s, k, e in out if k == kind])
     return out
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """rounds of scoring; threshold and seeds (different seed values) that a pattern must reach."""
+    """rounds of scoring at most; threshold and seeds (different seed values) that a pattern must reach; secrets:
+    whether these are looked for."""
 
-    rounds: int = 3
-    threshold: float = 0.8
+    rounds: int = 4
+    threshold: float = 0.7
     seeds: int = 5
+    secrets: bool = True
 
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _MENTION = T.StructType([*_SPAN.fields, T.StructField("seed", T.BooleanType()), T.StructField("value", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
 
 
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base (spans), mentions (base spans and candidates, with value and patterns): one row per row of docs."""
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secrets: bool = True) -> DataFrame:
+    """doc_id, base (spans), mentions (base spans, secrets and candidates, with value and patterns): one row per row of
+    docs."""
     given = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     schema = T.StructType([given.schema["doc_id"], T.StructField("base", T.ArrayType(_SPAN)), T.StructField("mentions", T.ArrayType(_MENTION))])
 
@@ -114,10 +173,9 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 text = text.as_py()
                 base = base_spans(text)
                 bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-                own = [(s, k, e, True) for s, k, e in base] + [(s, k, e, False) for s, k, e in candidates(text, base)]
-                found.append(
-                    [{"start": s, "kind": k, "end": e, "seed": is_seed, "value": text[s:e][:200], "patterns": _context(text, s, e)} for s, k, e, is_seed in own]
-                )
+                seeds = sorted(base + secret_spans(text)) if secrets else base
+                own = [(s, k, e, True) for s, k, e in seeds] + [(s, k, e, False) for s, k, e in candidates(text, seeds)]
+                found.append([{"start": s, "kind": k, "end": e, "seed": is_seed, "value": named(text[s:e]), "patterns": _context(text, s, e)} for s, k, e, is_seed in own])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(bases, pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "kind", "end")]))), pa.array(found, _arrow_mentions())],
                 names=schema.names,
@@ -130,56 +188,73 @@ def _arrow_mentions() -> pa.DataType:
     return pa.list_(pa.struct([*((n, pa.int32()) for n in ("start", "kind", "end")), ("seed", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
 
-def trusted_patterns(edges: DataFrame, settings: Bootstrap, scratch: Scratch) -> DataFrame:
-    """kind, pattern, confidence: the patterns that end above the threshold.
+def trusted_patterns(edges: DataFrame, seeds: DataFrame, settings: Bootstrap, scratch: Scratch) -> DataFrame:
+    """class, pattern, kind, confidence: the patterns that the rounds end up trusting.
 
-    edges: class, kind (null for candidates), pattern, value, n. A pattern belongs to the kind of its seeds; its
-    confidence is the mean of its values' over all it was found with, a seed counting 1, and a value's is the chance
-    that one of its patterns is right, 1 - product of (1 - confidence).
+    edges: class, pattern, value, distinct. seeds: class, value, kind. A pattern's confidence in a kind is
+    own / (all + 1), own being its values of that kind and all its values of whatever kind or none, so what is another
+    kind's seed speaks against it; it is trusted from settings.threshold on if own reaches settings.seeds. A value that
+    is no seed takes the kind with the largest 1 - product of (1 - confidence) over its trusted patterns, the first as
+    listed on a tie, and is a seed from the next round on.
     """
-    support = edges.filter("kind is not null").groupBy("kind", "class", "pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= settings.seeds)
-    graph = scratch.save(
-        edges.filter("kind is null").drop("kind").join(support, ["class", "pattern"]).select("kind", "pattern", "value", "seeds"), "graph"
-    )
-    values = graph.select("kind", "value").distinct().withColumn("trust", F.lit(0.0))
-    patterns = None
-    for turn in range(settings.rounds):
-        seen = graph.join(values, ["kind", "value"])
-        of_values = seen.groupBy("kind", "pattern").agg(F.sum("trust").alias("trust"), F.count("*").alias("unknown"))
-        patterns = support.select("kind", "pattern", "seeds").join(of_values, ["kind", "pattern"], "left")
-        confidence = (F.col("seeds") + F.coalesce("trust", F.lit(0.0))) / (F.col("seeds") + F.coalesce("unknown", F.lit(0)))
-        patterns = scratch.save(patterns.select("kind", "pattern", confidence.alias("confidence")), f"patterns-{turn}")
-        doubt = F.least(F.col("confidence"), F.lit(0.999999))
-        values = graph.join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - doubt)))).alias("trust"))
-        values = scratch.save(values, f"values-{turn}")
-    return patterns.filter(F.col("confidence") >= settings.threshold)
+    whole = scratch.save(edges.groupBy("class", "pattern").agg(F.count("*").alias("all")).filter(F.col("all") >= settings.seeds), "whole")
+    able = scratch.save(edges.join(whole.select("class", "pattern"), ["class", "pattern"], "left_semi"), "able")
+    known = scratch.save(seeds.groupBy("class", "value").agg(F.min("kind").alias("kind")), "known-0")
+    for turn in range(1, settings.rounds + 1):
+        own = able.join(known, ["class", "value"]).groupBy("class", "pattern", "kind").agg(F.count("*").alias("own")).filter(F.col("own") >= settings.seeds)
+        scored = own.join(whole, ["class", "pattern"]).withColumn("confidence", F.col("own") / (F.col("all") + 1))
+        patterns = scratch.save(scored.filter(F.col("confidence") >= settings.threshold).select("class", "pattern", "kind", "confidence"), f"patterns-{turn}")
+        vouched = able.join(known, ["class", "value"], "left_anti").join(patterns, ["class", "pattern"])
+        trust = vouched.groupBy("class", "value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("trust"))
+        new = trust.groupBy("class", "value").agg((-F.max(F.struct("trust", -F.col("kind")))["col2"]).alias("kind"))
+        new = scratch.save(new, f"new-{turn}")
+        if new.isEmpty():
+            break
+        known = scratch.save(known.unionByName(new), f"known-{turn}")
+    return patterns
 
 
 def _joined(spans: Column) -> Column:
-    name = F.array(*map(F.lit, KINDS))
+    name = F.array(*map(F.lit, (*KINDS, "secret")))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ",")
 
 
 def find(docs: DataFrame, settings: Bootstrap = Bootstrap(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and spans (arrays of start, kind's place, end; base ones included): one row per row of docs.
 
-    A null text counts as empty. Repeated rows get a row each; other columns of docs are not read. Offsets are code
-    points. A candidate accepted for several kinds takes the first of them as listed.
+    A null text counts as empty, a null id stays null, and an empty table gives an empty one. Repeated rows get a row
+    each and count once as evidence; very long texts are read whole; other columns of docs are not read. Offsets are
+    code points. A candidate in trusted patterns of several kinds takes that of the most confident one, the first kind
+    as listed on a tie. Spans of kind SECRET are seeds and findings alike, and never base ones.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    rows = scratch.save(mentions(docs, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    rows = scratch.save(mentions(docs, id_col, text_col, settings.secrets).withColumn("row_id", F.monotonically_increasing_id()), "rows")
     each = rows.select("row_id", F.explode("mentions").alias("m")).select("row_id", "m.*")
-    spread = each.withColumn("pattern", F.explode("patterns")).withColumn("class", F.when(F.col("seed"), F.when(F.col("kind") == 0, 0).otherwise(1)).otherwise(F.col("kind")))
-    edges = spread.groupBy("class", F.when(F.col("seed"), F.col("kind")).alias("kind"), "pattern", "value").agg(F.count("*").alias("n"))
-    trusted = trusted_patterns(scratch.save(edges, "edges"), settings, scratch)
-    trusted = trusted.withColumn("class", F.when(F.col("kind") == 0, 0).otherwise(1))
-    new = spread.filter("not seed").drop("kind").join(trusted, ["class", "pattern"]).groupBy("row_id", "start", "end").agg(F.min("kind").alias("kind"))
-    new = scratch.save(new.groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new")), "new")
+    of_kind = F.get(F.array(*map(F.lit, CLASS_OF)), F.col("kind"))
+    spread = each.withColumn("pattern", F.explode("patterns")).withColumn("class", F.when(F.col("seed"), of_kind).otherwise(F.col("kind")))
+    edges = scratch.save(spread.select("class", "pattern", "value").distinct(), "edges")
+    seeds = each.filter("seed").select(of_kind.alias("class"), "value", "kind").distinct()
+    trusted = trusted_patterns(edges, seeds, settings, scratch)
+    new = spread.filter("not seed").drop("kind").join(trusted, ["class", "pattern"])
+    new = new.groupBy("row_id", "start", "end").agg((-F.max(F.struct("confidence", -F.col("kind")))["col2"]).alias("kind"))
+    secret = each.filter((F.col("kind") == SECRET) & F.col("seed")).select("row_id", "start", "end", "kind")
+    new = new.unionByName(secret).groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
+    new = scratch.save(new, "new")
     spans = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast(T.ArrayType(_SPAN)))))
     return rows.join(new, "row_id", "left").select("doc_id", "base", spans.alias("spans"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spans has all spans of the four kinds; what has no kind in the contract, secrets, is in columns of its own."""
     found = find(documents(spark, sf_dir))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    listed, secret = F.filter("spans", lambda s: s["kind"] < SECRET), F.filter("spans", lambda s: s["kind"] == SECRET)
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        _joined(listed).alias("spans"),
+        F.size("spans").cast("long").alias("n_found"),
+        F.size(secret).cast("long").alias("n_secret"),
+        _joined(secret).alias("secret_spans"),
+    )
