@@ -11,10 +11,11 @@ Words are lower-cased (A-Z) and joined by one space; a text ends in a line feed
 score is the log10 probability of the whole text with its end. A text can also be scored adaptively, by a trie that
 learns from the text alone.
 
-The model goes to the tasks in parts of at most PART contexts, split by the two bytes before the coded one, which all
-contexts of a position share: a part is what is broadcast, parts are fetched one after the other, and a larger corpus
-makes more of them. Word counts for the base score stay in a table: the most frequent words, at most FREQUENT, are
-broadcast, and the rest of the tokens are joined.
+The probability of a byte after its context is a number for each gram of ORDER + 1 bytes, whatever text it stands in,
+so the corpus is read in chunks of at most CHUNK bytes and one text more, each with its distinct grams and words. These are counted,
+the grams priced by joins with the levels of the trie, and the prices go back to the chunks that asked, where the texts
+are summed up. No table of the model is ever whole in one place: driver and tasks hold what one chunk asks for. Words
+go the same way, with their counts, for the base score. They are told apart by 63 bits of a hash.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +34,11 @@ from pyspark.sql import types as T
 from tallyspark.llm.common import Scratch, documents, text_of
 
 ORDER = 5
-PART, FREQUENT = 4_000_000, 1_000_000
-#: Bytes of text counted or scored together.
-COUNT_BYTES, SCORE_BYTES = 4_000_000, 1_000_000
+#: Bytes of text that ask for their grams together, and that are counted or scored at a time.
+CHUNK, COUNT_BYTES, SCORE_BYTES = 64_000_000, 4_000_000, 1_000_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END_WORD = 0
-GRAM_ROW, WORD_ROW = 0, 1
+GRAM_ROW, WORD_ROW, TEXT_ROW = 0, 1, 2
 
 
 def word_key(word: bytes) -> int:
@@ -70,39 +71,81 @@ def _words(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-def _counted(batches):
-    def rows(texts):
-        data, at, _ = _stream(texts)
-        keys, counts = np.unique(_grams(data)[at - ORDER], return_counts=True)
-        words = Counter(w for x in texts for w in x)
-        word_keys = np.fromiter(map(word_key, words), np.int64, len(words))
-        kind = np.concatenate((np.full(len(keys), GRAM_ROW, np.int8), np.full(len(words) + 1, WORD_ROW, np.int8)))
-        key = np.concatenate((keys, word_keys, [END_WORD])).astype(np.int64)
-        n = np.concatenate((counts, np.fromiter(words.values(), np.int64, len(words)), [len(texts)])).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
-
-    texts, size = [], 0
-    for batch in batches:
-        for t in batch.column("text"):
-            t = t.as_py()
-            texts.append(_words(t))
-            size += len(t)
-            if size > COUNT_BYTES:
-                yield rows(texts)
-                texts, size = [], 0
-    if texts:
-        yield rows(texts)
+class _Chunk:
+    """The texts of a chunk as normalised lines, its distinct grams with their training counts, and its words."""
+
+    def __init__(self, at_once: int):
+        self.at_once = at_once
+        self.texts, self.waiting, self.size, self.waiting_size = [], [], 0, 0
+        self.grams, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.words: Counter = Counter()
+        self.trained = 0
+
+    def add(self, text: bytes, held_out: bool) -> None:
+        words = _words(text)
+        self.texts.append(b" ".join(words))
+        self.waiting.append((words, held_out))
+        self.size += len(text)
+        self.waiting_size += len(text)
+        if self.waiting_size > self.at_once:
+            self.count()
+
+    def count(self) -> None:
+        if not self.waiting:
+            return
+        data, at, begins = _stream([w for w, _ in self.waiting])
+        held = np.array([h for _, h in self.waiting])
+        sizes = np.diff(np.concatenate((begins, [len(at)])))
+        # the lowest bit tells held-out occurrences, which ask but don't count
+        keys, counts = np.unique(_grams(data)[at - ORDER] << 1 | np.repeat(held, sizes), return_counts=True)
+        keys, counts = np.concatenate((self.grams, keys >> 1)), np.concatenate((self.counts, np.where(keys & 1, 0, counts)))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        self.grams, self.counts = keys[first], np.add.reduceat(counts, first)
+        for words, held_out in self.waiting:
+            self.words.update(dict.fromkeys(words, 0) if held_out else words)
+            self.trained += not held_out
+        self.waiting, self.waiting_size = [], 0
+
+    def rows(self, chunk: int, ids: pa.Array, held: pa.Array) -> list[pa.RecordBatch]:
+        self.count()
+        n, words = len(self.texts), np.fromiter(map(word_key, self.words), np.int64, len(self.words))
+        key = np.concatenate((self.grams, words, [END_WORD]))
+        count = np.concatenate((self.counts, np.fromiter(self.words.values(), np.int64, len(words)), [self.trained]))
+        kind = np.concatenate((np.full(len(self.grams), GRAM_ROW, np.int8), np.full(len(words) + 1, WORD_ROW, np.int8)))
+        asked = [pa.array(np.full(len(key), chunk)), pa.array(kind), pa.array(key), pa.array(count), pa.nulls(len(key), ids.type), pa.nulls(len(key), held.type), pa.nulls(len(key), pa.binary())]
+        texts = [pa.array(np.full(n, chunk)), pa.array(np.full(n, TEXT_ROW, np.int8)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), ids, held, pa.array(self.texts, pa.binary())]
+        names = ["chunk", "kind", "key", "n", "doc_id", "held_out", "line"]
+        return [pa.RecordBatch.from_arrays(x, names=names) for x in (texts, asked)]
+
+
+def _chunked(size: int, at_once: int):
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        chunk, ids, held = _Chunk(at_once), [], []
+        for batch in batches:
+            done = 0
+            for k, (t, h) in enumerate(zip(batch.column("text"), batch.column("held_out").to_pylist())):
+                chunk.add(t.as_py(), h)
+                if chunk.size > size:
+                    ids.append(batch.column("doc_id").slice(done, k + 1 - done))
+                    held.append(batch.column("held_out").slice(done, k + 1 - done))
+                    yield from chunk.rows(number, pa.concat_arrays(ids), pa.concat_arrays(held))
+                    chunk, ids, held, done = _Chunk(at_once), [], [], k + 1
+                    number += 1
+            ids.append(batch.column("doc_id").slice(done))
+            held.append(batch.column("held_out").slice(done))
+        if chunk.texts:
+            yield from chunk.rows(number, pa.concat_arrays(ids), pa.concat_arrays(held))
+
+    return run
 
 
 def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """kind, key, n: bytes after their contexts, and words by hash. docs: text as binary."""
-    return docs.select("text").mapInArrow(_counted, "kind byte, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
 def trie(grams: DataFrame, scratch: Scratch) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 0: (key, n) of its grams, n being the weight, and (key, total, kinds, excluded) of its
     contexts, where excluded is what the children of a context weigh in the context one byte shorter."""
@@ -153,88 +196,47 @@ class Table:
         return found
 
 
-class Model:
-    """One part of the trie, as arrays; scores the positions whose two preceding bytes fall to it."""
-
-    def __init__(self, levels: list[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]], part: int, parts: int):
-        self.levels, self.part, self.parts = levels, part, parts
-        (keys, n), (contexts, total, kinds, _) = levels[ORDER]
-        at = np.searchsorted(contexts, keys >> 8)
-        self.top = np.log10(n / (total[at] + kinds[at])) if len(keys) else np.empty(0)
-        self.table = Table(keys)
-        levels[ORDER] = ((keys, None), levels[ORDER][1])  # a byte that the longest context knows is found in the table
-
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte after the others; 0 for grams of other parts."""
-        out = np.zeros(len(grams))
-        mine = np.arange(len(grams)) if self.parts == 1 else np.flatnonzero(part_of(grams >> 8 & 0xFFFF, self.parts) == self.part)
-        place = self.table.find(grams[mine])
-        hit = place >= 0
-        out[mine[hit]] = self.top[place[hit]]
-        todo = mine[~hit]
-        weigh, excluded = np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64)
-        for order in range(ORDER, -1, -1):
-            if not len(todo):
-                return out
-            (keys, n), (contexts, total, kinds, weighs) = self.levels[order]
-            own = grams[todo] & ((1 << 8 * (order + 1)) - 1)
-            at = np.minimum(np.searchsorted(contexts, own >> 8), len(contexts) - 1)
-            seen = contexts[at] == own >> 8 if len(contexts) else np.zeros(len(own), bool)
-            if order == ORDER or not len(keys):
-                coded, known = np.zeros(len(own), bool), np.ones(len(own), np.int64)
-            else:
-                gram_at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                coded, known = keys[gram_at] == own, n[gram_at]
-            left, kinds_left = np.where(seen, total[at] - weigh, 0), np.where(seen, kinds[at] - excluded, 0)
-            whole = np.maximum(left + kinds_left, 1)
-            out[todo] += np.where(coded, np.log10(known / whole), np.where(kinds_left > 0, np.log10(np.maximum(kinds_left, 1) / whole), 0))
-            weigh, excluded = np.where(seen, weighs[at], 0), np.where(seen, kinds[at], 0)
-            todo, weigh, excluded = todo[~coded], weigh[~coded], excluded[~coded]
-        out[todo] -= np.log10(256 - excluded)
-        return out
-
-
-def part_of(pair, parts: int):
-    """The part that a position falls to, by the two bytes before it."""
-    return (pair * 40503 & 0xFFFF) % parts
-
-
-def _model_parts(levels: list[tuple[DataFrame, DataFrame]], spark: SparkSession) -> list:
-    """Broadcasts, each of at most about PART contexts and grams of the longest order."""
-    size = levels[ORDER][0].count()
-    parts = max(1, math.ceil(size / PART))
-    out = []
-    for part in range(parts):
-        arrays = []
-        for order, (grams, contexts) in enumerate(levels):
-            if order >= 2 and parts > 1:
-                grams = grams.filter(_falls(F.shiftright("key", 8), part, parts))
-                contexts = contexts.filter(_falls(F.col("key"), part, parts))
-            arrays.append((_sorted(grams, ["key", "n"]), _sorted(contexts, ["key", "total", "kinds", "excluded"])))
-        out.append(spark.sparkContext.broadcast((arrays, part, parts)))
-        out[-1].__dict__.pop("_value", None)  # the driver keeps the file alone
-    return out
-
-
-def _falls(context: Column, part: int, parts: int) -> Column:
-    return (context.bitwiseAND(F.lit(0xFFFF)) * 40503).bitwiseAND(F.lit(0xFFFF)) % parts == part
-
-
-def _sorted(df: DataFrame, names: list[str]) -> tuple[np.ndarray, ...]:
-    table = df.select(*names).toArrow()
-    columns = [table.column(n).to_numpy() for n in names]
-    order = np.argsort(columns[0])
-    return tuple(c[order] for c in columns)
-
-
-def _frequent(words: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """least count, keys and counts of the words with at least it: as many powers of two of counts as FREQUENT holds."""
-    sizes = dict(words.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count("*").alias("words")).collect())  # a row per power of two
-    least, held = max(sizes, default=0) + 1, 0
-    while least > 0 and held + sizes.get(least - 1, 0) <= FREQUENT:
-        least -= 1
-        held += sizes.get(least, 0)
-    return (1 << least, *_sorted(words.filter(F.col("n") >= (1 << least)), ["key", "n"]))
+def unknown_prices(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """key, price: log10 probability of grams that training has not seen, down the contexts until one knows the byte."""
+    long = lambda x: F.lit(x).cast("long")
+    todo = grams.select("key", F.lit(0.0).alias("price"), long(0).alias("weigh"), long(0).alias("gone"), F.lit(False).alias("done"))
+    for order in range(ORDER, -1, -1):
+        known, contexts = levels[order]
+        own = F.col("key").bitwiseAND(long((1 << 8 * (order + 1)) - 1))
+        todo = todo.withColumn("own", own).withColumn("context", F.shiftright("own", 8))
+        todo = todo.join(contexts.select(F.col("key").alias("context"), "total", "kinds", "excluded"), "context", "left")
+        if order < ORDER:
+            todo = todo.join(known.select(F.col("key").alias("own"), F.col("n").alias("weight")), "own", "left")
+        else:
+            todo = todo.withColumn("weight", F.lit(None).cast("long"))
+        seen = F.col("total").isNotNull()
+        left, kinds = F.when(seen, F.col("total") - F.col("weigh")).otherwise(long(0)), F.when(seen, F.col("kinds") - F.col("gone")).otherwise(long(0))
+        whole = F.greatest(left + kinds, long(1))
+        coded = F.col("weight").isNotNull()
+        step = F.when(coded, F.log10(F.col("weight") / whole)).when(kinds > 0, F.log10(kinds / whole)).otherwise(0.0)
+        todo = todo.select(
+            "key",
+            F.when(F.col("done"), F.col("price")).otherwise(F.col("price") + step).alias("price"),
+            F.coalesce("excluded", long(0)).alias("weigh"),
+            F.coalesce("kinds", long(0)).alias("gone"),
+            (F.col("done") | coded).alias("done"),
+        )
+    return todo.select("key", F.when(F.col("done"), F.col("price")).otherwise(F.col("price") - F.log10(256 - F.col("gone"))).alias("price"))
+
+
+def _summed(lines: list[bytes], grams: Table, prices: np.ndarray, words: Table, counts: np.ndarray, end_n: float, whole: float) -> list[pa.Array]:
+    """n_tokens, n_known, base_score and score of texts whose grams and words all have prices and counts."""
+    texts = [x.split(b" ") if x else [] for x in lines]
+    sizes = np.array([len(x) for x in texts], np.int64)
+    coded = pa.array([w for x in texts for w in x], pa.binary()).dictionary_encode()
+    keys = np.fromiter(map(word_key, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    n = counts[words.find(keys)] if len(keys) else np.empty(0)
+    codes, text_no = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+    n_known = np.bincount(text_no, (n > 0)[codes], len(texts)).astype(np.int64) + (end_n > 0)
+    base = np.bincount(text_no, np.log10((n + 0.1) / whole)[codes], len(texts)) + math.log10((end_n + 0.1) / whole)
+    data, places, begins = _stream(texts)
+    score = np.add.reduceat(prices[grams.find(_grams(data)[places - ORDER])], begins)
+    return [pa.array(sizes + 1), pa.array(n_known), pa.array(base), pa.array(score)]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -242,77 +244,51 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     Learns from the rows where held_out is false; by default ids whose crc32 is divisible by ten are held out, and
     rows without an id are learnt from. Null texts count as empty: their one token is the end. Without any row to
-    learn from, every byte has one chance in 256. Repeated rows count as often as they stand there; other columns of
-    docs are not read.
+    learn from, every byte has one chance in 256. Repeated rows count as often as they stand there, and nothing ties.
+    A very long text is a chunk by itself. An empty table gives an empty one; other columns of docs are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
     given = docs.select(
         F.col(id_col).alias("doc_id"), (is_held_out(id_col) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held_out"), F.encode(text_of(text_col), "UTF-8").alias("text")
     )
-    counted = scratch.save(counts(given.filter("not held_out")), "counts")
-    words = counted.filter(F.col("kind") == WORD_ROW).select("key", "n")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    models = _model_parts(trie(counted.filter(F.col("kind") == GRAM_ROW), scratch), spark)
-    end_n = (words.filter(F.col("key") == END_WORD).agg(F.sum("n")).first()[0] or 0) if tokens else 0
-    least, *known = _frequent(words)
-    frequent = spark.sparkContext.broadcast(tuple(known))
+    own = [T.StructField(f.name, f.dataType) for f in (given.schema["doc_id"], given.schema["held_out"])]
+    chunks = scratch.save(given.mapInArrow(_chunked(CHUNK, COUNT_BYTES), T.StructType([*T._parse_datatype_string("chunk bigint, kind byte, key bigint, n bigint").fields, *own, T.StructField("line", T.BinaryType())])), "chunks")
+    asked = chunks.filter(F.col("kind") != TEXT_ROW).select("chunk", "kind", "key", "n")
+    counted = scratch.save(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    words = counted.filter(F.col("kind") == WORD_ROW)
+    known_words = words.filter("n > 0")
+    tokens, distinct, end_n = known_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("key") == END_WORD, F.col("n"))), F.lit(0))).first()
     whole = tokens + 0.1 * (distinct + 1)
-    fields = "n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>"
-    schema = T.StructType([given.schema["doc_id"], given.schema["held_out"], *T._parse_datatype_string(fields).fields])
-
-    def scored(texts: list[list[bytes]], loaded: dict):
-        sizes = np.array([len(x) for x in texts], np.int64)
-        coded = pa.array([w for x in texts for w in x], pa.binary()).dictionary_encode()
-        keys = np.fromiter(map(word_key, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        word_keys, word_counts = frequent.value
-        at = np.minimum(np.searchsorted(word_keys, keys), len(word_keys) - 1)
-        n = np.where(word_keys[at] == keys, word_counts[at], 0) if len(word_keys) else np.zeros(len(keys), np.int64)
-        codes = coded.indices.to_numpy()
-        hit = n > 0
-        text_no = np.repeat(np.arange(len(texts)), sizes)
-        n_known = np.bincount(text_no, hit[codes], len(texts)).astype(np.int64) + (end_n > 0)
-        base = np.bincount(text_no, np.where(hit, np.log10((n + 0.1) / whole), 0)[codes], len(texts)) + (math.log10((end_n + 0.1) / whole) if whole else 0)
-        missed = ~hit[codes]
-        rare, rare_sizes = keys[codes[missed]], np.bincount(text_no[missed], minlength=len(texts))
-        data, places, begins = _stream(texts)
-        grams = _grams(data)[places - ORDER]
-        total = np.zeros(len(texts))
-        for k, part in enumerate(models):
-            if k not in loaded:
-                loaded.clear()  # one part at a time
-                loaded[k] = Model(*part.value)
-                part.__dict__.pop("_value", None)
-            total += np.add.reduceat(loaded[k].score(grams), begins)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rare_sizes))).astype(np.int32)), pa.array(rare))
-        return [pa.array(sizes + 1), pa.array(n_known), pa.array(base), pa.array(total), lists]
-
-    def run(batches):
-        loaded: dict = {}
-        for batch in batches:
-            done, texts, size = 0, [], 0
-            for k, t in enumerate(batch.column("text")):
-                t = t.as_py()
-                texts.append(_words(t))
-                size += len(t)
-                if size > SCORE_BYTES or k == batch.num_rows - 1:
-                    own = batch.slice(done, len(texts))
-                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), *scored(texts, loaded)], names=schema.names)
-                    done, texts, size = k + 1, [], 0
-
-    rows = scratch.save(given.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "rows")
-    tails = rows.select("row_id", F.explode("rare").alias("key")).join(words.filter(F.col("n") < least), "key", "left")
-    term = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.1)) / F.lit(float(whole or 1)))
-    tails = tails.groupBy("row_id").agg(F.count("n").alias("more_known"), F.sum(term).alias("more"))
-    return rows.join(tails, "row_id", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(int(tokens)).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    grams = counted.filter(F.col("kind") == GRAM_ROW)
+    levels = trie(grams.filter("n > 0"), scratch)
+    longest = levels[ORDER][1].select(F.col("key").alias("context"), "total", "kinds")
+    known = grams.filter("n > 0").withColumn("context", F.shiftright("key", 8)).join(longest, "context").select("key", F.log10((2 * F.col("n") - 1) / (F.col("total") + F.col("kinds"))).alias("price"))
+    priced = known.unionByName(unknown_prices(grams.filter("n = 0"), levels)).select(F.lit(GRAM_ROW).cast("byte").alias("kind"), "key", "price")
+    priced = scratch.save(priced.unionByName(words.select("kind", "key", F.col("n").cast("double").alias("price"))), "prices")
+    answers = asked.select(F.col("chunk").alias("asker"), "kind", "key").join(priced, ["kind", "key"]).select("asker", "kind", "key", "price")
+    fields = T._parse_datatype_string("n_tokens bigint, n_known bigint, base_score double, score double").fields
+    schema = T.StructType([*own, *fields])
+
+    def summed(texts: pa.Table, found: pa.Table) -> pa.Table:
+        kind, key, price = (found.column(c).to_numpy() for c in ("kind", "key", "price"))
+        gram, word = kind == GRAM_ROW, kind == WORD_ROW
+        gram_table, prices, word_table, counts = Table(key[gram]), price[gram], Table(key[word]), price[word]
+        out, lines, size = [], [], 0
+        for line in texts.column("line"):
+            lines.append(line.as_py())
+            size += len(lines[-1])
+            if size > SCORE_BYTES:
+                out.append(_summed(lines, gram_table, prices, word_table, counts, end_n, whole))
+                lines, size = [], 0
+        if lines:
+            out.append(_summed(lines, gram_table, prices, word_table, counts, end_n, whole))
+        columns = [pa.chunked_array([x[k] for x in out], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+        return pa.table([texts.column("doc_id"), texts.column("held_out"), *columns], names=schema.names)
+
+    texts = chunks.filter(F.col("kind") == TEXT_ROW).select("chunk", "doc_id", "held_out", "line")
+    rows = texts.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(summed, schema)
+    return rows.withColumn("train_tokens", F.lit(int(tokens)).cast("bigint")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def adaptive_score(text: bytes) -> float:
