@@ -1,6 +1,15 @@
 """The dealt methods themselves: that results come from factors, tallies, splices, rounds and joins."""
 
-from tallyspark.llm import substring_dedup
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.llm import exact_dedup, jaccard, mixing, pii, simhash, substring_dedup, token_counts
+
+tokenizers_files = pytest.importorskip("public_tokenizers")
+WORDS = tokenizers_files.path("word_bpe_49k.json")
 
 
 def test_factors_are_the_longest_runs_of_one_source():
@@ -9,3 +18,131 @@ def test_factors_are_the_longest_runs_of_one_source():
     assert substring_dedup.parsed(held, 100) == [(0, 44, 10), (10, 49, 50), (20, 59, 52), (25, 64, 70)]
     twice = [(0, 0, 5, 10, 30), (1, 5, 5, 31, 90), (2, 10, 5, 32, 91)]
     assert substring_dedup.parsed(twice, 500) == [(0, 49, 30)]
+
+
+def test_vocabularies_that_cross_white_space_are_encoded_whole(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.BPE(vocab={c: k for k, c in enumerate(["a", "b", "Ġ", "Ġb"])}, merges=[("Ġ", "b")]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(str(tmp_path / "own.json"))
+    assert not token_counts.splits_at_space(made.to_str())
+    assert token_counts.splits_at_space(open(WORDS).read())
+    texts = ["a b a", "", "ab  b", "b\na " * 9000]
+    found = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "own.json"))
+    assert {r.doc_id: r.n_tokens for r in found.collect()} == {k: len(made.encode(t).ids) for k, t in enumerate(texts)}
+
+
+def test_ordinary_long_documents_are_spliced():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORDS)
+    counter = token_counts.Counter(open(WORDS).read())
+    random.seed(3)
+    texts = [" ".join("".join(random.choice("abcdefé(9") for _ in range(random.randint(1, 12))) for _ in range(n)) for n in (10, 1000, 3000, 9000)]
+    assert counter.counts([t.encode() for t in texts]) == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter.spliced == sum(len(t) > token_counts.CHUNK for t in texts) == 2
+
+
+def test_leaves_of_weight_0_are_no_room_and_no_token_is_lost(spark):
+    leaves = spark.createDataFrame([("a", "en", "x", 1000), ("a", "en", "y", 10), ("b", "en", "y", 1000)], "domain string, lang string, source string, tokens long")
+    mixture = mixing.Mixture(weights={"source": {"x": 0}}, budget=500, epochs=1)
+    given = {(r.domain, r.source): r.budget for r in mixing.budgets(leaves, mixture).collect()}
+    assert given == {("a", "x"): 0, ("a", "y"): 10, ("b", "y"): 995}
+    uneven = spark.createDataFrame([("a", "en", str(k), 100) for k in range(7)], "domain string, lang string, source string, tokens long")
+    assert sum(r.budget for r in mixing.budgets(uneven, mixing.Mixture(budget=501, epochs=1)).collect()) == 350
+
+
+def test_columns_of_any_name_go_through(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 2} " * 60, "en", "src1", 1) for k in range(6)], "doc_id long, text string, lang string, source string, `a.b` int").withColumn("`c", F.lit(2))
+    mixed = mixing.mix(docs, mixing.Mixture(budget=999, epochs=1), F.lit("d"))
+    assert mixed.columns == [*docs.columns, "__mix"] and mixed.count() > 0
+    for kept in (exact_dedup.exact_dedup(docs), simhash.near_dedup(docs), jaccard.near_dedup(docs)):
+        assert kept.columns == docs.columns and kept.count() == 2
+
+
+def plain_bootstrap(docs, settings):
+    """spans that the method adds, by plain loops over the same mentions."""
+    rows = []
+    for i, text in docs:
+        base = sorted(pii.base_spans(text) + pii.secret_spans(text))
+        rows += [(i, s, e, pii.CLASS_OF[k], k, text[s:e], pii._context(text, s, e)) for s, k, e in base]
+        rows += [(i, s, e, c, None, text[s:e], pii._context(text, s, e)) for s, c, e in pii.candidates(text, base)]
+    values, known = defaultdict(set), {}
+    for _, _, _, c, k, v, patterns in rows:
+        for p in patterns:
+            values[c, p].add(v)
+        if k is not None:
+            known[c, v] = min(k, known.get((c, v), k))
+    trusted = {}
+    for _ in range(settings.rounds):
+        trusted = {}
+        for (c, p), vs in values.items():
+            for kind, own in Counter(known[c, v] for v in vs if (c, v) in known).items():
+                if own >= settings.seeds and own / (len(vs) + 1) >= settings.threshold:
+                    trusted[c, p, kind] = own / (len(vs) + 1)
+        doubt = defaultdict(lambda: 1.0)
+        for (c, p, kind), confidence in trusted.items():
+            for v in values[c, p]:
+                if (c, v) not in known:
+                    doubt[c, v, kind] *= 1 - confidence
+        new = {}
+        for (c, v, kind), d in doubt.items():
+            new[c, v] = max(new.get((c, v), (-1, 0)), (1 - d, -kind))
+        if not new:
+            break
+        known |= {key: -kind for key, (_, kind) in new.items()}
+    found = set()
+    for i, s, e, c, k, _, patterns in rows:
+        hits = [(t, -kind) for (c2, p, kind), t in trusted.items() if c2 == c and p in patterns]
+        if k is None and hits:
+            found.add((i, s, -max(hits)[1], e))
+    return found
+
+
+def planted(n=400):
+    """Texts with identifiers that base expressions see and that they don't, in telling and in other contexts, and what
+    is to be found."""
+    random.seed(11)
+    noise = ["stone", "river", "green", "quickly", "under", "market", "seven", "old", "paper", "walk"]
+    fill = lambda k: " ".join(random.choice(noise) for _ in range(k))
+    docs, hidden = [], set()
+    for i in range(n):
+        kind = random.choice(["mail", "phone", "card"])
+        number = "".join(random.choice("0123456789") for _ in range(10))
+        context = {"mail": random.choice(["write to {} please", "contact us at {} today"]), "phone": random.choice(["call me on {} now", "my number is {} thanks"]), "card": "charged to card {} yesterday"}[kind]
+        unseen = random.random() < 0.2
+        value = {
+            "mail": f"jo{number}(at)example.com" if unseen else f"jo{number}@example.com",
+            "phone": number if unseen else f"+1 {number}",
+            "card": "4" + "1" * 5 + number if unseen else "4539578763621486"[:6] + number,
+        }[kind]
+        if kind == "card":
+            digits = [d for d in range(10) if pii.luhn(value[:-1] + str(d)) != unseen]
+            value = value[:-1] + str(digits[0])
+        start = fill(5) + " "
+        before, after = context.split("{}")
+        text = f"{start}{before}{value}{after} {fill(4)}. lot {random.randint(10**9, 10**10 - 1)} sold {fill(3)}"
+        docs.append((i, text))
+        if unseen:
+            at = len(start) + len(before)
+            hidden.add((i, at, {"mail": 0, "phone": 3, "card": 2}[kind], at + len(value)))
+    return docs, hidden
+
+
+def test_bootstrapping_equals_plain_loops_and_finds_what_was_planted(spark):
+    docs, hidden = planted()
+    settings = pii.Bootstrap()
+    rows = pii.find(spark.createDataFrame(docs, "doc_id long, text string"), settings).collect()
+    found = {(r.doc_id, s.start, s.kind, s.end) for r in rows for s in r.spans if s not in r.base}
+    assert found == plain_bootstrap(docs, settings)
+    print("planted", len(hidden), "found", len(found), "right", len(found & hidden))
+    assert len(found & hidden) >= 0.9 * len(hidden) and len(found & hidden) >= 0.95 * len(found)
+
+
+def test_secrets_and_long_values():
+    text = 'key token = "0123456789abcdef0123" end'
+    assert [(text[s:e], k) for s, k, e in pii.secret_spans(text)] == [("0123456789abcdef0123", pii.SECRET)]
+    long = "9" * 300
+    assert pii.named(long) != pii.named(long + "9") and len(pii.named(long)) == 65
+    assert pii._context("x" * 100 + " " + long + " y", 101, 401)[1] == "_ y"
