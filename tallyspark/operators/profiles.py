@@ -12,30 +12,27 @@ from pyspark.sql import types as T
 from tallyspark.functions import scalars as S
 from tallyspark.functions.names import fold
 from tallyspark.operators import windows as W
+from tallyspark.operators.peers import ranked
 from tallyspark.operators.search import centroid, shared_tokens
 
 #: What counts for whom, each group's weights adding up to 1.
 WEIGHTS = {
-    "FWD": {"xg": 0.22, "goals": 0.18, "assists": 0.12, "shots": 0.10, "dribbles_completed": 0.10, "progressive_carries": 0.10, "progressive_passes": 0.08, "passes_completed": 0.05, "ball_recoveries": 0.05},
-    "MID": {"progressive_passes": 0.18, "passes_completed": 0.12, "ball_recoveries": 0.12, "interceptions": 0.12, "assists": 0.10, "progressive_carries": 0.10, "tackles": 0.10, "xg": 0.08, "dribbles_completed": 0.08},
-    "DEF": {"tackles": 0.16, "interceptions": 0.16, "clearances": 0.14, "ball_recoveries": 0.14, "progressive_passes": 0.14, "blocks": 0.10, "passes_completed": 0.10, "progressive_carries": 0.06},
+    "FWD": {"xg": 0.22, "goals": 0.18, "shots": 0.10, "assists": 0.12, "dribbles_completed": 0.10, "progressive_carries": 0.10, "progressive_passes": 0.08, "passes_completed": 0.05, "ball_recoveries": 0.05},
+    "MID": {"progressive_passes": 0.18, "passes_completed": 0.12, "assists": 0.10, "xg": 0.08, "progressive_carries": 0.10, "dribbles_completed": 0.08, "ball_recoveries": 0.12, "tackles": 0.10, "interceptions": 0.12},
+    "DEF": {"tackles": 0.16, "interceptions": 0.16, "clearances": 0.14, "blocks": 0.10, "ball_recoveries": 0.14, "progressive_passes": 0.14, "passes_completed": 0.10, "progressive_carries": 0.06},
     "GK": {"passes_completed": 0.35, "progressive_passes": 0.30, "clearances": 0.20, "ball_recoveries": 0.15},
 }
 
 
-def position_scores(frame: DataFrame, group: str = "position_group") -> DataFrame:
+def position_scores(frame: DataFrame, keys: list[str], group: str = "position_group") -> DataFrame:
     """frame with score: the weighted percentiles of a row within its position group, by that group's weights. Metrics
-    (<name>_per90) that the frame lacks and unknown groups give 0. Every percentile is a window over the same groups,
-    so the rows are dealt once; groups are few, which is the operator's own definition."""
+    (<name>_per90) that the frame lacks and unknown groups give 0. keys tell rows apart."""
     names = [n for n in dict.fromkeys(n for w in WEIGHTS.values() for n in w) if f"{n}_per90" in frame.columns]
-    held = frame.withColumns({f"__{n}": W.rank_percentile(f"{n}_per90", [group]) for n in names})
+    held = ranked(frame, keys, {f"__{n}": f"{n}_per90" for n in names}, [group])
     score = F.lit(0.0)
-    for name in names:
-        weight = F.lit(0.0)
-        for g, w in WEIGHTS.items():
-            if name in w:
-                weight = F.when(F.col(group) == g, F.lit(w[name])).otherwise(weight)
-        score = score + F.coalesce(f"__{name}", F.lit(0.0)) * weight
+    for g, weights in WEIGHTS.items():
+        own = {n: w for n, w in weights.items() if n in names}
+        score = F.when(F.col(group) == g, W.weighted_score({n: F.col(f"__{n}") for n in own}, own)).otherwise(score)
     return held.withColumn("score", score).drop(*[f"__{n}" for n in names])
 
 

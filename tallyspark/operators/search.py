@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions import scalars as S
-from tallyspark.functions.names import weighted_ratio
+from tallyspark.functions.names import fold, weighted_ratio
 from tallyspark.operators.windows import first_by
 
 OPERATORS = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__, "eq": Column.__eq__}
@@ -54,13 +55,21 @@ def execute(df: DataFrame, query: Query, keys: list[str]) -> DataFrame:
     return df.limit(query.limit)
 
 
+def projected(df: DataFrame, query: Query, identity: list[str], digits: int = 3) -> DataFrame:
+    """Who the rows are, and every number that the query names, rounded."""
+    named = sorted({f for f, _, _ in query.conditions} | ({query.order} if query.order else set()))
+    return df.select(*identity, *[F.bround(F.col(f).cast("double"), digits).alias(f) for f in named if f not in identity])
+
+
 def matching(df: DataFrame, constraints: dict[str, Column]) -> DataFrame:
     """Rows that meet all constraints; a missing attribute fails, one that no row has is no filter."""
-    known = df.agg(*[F.count(name).alias(name) for name in constraints]).first() if constraints else {}
+    if not constraints:
+        return df
+    known = df.agg(*[F.max(F.col(name).isNotNull()).alias(f"__{name}") for name in constraints])
+    marked = df.crossJoin(F.broadcast(known))  # one row
     for name, condition in constraints.items():
-        if known[name]:
-            df = df.filter(condition)
-    return df
+        marked = marked.filter(~F.coalesce(F.col(f"__{name}"), F.lit(False)) | F.coalesce(condition, F.lit(False)))
+    return marked.drop(*[f"__{name}" for name in constraints])
 
 
 def nearest(df: DataFrame, vector: str, query: list[float], top: int, keys: list[str]) -> DataFrame:
@@ -133,23 +142,110 @@ GROUP_WORDS = (
     ("MID", r"\b(midfield(?:er)?|playmaker|holding|regista|medio|meio[\s-]?campo|meia|trinco)s?\b"),
     ("FWD", r"\b(winger|striker|forward|attacker|centre[\s-]?forward|extremo|ponta de lanca|avancad[oa]|atacante)s?\b"),
 )
-OLDEST, YOUNGEST = r"\b(?:under|below|menos de)\s+(\d{1,2})\b", r"\b(?:over|above|mais de)\s+(\d{1,2})\b"
+ROLE_WORDS = (
+    ("Goalkeeper", r"\b(goalkeeper|keeper|goalie|guarda[\s-]?redes|guardiao|goleiro)s?\b", "GK"),
+    ("Wing Back", r"\b(wing[\s-]?backs?|alas?)\b", "DEF"),
+    ("Full Back", r"\b(full[\s-]?backs?|latera(?:l|is))\b", "DEF"),
+    ("Centre Back", r"\b(cent(?:re|er)[\s-]?backs?|defesas? centra(?:l|is)|centra(?:l|is))\b", "DEF"),
+    ("Defensive Midfield", r"\b(defensive midfield(?:er)?s?|holding midfield(?:er)?s?|trincos?|medios? defensivos?|volantes?)\b", "MID"),
+    ("Attacking Midfield", r"\b(attacking midfield(?:er)?s?|playmakers?|medios? ofensivos?|meias?)\b", "MID"),
+    ("Centre Forward", r"\b(cent(?:re|er)[\s-]?forwards?|strikers?|pontas? de lanca)\b", "FWD"),
+    ("Winger", r"\b(wingers?|extremos?)\b", "FWD"),
+)
+OLDEST = r"\b(?:under|younger than|below|u|sub|menos de|abaixo de|ate aos?)[\s-]?(\d{2})\b"
+YOUNGEST = r"\b(?:over|older than|above|mais de|acima de|a partir dos?)[\s-]?(\d{2})\b"
+YOUNG, YOUNG_MOST = r"\b(young|youngster|prospect|teenager|jovem|jovens|promessa)s?\b", 23
+VETERAN, VETERAN_LEAST = r"\b(veteran|experienced|older|veteran[oa]|experiente)s?\b", 32
+#: What people of a country are called, and the country's folded name.
+DEMONYMS = {
+    r"spanish|espanho(?:l|is|la|las)|espanha": "spain",
+    r"italians?|italian[oa]s?|italia": "italy",
+    r"french|frances(?:a|es|as)?|franca": "france",
+    r"english|ingles(?:a|es|as)?|inglaterra": "england",
+    r"americans?|american[oa]s?|estados unidos|eua|usa": "united states of america",
+    r"germans?|alemao|alema|alemaes|alemas|alemanha": "germany",
+    r"brazilians?|brasileir[oa]s?|brasil": "brazil",
+    r"argentin(?:e|ian)s?|argentin[oa]s?": "argentina",
+    r"senegalese|senegales(?:a|es|as)?": "senegal",
+    r"swedish|suec[oa]s?|suecia": "sweden",
+    r"dutch|holandes(?:a|es|as)?|neerlandes(?:a|es|as)?|holanda": "netherlands",
+    r"portuguese|portugues(?:a|es|as)?": "portugal",
+    r"ivorian|marfinenses?|ivory coast|costa do marfim": "cote d'ivoire",
+    r"serbians?|servi[oa]s?|servia": "serbia",
+    r"scottish|escoces(?:a|es|as)?|escocia": "scotland",
+    r"belgians?|belgas?|belgica": "belgium",
+    r"danish|dinamarques(?:a|es|as)?|dinamarca": "denmark",
+    r"swiss|suic[oa]s?|suica": "switzerland",
+    r"welsh|gales(?:a|es|as)?|pais de gales": "wales",
+    r"norwegians?|noruegues(?:a|es|as)?|noruega": "norway",
+    r"austrians?|austriac[oa]s?": "austria",
+    r"irish|irlandes(?:a|es|as)?|irlanda": "ireland",
+    r"polish|polac[oa]s?|polones(?:a|es|as)?|polonia": "poland",
+    r"uruguayans?|uruguai[oa]s?|uruguai": "uruguay",
+    r"japanese|japones(?:a|es|as)?|japao": "japan",
+    r"moroccans?|marroquin[oa]s?|marrocos": "morocco",
+    r"colombians?|colombian[oa]s?": "colombia",
+    r"croatians?|croatas?|croacia": "croatia",
+    r"algerians?|argelin[oa]s?|argelia": "algeria",
+    r"slovenians?|esloven[oa]s?|eslovenia": "slovenia",
+    r"canadians?|canadian[oa]s?|canadenses?": "canada",
+    r"nigerians?|nigerian[oa]s?": "nigeria",
+    r"chileans?|chilen[oa]s?": "chile",
+    r"cameroonians?|camaroneses?|camaroes": "cameroon",
+    r"australians?|australian[oa]s?": "australia",
+    r"ghanaians?|ganes(?:a|es|as)?|gana": "ghana",
+    r"malians?|malian[oa]s?": "mali",
+    r"mexicans?|mexican[oa]s?": "mexico",
+    r"venezuelans?|venezuelan[oa]s?": "venezuela",
+    r"icelandic|islandes(?:a|es|as)?|islandia": "iceland",
+}
 LEADERS = r"\b(most|highest|lead|leads|leading|leader|leaders|top|more|mais|maior|maiores|lidera|lideram)\b"
 
 
-def parse_constraints(question: str) -> dict[str, Column]:
-    """foot, position_group, max_age, min_age of a question's column; null where it says nothing."""
+def country_vocabulary(rows: DataFrame, column: str) -> list[str]:
+    """The different countries of a table, sorted: as many as there are countries, for the plan of a question."""
+    return [r[0] for r in rows.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+
+
+def _folded_country(name: str) -> str:
+    return " ".join(fold(name.split("(")[0]).split())
+
+
+def _nationality(text: Column, countries: list[str]) -> Column:
+    """A country of the vocabulary, by its people's name in the order of the table, else by its own."""
+    known = {_folded_country(c): c for c in countries}
+    out = F.lit(None).cast("string")
+    rules = [(p, known[c]) for p, c in DEMONYMS.items() if c in known] + [(re.escape(f), c) for f, c in known.items() if f]
+    for pattern, country in reversed(rules):
+        out = F.when(text.rlike(rf"\b(?:{pattern})\b"), country).otherwise(out)
+    return out
+
+
+def parse_constraints(question: str, countries: list[str] | None = None) -> dict[str, Column]:
+    """foot, role, position_group, max_age, min_age and nationality of a question's column; null where it says nothing.
+
+    Of feet the first rule decides, of positions the earliest word. A role stands if no position word comes before
+    it and brings its group. Ages in numbers go before young and veteran words. Without countries no nationality is
+    read."""
     text = S.folded(F.col(question))
+    foot = F.lit(None).cast("string")
+    for name, pattern in reversed(FOOT_WORDS):
+        foot = F.when(text.rlike(pattern), name).otherwise(foot)
 
     def first(rules):
-        at = [F.struct(F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0)).alias("at"), F.lit(v).alias("v")) for v, p in rules]
-        return F.get(F.array_sort(F.filter(F.array(*at), lambda s: s["at"].isNotNull())), F.lit(0))["v"]
+        at = [F.struct(F.nullif(F.regexp_instr(text, F.lit(r[1])), F.lit(0)).alias("at"), F.lit(r[0]).alias("v"), F.lit(r[-1]).alias("group")) for r in rules]
+        return F.get(F.array_sort(F.filter(F.array(*at), lambda s: s["at"].isNotNull())), F.lit(0))
 
+    group, role = first([(v, p, v) for v, p in GROUP_WORDS]), first(ROLE_WORDS)
+    stands = role.isNotNull() & (group.isNull() | (role["at"] <= group["at"]))
+    number = lambda p: F.regexp_extract(text, p, 1).try_cast("int")
     return {
-        "foot": first(FOOT_WORDS),
-        "position_group": first(GROUP_WORDS),
-        "max_age": F.regexp_extract(text, OLDEST, 1).try_cast("int"),
-        "min_age": F.regexp_extract(text, YOUNGEST, 1).try_cast("int"),
+        "foot": foot,
+        "role": F.when(stands, role["v"]),
+        "position_group": F.when(stands, role["group"]).otherwise(group["v"]),
+        "max_age": F.coalesce(number(OLDEST), F.when(text.rlike(YOUNG), YOUNG_MOST)),
+        "min_age": F.coalesce(number(YOUNGEST), F.when(text.rlike(VETERAN), VETERAN_LEAST)),
+        "nationality": _nationality(text, countries or []),
     }
 
 

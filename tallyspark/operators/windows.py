@@ -1,4 +1,4 @@
-"""Window operators: peer percentiles, standard scores, weighted scores, running form."""
+"""Window operators: first rows, weighted scores, running form, splits in time, similarity."""
 
 from __future__ import annotations
 
@@ -6,27 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
-
-
-def rank_percentile(value: str, by: list[str]) -> Column:
-    """Average-rank percentile of a value within its group, 0 to 100; null for null."""
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    known = F.count(value).over(Window.partitionBy(*by))
-    return F.when(F.col(value).isNotNull(), (rank + (ties - 1) / 2) / known * 100)
-
-
-def below_percentile(value: str, by: list[str]) -> Column:
-    """Share of the group strictly below, 0 to 100."""
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
-    return F.when(F.col(value).isNotNull(), (rank - 1) / F.count(value).over(Window.partitionBy(*by)) * 100)
-
-
-def standard_score(value: str, by: list[str]) -> Column:
-    """(x - mean) / population deviation within the group; a deviation of 0 counts as 1."""
-    own = Window.partitionBy(*by)
-    deviation = F.stddev_pop(value).over(own)
-    return (F.col(value) - F.avg(value).over(own)) / F.when(deviation == 0, 1.0).otherwise(deviation)
+from tallyspark.operators.peers import standardised
 
 
 def weighted_score(percentiles: dict[str, Column], weights: dict[str, float]) -> Column:
@@ -54,16 +34,29 @@ def running_means(sides: DataFrame, by: list[str], order: list[str], values: lis
     return out.filter(F.col("prior") >= least)
 
 
-def time_split(df: DataFrame, by: list[str], order: list[str], share: float = 0.7) -> DataFrame:
-    """is_test: from the share-th row of each group on, in time order."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("is_test", place >= F.floor(F.count("*").over(Window.partitionBy(*by)) * F.lit(share)))
-
-
-def similar(df: DataFrame, target: Column, keys: list[str], features: list[str], by: list[str], top: int) -> DataFrame:
-    """Rows of the target's group by cosine of standard scores; the target itself and repeats of a key drop out."""
-    scored = df.select(*keys, *by, target.alias("__target"), F.array(*[standard_score(f, by) for f in features]).alias("__v"))
-    one = first_by(scored.filter("__target"), by, [F.col(k) for k in keys]).select(*by, F.col("__v").alias("__t"), F.col(keys[0]).alias("__key"))
-    near = scored.join(F.broadcast(one.limit(1)), by).filter(F.col(keys[0]) != F.col("__key"))  # one row
+def time_split(df: DataFrame, by: list[str], at: str, keys: list[str], share: float = 0.7) -> DataFrame:
+    """df with is_test: from the share-th row of each group on, in order of the time at, then of keys.
+
+    Rows are counted by day; the day in which a group's share ends follows from a sum over its days, and only rows of
+    that day are put in order, so no group is sorted.
+    """
+    dated = df.withColumn("__day", F.to_date(at))
+    days = dated.groupBy(*by, "__day").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    days = days.withColumn("upto", F.sum("n").over(upto)).withColumn("cut", F.floor(F.sum("n").over(Window.partitionBy(*by)) * F.lit(share)))
+    last = days.filter("upto > cut and upto - n <= cut").select(*by, F.col("__day").alias("__last"), (F.col("cut") - F.col("upto") + F.col("n")).alias("__rest"))
+    joined = dated.join(last, by, "left")
+    within = F.row_number().over(Window.partitionBy(*by, F.when(F.col("__day") == F.col("__last"), F.lit("cut")).otherwise(F.concat_ws("|", "__day", F.pmod(F.xxhash64(*keys), F.lit(64))))).orderBy(at, *keys)) - 1
+    test = F.when(F.col("__day") == F.col("__last"), within >= F.col("__rest")).otherwise(F.col("__day") > F.col("__last"))
+    return joined.withColumn("is_test", F.coalesce(test, F.lit(False))).drop("__day", "__last", "__rest")
+
+
+def similar(df: DataFrame, target: Column, keys: list[str], features: list[str], by: list[str], top: int, minutes: str) -> DataFrame:
+    """Rows of the target's group by cosine of standard scores. The target is the row with most minutes of those that
+    target names, the first by keys on a tie; its own key's rows and repeats of a key drop out."""
+    scored = standardised(df, features, by)
+    scored = scored.select(*keys, *by, minutes, target.alias("__target"), F.array(*[F.col(f"z_{f}") for f in features]).alias("__v"))
+    one = scored.filter("__target").orderBy(F.desc(minutes), *keys).limit(1).select(*by, F.col("__v").alias("__t"), F.col(keys[0]).alias("__key"))
+    near = scored.join(F.broadcast(one), by).filter(F.col(keys[0]) != F.col("__key"))  # one row
     near = first_by(near.withColumn("similarity", S.cosine(F.col("__t"), F.col("__v"))), keys[:1], [F.desc("similarity"), *map(F.col, keys)])
     return near.select(*keys, "similarity").orderBy(F.desc("similarity"), *keys).limit(top)

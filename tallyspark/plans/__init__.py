@@ -1,3 +1,3 @@
 """Queries over the driver tables; importing this package registers all of them."""
 
-from tallyspark.plans import registry, scouting  # noqa: F401
+from tallyspark.plans import evaluation, players, registry, scouting, seasons  # noqa: F401

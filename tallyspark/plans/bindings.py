@@ -10,18 +10,21 @@ from tallyspark.sources.tables import table
 SUMS = ["minutes", "goals", "shots", "xg100", "passes"]
 
 
-def league(spark: SparkSession, sf: str) -> DataFrame:
-    """A row per line: player, match_id, season, position, minutes and counts. Joins are on keys; which side is
-    broadcast is left to the sizes that Spark measures."""
+def league(spark: SparkSession, sf: str, positions: bool = False) -> DataFrame:
+    """A row per line: player, match_id, season, minutes and counts and, if asked for, position, the only column that
+    parts are joined for: every line has one. Joins are on keys; which side is broadcast is left to the sizes that
+    Spark measures."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_discount")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if positions:
+        joined = joined.join(table(spark, sf, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         F.col("o_custkey").alias("player"),
         F.col("l_orderkey").alias("match_id"),
         F.year("o_orderdate").alias("season"),
         F.col("o_orderdate").alias("at"),
-        F.col("p_type").alias("position"),
+        *[F.col("p_type").alias("position")] * positions,
         F.col("l_quantity").alias("minutes"),
         (F.col("l_returnflag") == "R").cast("long").alias("goals"),
         (F.col("l_linestatus") == "F").cast("long").alias("shots"),
@@ -74,6 +77,31 @@ def actions(spark: SparkSession, sf: str) -> DataFrame:
     return placed.withColumn("next_x", F.lead("x").over(nxt)).withColumn("next_y", F.lead("y").over(nxt))
 
 
+def people(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as players, with attributes made from their keys: some unknown, heights all."""
+    key = F.col("c_custkey")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    named = customers.join(table(spark, sf, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.select(
+        key.alias("player"),
+        F.col("c_name").alias("name"),
+        F.col("c_mktsegment").alias("grp"),
+        F.when(key % 3 == 0, "female").otherwise("male").alias("gender"),
+        F.when(key % 5 == 1, "").when(key % 5 == 2, "left").when(key % 5 == 3, "right").when(key % 5 == 4, "both").alias("foot"),
+        F.when(key % 7 != 0, F.col("n_name")).alias("nationality"),
+        F.when(key % 11 != 0, 16 + key % 25).cast("double").alias("age"),
+        F.lit(None).cast("int").alias("height"),
+        F.date_add(F.lit("1960-01-01").cast("date"), (key * 37 % 9000).cast("int")).alias("birth"),
+    )
+
+
+PEOPLE_SQL = """
+people AS (
+  SELECT c_custkey AS player, c_name AS name, c_mktsegment AS grp, CASE WHEN c_custkey % 3 = 0 THEN 'female' ELSE 'male' END AS gender,
+         CASE c_custkey % 5 WHEN 1 THEN '' WHEN 2 THEN 'left' WHEN 3 THEN 'right' WHEN 4 THEN 'both' END AS foot, CASE WHEN c_custkey % 7 <> 0 THEN n_name END AS nationality,
+         CASE WHEN c_custkey % 11 <> 0 THEN (16 + c_custkey % 25)::DOUBLE END AS age, NULL::INTEGER AS height, DATE '1960-01-01' + (c_custkey * 37 % 9000)::INTEGER AS birth
+  FROM customer JOIN nation ON n_nationkey = c_nationkey
+)"""
 LINE_SQL = """
 line AS (
   SELECT o_custkey AS player, l_orderkey AS match_id, year(o_orderdate)::INTEGER AS season, o_orderdate AS "at", p_type AS position, l_quantity AS minutes,

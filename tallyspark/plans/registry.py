@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import models as M
+from tallyspark.operators import peers as R
 from tallyspark.operators import search as Q
 from tallyspark.operators import windows as W
 from tallyspark.plans import bindings as B
@@ -50,7 +51,7 @@ def per90(spark, sf):
 @query(f"""WITH {B.LINE_SQL}, t AS (SELECT player, position, sum(minutes) AS minutes FROM line GROUP BY ALL)
 SELECT player, position, minutes FROM t QUALIFY row_number() OVER (PARTITION BY player ORDER BY minutes DESC, position NULLS FIRST) = 1""")
 def primary_position(spark, sf):
-    return A.most_played(B.league(spark, sf), ["player"], "position", "minutes")
+    return A.most_played(B.league(spark, sf, positions=True), ["player"], "position", "minutes")
 
 
 _WEIGHTS = {"goals": 0.5, "shots": 0.3, "xg100": 0.2}
@@ -62,7 +63,7 @@ def _peers(spark, sf):
 
 
 def _percentiles(spark, sf):
-    return _peers(spark, sf).withColumns({f"{c}_pct": W.rank_percentile(f"{c}_per90", ["grp"]) for c in _WEIGHTS})
+    return R.ranked(_peers(spark, sf), ["player", "season"], {f"{c}_pct": f"{c}_per90" for c in _WEIGHTS}, ["grp"])
 
 
 def _pct_sql(c):
@@ -93,17 +94,17 @@ def radar_percentiles(spark, sf):
     return _percentiles(spark, sf).select("player", "season", *[S.half_up(F.col(f"{c}_pct"), 1).alias(f"{c}_pct") for c in _WEIGHTS])
 
 
-@query(f"""WITH {_PEER_SQL}, z AS (SELECT player, season, grp, """ + ", ".join(f"({c}_per90 - avg({c}_per90) OVER g) / CASE WHEN stddev_pop({c}_per90) OVER g = 0 THEN 1 ELSE stddev_pop({c}_per90) OVER g END AS {c}" for c in _WEIGHTS) + f""" FROM peer WINDOW g AS (PARTITION BY grp)),
-target AS (SELECT * FROM z ORDER BY player, season LIMIT 1),
+@query(f"""WITH {_PEER_SQL}, z AS (SELECT player, season, grp, minutes, """ + ", ".join(f"({c}_per90 - avg({c}_per90) OVER g) / CASE WHEN stddev_pop({c}_per90) OVER g = 0 THEN 1 ELSE stddev_pop({c}_per90) OVER g END AS {c}" for c in _WEIGHTS) + f""" FROM peer WINDOW g AS (PARTITION BY grp)),
+target AS (SELECT * FROM z WHERE player = (SELECT min(player) FROM z) ORDER BY minutes DESC, player, season LIMIT 1),
 near AS (SELECT z.player, z.season, ({" + ".join(f"z.{c} * t.{c}" for c in _WEIGHTS)}) / (sqrt({" + ".join(f"z.{c} * z.{c}" for c in _WEIGHTS)}) * sqrt({" + ".join(f"t.{c} * t.{c}" for c in _WEIGHTS)})) AS s
   FROM z JOIN target AS t ON t.grp = z.grp AND t.player <> z.player)
 SELECT player, season, floor((s + 1) * 1e6 + 0.5) / 1e6 AS similarity FROM near
 QUALIFY row_number() OVER (PARTITION BY player ORDER BY s DESC, season) = 1 ORDER BY s DESC, player, season LIMIT 20""")
 def zscore_similarity(spark, sf):
     peers = _peers(spark, sf)
-    first = peers.orderBy("player", "season").select("player", "season").limit(1)
-    marked = peers.join(F.broadcast(first.withColumn("is_target", F.lit(True))), ["player", "season"], "left")  # one row
-    near = W.similar(marked, F.coalesce("is_target", F.lit(False)), ["player", "season"], [f"{c}_per90" for c in _WEIGHTS], ["grp"], 20)
+    first = peers.agg(F.min("player").alias("first"))  # one row
+    marked = peers.crossJoin(F.broadcast(first)).withColumn("is_target", F.col("player") == F.col("first"))
+    near = W.similar(marked, F.col("is_target"), ["player", "season"], [f"{c}_per90" for c in _WEIGHTS], ["grp"], 20, "minutes")
     return near.withColumn("similarity", S.half_up(F.col("similarity") + 1, 6))
 
 
@@ -203,7 +204,7 @@ def running_form(spark, sf):
 
 @query(f'WITH {B.FIXTURE_SQL} SELECT match_id, season, row_number() OVER (PARTITION BY season ORDER BY "at", match_id) - 1 >= floor(count(*) OVER (PARTITION BY season) * 0.7::DOUBLE) AS is_test FROM fixture')
 def time_split(spark, sf):
-    return W.time_split(B.fixtures(spark, sf), ["season"], ["at", "match_id"]).select("match_id", "season", "is_test")
+    return W.time_split(B.fixtures(spark, sf), ["season"], "at", ["match_id"]).select("match_id", "season", "is_test")
 
 
 @query(f"""WITH RECURSIVE {B.SCORE_SQL}, complete AS (SELECT season FROM (SELECT season, count(*) AS n FROM fixture GROUP BY season) WHERE n >= 100),
@@ -327,7 +328,7 @@ SELECT question, {_first_sql(Q.FOOT_WORDS)} AS foot, {_first_sql(Q.GROUP_WORDS)}
 def constraint_parse(spark, sf):
     asked = spark.createDataFrame([(x,) for x in _ASKED], "question string")
     found = Q.parse_constraints("question")
-    return asked.select("question", *[(F.coalesce(c, F.lit(-1)) if n.endswith("age") else c).alias(n) for n, c in found.items()])
+    return asked.select("question", *[(F.coalesce(found[n], F.lit(-1)) if n.endswith("age") else found[n]).alias(n) for n in ("foot", "position_group", "max_age", "min_age")])
 
 
 @query("SELECT event_type, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k, count(*) AS n FROM events GROUP BY event_type")
@@ -343,7 +344,7 @@ def pearson_pair(spark, sf):
 
 @query(f"WITH {_PEER_SQL} SELECT player, season, (rank() OVER (PARTITION BY grp ORDER BY goals_per90) - 1)::DOUBLE / count(*) OVER (PARTITION BY grp) * 100 AS below FROM peer")
 def below_percentile(spark, sf):
-    return _peers(spark, sf).select("player", "season", W.below_percentile("goals_per90", ["grp"]).alias("below"))
+    return R.ranked(_peers(spark, sf), ["player", "season"], {"below": "goals_per90"}, ["grp"], R.below_percentile).select("player", "season", "below")
 
 
 @query(f"""WITH {_SEASON_SQL} SELECT a.player, a.season, (a.goals > b.goals)::INTEGER + (a.shots > b.shots)::INTEGER + (a.passes > b.passes)::INTEGER AS wins,
@@ -406,7 +407,7 @@ def team_strength(spark, sf):
 @query()
 def outcome_model(spark, sf):
     form = W.running_means(_sides(spark, sf), ["season", "team"], ["at", "match_id"], ["goals", "conceded"], 4).withColumn("won", F.when(F.col("goals") > F.col("conceded"), 2.0).when(F.col("goals") == F.col("conceded"), 1.0).otherwise(0.0))
-    split = W.time_split(form, ["season"], ["at", "match_id", "team"])
+    split = W.time_split(form, ["season"], "at", ["match_id", "team"])
     return M.outcome_model(split, ["mean_goals", "mean_conceded"], "won").select("match_id", "team", "is_test", "p")
 
 
@@ -419,10 +420,3 @@ def classifier(spark, sf):
 def value_model(spark, sf):
     priced = _peers(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("player"), F.greatest("c_acctbal", F.lit(0.0)).alias("value")), "player")
     return M.value_model(priced, [f"{c}_per90" for c in _RATES], "value").select("player", "season", "value", "predicted", "predicted_low", "predicted_high", "residual")
-
-
-@query()
-def entity_match(spark, sf):
-    left = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    right = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.regexp_replace("s_name", "Supplier", "Customer").alias("name"))
-    return Q.match_names(left, right)

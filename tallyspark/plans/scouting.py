@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import profiles as P
-from tallyspark.operators import windows as W
+from tallyspark.operators import peers as R
 from tallyspark.plans import bindings as B
 from tallyspark.plans.catalog import query
 from tallyspark.plans.registry import _PCT_SQL, _PEER_SQL, _WEIGHTS, _peers, _percentiles
@@ -20,11 +20,11 @@ _NAMES = {"goals": "goals", "shots": "shots", "xg": "xg100", "passes_completed":
 
 def _group_sql():
     pct = lambda m, c: f"(rank() OVER (PARTITION BY g ORDER BY {c}_per90) + (count(*) OVER (PARTITION BY g, {c}_per90) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY g) * 100 AS p_{m}"
-    weight = lambda m: "CASE g " + "".join(f"WHEN '{g}' THEN {w[m]}::DOUBLE " for g, w in P.WEIGHTS.items() if m in w) + "ELSE 0.0::DOUBLE END"
-    order = [n for n in dict.fromkeys(n for w in P.WEIGHTS.values() for n in w) if n in _NAMES]
+    total = lambda w: "0.0::DOUBLE" + "".join(f" + p_{m} * {x}::DOUBLE" for m, x in w.items() if m in _NAMES)
+    score = "CASE g " + "".join(f"WHEN '{g}' THEN {total(w)} " for g, w in P.WEIGHTS.items()) + "ELSE 0.0::DOUBLE END"
     group = "CASE grp " + "".join(f"WHEN '{s}' THEN '{g}' " for s, g in _GROUPS.items()) + "ELSE 'Unknown' END AS g"
     return f"""WITH {_PEER_SQL}, grouped AS (SELECT *, {group} FROM peer), scored AS (SELECT player, season, g, {", ".join(pct(m, c) for m, c in _NAMES.items())} FROM grouped)
-SELECT player, season, g AS position_group, floor((0.0::DOUBLE{"".join(f" + p_{m} * {weight(m)}" for m in order)}) * 10 + 0.5) / 10 AS score FROM scored"""
+SELECT player, season, g AS position_group, floor(({score}) * 10 + 0.5) / 10 AS score FROM scored"""
 
 
 @query(_group_sql())
@@ -33,7 +33,7 @@ def position_scores(spark, sf):
     for segment, name in _GROUPS.items():
         group = F.when(F.col("grp") == segment, name).otherwise(group)
     frame = _peers(spark, sf).select("player", "season", group.alias("position_group"), *[F.col(f"{c}_per90").alias(f"{n}_per90") for n, c in _NAMES.items()])
-    return P.position_scores(frame).select("player", "season", "position_group", S.half_up(F.col("score"), 1).alias("score"))
+    return P.position_scores(frame, ["player", "season"]).select("player", "season", "position_group", S.half_up(F.col("score"), 1).alias("score"))
 
 
 @query(f"""WITH {_PCT_SQL}, m AS ({" UNION ALL ".join(f"SELECT player, season, '{c}' AS name, {c}_pct AS p FROM pct" for c in _WEIGHTS)}),
@@ -123,7 +123,7 @@ def accuracy(spark, sf):
 rank() OVER (PARTITION BY grp ORDER BY passes_per90) + (count(*) OVER (PARTITION BY grp, passes_per90) - 1) / 2.0::DOUBLE AS y FROM peer)
 SELECT grp, floor((corr(x, y) + 1) * 1e6 + 0.5) / 1e6 AS rho FROM k GROUP BY grp""")
 def rank_correlation(spark, sf):
-    ranks = _peers(spark, sf).select("grp", W.rank_percentile("goals_per90", ["grp"]).alias("x"), W.rank_percentile("passes_per90", ["grp"]).alias("y"))
+    ranks = R.ranked(_peers(spark, sf), ["player", "season"], {"x": "goals_per90", "y": "passes_per90"}, ["grp"], R.average_rank)
     return ranks.groupBy("grp").agg(S.half_up(F.corr("x", "y") + 1, 6).alias("rho"))
 
 
