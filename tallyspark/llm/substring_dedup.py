@@ -162,29 +162,48 @@ _FACTORS = "array<struct<a:int,b:int,source:bigint>>"
 _CHECKED = f"rid string, text binary, factors {_FACTORS}, windows array<struct<anchor:bigint,window:bigint,at:int,n:bigint>>"
 
 
+#: Blocks that a task looks at together, but for one document more.
+AT_ONCE = 20_000
+
+
+def _lists(kind: dict[str, np.dtype], parts: dict[str, list[np.ndarray]], sizes: list[int]) -> pa.ListArray:
+    structs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, t), *parts[n]]).astype(t)) for n, t in kind.items()], names=list(kind))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), structs)
+
+
 def _opened(batches):
     """The factors of documents that the index holds blocks of, and the windows of blocks at factor boundaries."""
-    factor_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("source", pa.int64())]))
-    window_type = pa.list_(pa.struct([("anchor", pa.int64()), ("window", pa.int64()), ("at", pa.int32()), ("n", pa.int64())]))
-    for batch in batches:
-        factors, opened = [], []
-        todos = batch.column("todo")
-        fields = {name: todos.flatten().field(name).to_pylist() for name in ("ord", "first", "count", "lo", "hi", "anchor", "n")}
-        at = 0
-        for t, row, size in zip(batch.column("text"), batch.column("row").to_pylist(), pc.list_value_length(todos).to_pylist()):
-            todo = list(zip(*(f[at : at + size] for f in fields.values())))
+    fields = ("ord", "first", "count", "lo", "hi", "anchor", "n")
+    of_factor, of_window = {"a": np.int32, "b": np.int32, "source": np.int64}, {"anchor": np.int64, "window": np.int64, "at": np.int32, "n": np.int64}
+
+    def made(part: pa.RecordBatch, sizes: list[int]) -> pa.RecordBatch:
+        todos = part.column("todo").flatten()
+        todo = list(zip(*(todos.field(name).to_pylist() for name in fields)))
+        factors, windows = {n: [] for n in of_factor}, {n: [] for n in of_window}
+        n_factors, n_windows, at = [], [], 0
+        for t, row, size in zip(part.column("text"), part.column("row").to_pylist(), sizes):
+            own = todo[at : at + size]
             at += size
-            held = sorted(x[:5] for x in todo if x[5] is None)
-            factors.append([{"a": a, "b": b, "source": p} for a, b, p in parsed(held, row) if b - a >= WINDOW])
-            checked = [(x[1], x[2], x[5], x[6]) for x in todo if x[5] is not None]
-            own = []
-            if checked:
-                words = t.as_py().split()
-                for first, count, anchor, n in checked:
-                    hashes = windows_of(words[first : first + count + WINDOW - 1]).view(np.int64).tolist()
-                    own += [{"anchor": anchor, "window": h, "at": first + k, "n": n} for k, h in enumerate(hashes)]
-            opened.append(own)
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("text"), pa.array(factors, factor_type), pa.array(opened, window_type)], names=["rid", "text", "factors", "windows"])
+            found = [f for f in parsed(sorted(x[:5] for x in own if x[5] is None), row) if f[1] - f[0] >= WINDOW]
+            for name, values in zip(of_factor, zip(*found)):
+                factors[name].append(np.array(values))
+            n_factors.append(len(found))
+            checked = [(x[1], x[2], x[5], x[6]) for x in own if x[5] is not None]
+            words = t.as_py().split() if checked else []
+            n_windows.append(sum(count for _, count, _, _ in checked))
+            for first, count, anchor, n in checked:
+                for name, values in zip(of_window, (np.full(count, anchor), windows_of(words[first : first + count + WINDOW - 1]).view(np.int64), np.arange(first, first + count), np.full(count, n))):
+                    windows[name].append(values)
+        return pa.RecordBatch.from_arrays([part.column("rid"), part.column("text"), _lists(of_factor, factors, n_factors), _lists(of_window, windows, n_windows)], names=["rid", "text", "factors", "windows"])
+
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("todo")).to_pylist()
+        start = held = 0
+        for k, size in enumerate(sizes):
+            held += size
+            if held > AT_ONCE or k == len(sizes) - 1:
+                yield made(batch.slice(start, k + 1 - start), sizes[start : k + 1])
+                start, held = k + 1, 0
 
 
 def _cut(batches):
