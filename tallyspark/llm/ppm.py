@@ -15,7 +15,8 @@ The probability of a byte after its context is a number for each gram of ORDER +
 so the corpus is read in chunks of at most CHUNK bytes and one text more, each with its distinct grams and words. These are counted,
 the grams priced by joins with the levels of the trie, and the prices go back to the chunks that asked, where the texts
 are summed up. No table of the model is ever whole in one place: driver and tasks hold what one chunk asks for. Words
-go the same way, with their counts, for the base score. They are told apart by 63 bits of a hash.
+go the same way, with their counts, for the base score. They are told apart by 62 bits of a hash. A gram lists the
+chunks that ask for it, so its row grows with the corpus by a number for each CHUNK bytes. Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +36,17 @@ from pyspark.sql import types as T
 from tallyspark.llm.common import Scratch, documents, text_of
 
 ORDER = 5
-#: Bytes of text that ask for their grams together, and that are counted or scored at a time.
-CHUNK, COUNT_BYTES, SCORE_BYTES = 64_000_000, 4_000_000, 1_000_000
+#: Bytes of text that ask for their grams together, and that are counted and scored at a time, but for one text more.
+CHUNK, COUNT_BYTES = 64_000_000, 1_000_000
+#: Distinct grams that wait before they are merged into a chunk's.
+MERGED = 1_000_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-END_WORD = 0
-GRAM_ROW, WORD_ROW, TEXT_ROW = 0, 1, 2
+END_WORD = -1
 
 
 def word_key(word: bytes) -> int:
-    return (xxhash.xxh3_64_intdigest(word) | 1) - (1 << 63)  # never END_WORD
+    """Below END_WORD, as keys of grams are 0 or more."""
+    return -(xxhash.xxh3_64_intdigest(word) >> 2) - 2
 
 
 def _stream(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,19 +76,17 @@ def _words(text: bytes) -> list[bytes]:
 
 
 class _Chunk:
-    """The texts of a chunk as normalised lines, its distinct grams with their training counts, and its words."""
+    """The texts of a chunk as compressed lines, its distinct grams with their training counts, and its words."""
 
     def __init__(self, at_once: int):
         self.at_once = at_once
-        self.texts, self.waiting, self.size, self.waiting_size = [], [], 0, 0
-        self.grams, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting, self.portions, self.size, self.waiting_size = [], [], 0, 0
+        self.grams, self.more = (np.empty(0, np.int64), np.empty(0, np.int64)), []
         self.words: Counter = Counter()
         self.trained = 0
 
     def add(self, text: bytes, held_out: bool) -> None:
-        words = _words(text)
-        self.texts.append(b" ".join(words))
-        self.waiting.append((words, held_out))
+        self.waiting.append((_words(text), held_out))
         self.size += len(text)
         self.waiting_size += len(text)
         if self.waiting_size > self.at_once:
@@ -98,25 +100,35 @@ class _Chunk:
         sizes = np.diff(np.concatenate((begins, [len(at)])))
         # the lowest bit tells held-out occurrences, which ask but don't count
         keys, counts = np.unique(_grams(data)[at - ORDER] << 1 | np.repeat(held, sizes), return_counts=True)
-        keys, counts = np.concatenate((self.grams, keys >> 1)), np.concatenate((self.counts, np.where(keys & 1, 0, counts)))
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        self.grams, self.counts = keys[first], np.add.reduceat(counts, first)
+        self.more.append((keys >> 1, np.where(keys & 1, 0, counts)))
+        if sum(len(k) for k, _ in self.more) > max(MERGED, len(self.grams[0])):
+            self.merge()
         for words, held_out in self.waiting:
             self.words.update(dict.fromkeys(words, 0) if held_out else words)
             self.trained += not held_out
+        lines = [b" ".join(w) for w, _ in self.waiting]
+        self.portions.append((list(map(len, lines)), zstandard.compress(b"".join(lines))))
         self.waiting, self.waiting_size = [], 0
 
+    def merge(self) -> None:
+        keys, counts = (np.concatenate([self.grams[k], *(x[k] for x in self.more)]) for k in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+        self.grams, self.more = (keys[first], np.add.reduceat(counts, first) if len(first) else counts), []
+
     def rows(self, chunk: int, ids: pa.Array, held: pa.Array) -> list[pa.RecordBatch]:
         self.count()
-        n, words = len(self.texts), np.fromiter(map(word_key, self.words), np.int64, len(self.words))
-        key = np.concatenate((self.grams, words, [END_WORD]))
-        count = np.concatenate((self.counts, np.fromiter(self.words.values(), np.int64, len(words)), [self.trained]))
-        kind = np.concatenate((np.full(len(self.grams), GRAM_ROW, np.int8), np.full(len(words) + 1, WORD_ROW, np.int8)))
-        asked = [pa.array(np.full(len(key), chunk)), pa.array(kind), pa.array(key), pa.array(count), pa.nulls(len(key), ids.type), pa.nulls(len(key), held.type), pa.nulls(len(key), pa.binary())]
-        texts = [pa.array(np.full(n, chunk)), pa.array(np.full(n, TEXT_ROW, np.int8)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), ids, held, pa.array(self.texts, pa.binary())]
-        names = ["chunk", "kind", "key", "n", "doc_id", "held_out", "line"]
+        self.merge()
+        words = np.fromiter(map(word_key, self.words), np.int64, len(self.words))
+        key = np.concatenate((self.grams[0], words, [END_WORD]))
+        count = np.concatenate((self.grams[1], np.fromiter(self.words.values(), np.int64, len(words)), [self.trained]))
+        n, ends = len(self.portions), np.cumsum([0] + [len(sizes) for sizes, _ in self.portions]).astype(np.int32)
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
+        sizes = pa.array([x for own, _ in self.portions for x in own], pa.int32())
+        asked = [pa.array(np.full(len(key), chunk)), pa.array(key), pa.array(count), *(pa.nulls(len(key), pa.list_(t)) for t in (ids.type, held.type, pa.int32())), pa.nulls(len(key), pa.binary())]
+        texts = [pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), lists(ids), lists(held), lists(sizes), pa.array([x for _, x in self.portions], pa.binary())]
+        names = ["chunk", "key", "n", "ids", "held", "sizes", "lines"]
         return [pa.RecordBatch.from_arrays(x, names=names) for x in (texts, asked)]
 
 
@@ -136,7 +148,7 @@ def _chunked(size: int, at_once: int):
                     number += 1
             ids.append(batch.column("doc_id").slice(done))
             held.append(batch.column("held_out").slice(done))
-        if chunk.texts:
+        if chunk.size or sum(map(len, ids)):
             yield from chunk.rows(number, pa.concat_arrays(ids), pa.concat_arrays(held))
 
     return run
@@ -253,40 +265,39 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         F.col(id_col).alias("doc_id"), (is_held_out(id_col) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held_out"), F.encode(text_of(text_col), "UTF-8").alias("text")
     )
     own = [T.StructField(f.name, f.dataType) for f in (given.schema["doc_id"], given.schema["held_out"])]
-    chunks = scratch.save(given.mapInArrow(_chunked(CHUNK, COUNT_BYTES), T.StructType([*T._parse_datatype_string("chunk bigint, kind byte, key bigint, n bigint").fields, *own, T.StructField("line", T.BinaryType())])), "chunks")
-    asked = chunks.filter(F.col("kind") != TEXT_ROW).select("chunk", "kind", "key", "n")
-    counted = scratch.save(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counted.filter(F.col("kind") == WORD_ROW)
+    lists = [T.StructField(n, T.ArrayType(t)) for n, t in (("ids", own[0].dataType), ("held", T.BooleanType()), ("sizes", T.IntegerType()))]
+    parts = T.StructType([*T._parse_datatype_string("chunk bigint, key bigint, n bigint").fields, *lists, T.StructField("lines", T.BinaryType())])
+    chunks = scratch.save(given.mapInArrow(_chunked(CHUNK, COUNT_BYTES), parts), "chunks")
+    counted = scratch.save(chunks.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks")), "counts")
+    words = counted.filter("key < 0").select("key", "n")
     known_words = words.filter("n > 0")
     tokens, distinct, end_n = known_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("key") == END_WORD, F.col("n"))), F.lit(0))).first()
     whole = tokens + 0.1 * (distinct + 1)
-    grams = counted.filter(F.col("kind") == GRAM_ROW)
+    grams = counted.filter("key >= 0").select("key", "n")
     levels = trie(grams.filter("n > 0"), scratch)
     longest = levels[ORDER][1].select(F.col("key").alias("context"), "total", "kinds")
     known = grams.filter("n > 0").withColumn("context", F.shiftright("key", 8)).join(longest, "context").select("key", F.log10((2 * F.col("n") - 1) / (F.col("total") + F.col("kinds"))).alias("price"))
-    priced = known.unionByName(unknown_prices(grams.filter("n = 0"), levels)).select(F.lit(GRAM_ROW).cast("byte").alias("kind"), "key", "price")
-    priced = scratch.save(priced.unionByName(words.select("kind", "key", F.col("n").cast("double").alias("price"))), "prices")
-    answers = asked.select(F.col("chunk").alias("asker"), "kind", "key").join(priced, ["kind", "key"]).select("asker", "kind", "key", "price")
-    fields = T._parse_datatype_string("n_tokens bigint, n_known bigint, base_score double, score double").fields
-    schema = T.StructType([*own, *fields])
+    priced = known.unionByName(unknown_prices(grams.filter("n = 0"), levels)).unionByName(words.select("key", F.col("n").cast("double").alias("price")))
+    priced = scratch.save(priced, "prices")
+    scratch.drop(*[f"{kind}-{order}" for order in range(ORDER + 1) for kind in ("grams", "contexts")])
+    answers = counted.select("key", "chunks").join(priced, "key").select(F.explode("chunks").alias("asker"), "key", "price")
+    schema = T.StructType([*own, *T._parse_datatype_string("n_tokens bigint, n_known bigint, base_score double, score double").fields])
 
     def summed(texts: pa.Table, found: pa.Table) -> pa.Table:
-        kind, key, price = (found.column(c).to_numpy() for c in ("kind", "key", "price"))
-        gram, word = kind == GRAM_ROW, kind == WORD_ROW
-        gram_table, prices, word_table, counts = Table(key[gram]), price[gram], Table(key[word]), price[word]
-        out, lines, size = [], [], 0
-        for line in texts.column("line"):
-            lines.append(line.as_py())
-            size += len(lines[-1])
-            if size > SCORE_BYTES:
-                out.append(_summed(lines, gram_table, prices, word_table, counts, end_n, whole))
-                lines, size = [], 0
-        if lines:
-            out.append(_summed(lines, gram_table, prices, word_table, counts, end_n, whole))
-        columns = [pa.chunked_array([x[k] for x in out], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-        return pa.table([texts.column("doc_id"), texts.column("held_out"), *columns], names=schema.names)
-
-    texts = chunks.filter(F.col("kind") == TEXT_ROW).select("chunk", "doc_id", "held_out", "line")
+        key, price = found.column("key").to_numpy(), found.column("price").to_numpy()
+        gram_table, prices, word_table, counts = Table(key[key >= 0]), price[key >= 0], Table(key[key < 0]), price[key < 0]
+        out: list[list[pa.Array]] = [[] for _ in schema.names]
+        for row in range(texts.num_rows):
+            data, at, lines = zstandard.decompress(texts.column("lines")[row].as_py()), 0, []
+            for size in texts.column("sizes")[row].as_py():
+                lines.append(data[at : at + size])
+                at += size
+            made = _summed(lines, gram_table, prices, word_table, counts, end_n, whole)
+            for column, values in zip(out, [texts.column("ids")[row].values, texts.column("held")[row].values, *made]):
+                column.append(values)
+        return pa.table([pa.chunked_array(c) for c in out], names=schema.names)
+
+    texts = chunks.filter("lines is not null").select("chunk", "ids", "held", "sizes", "lines")
     rows = texts.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(summed, schema)
     return rows.withColumn("train_tokens", F.lit(int(tokens)).cast("bigint")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
