@@ -23,7 +23,7 @@ def per90(total: Column, minutes: Column) -> Column:
 
 
 def position_group(position: Column) -> Column:
-    out = F.when(position.isNull(), "Unknown")
+    out = F.when(F.coalesce(position, F.lit("")) == "", "Unknown")
     for word, group in GROUP_RULES:
         out = out.when(F.lower(position).contains(word), group)
     return out.otherwise("MID")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
+from tallyspark.operators import matches as X
 from tallyspark.operators import models as M
 from tallyspark.operators import peers as R
 from tallyspark.operators import search as Q
@@ -400,23 +401,37 @@ def stream_session(spark, sf):
 
 @query()
 def team_strength(spark, sf):
-    sides = _sides(spark, sf).select("team", F.col("goals").alias("for_"), F.col("conceded").alias("against"))
-    return M.team_strengths(sides)
+    """Attack and defence of every team by a Poisson regression, strongest attack first."""
+    games = B.scorelines(spark, sf)
+    side = lambda own, other: games.select(F.col(own).alias("team"), F.col(other).alias("opponent"), F.col(f"{own}_goals").alias("goals"), F.lit(own == "home").alias("is_home"))
+    return M.team_strengths(side("home", "away").unionByName(side("away", "home")))[0]
 
 
 @query()
 def outcome_model(spark, sf):
-    form = W.running_means(_sides(spark, sf), ["season", "team"], ["at", "match_id"], ["goals", "conceded"], 4).withColumn("won", F.when(F.col("goals") > F.col("conceded"), 2.0).when(F.col("goals") == F.col("conceded"), 1.0).otherwise(0.0))
-    split = W.time_split(form, ["season"], "at", ["match_id", "team"])
-    return M.outcome_model(split, ["mean_goals", "mean_conceded"], "won").select("match_id", "team", "is_test", "p")
+    form = X.form_features(B.scorelines(spark, sf).withColumns({f"{s}_xg": F.col(f"{s}_xg100") / 100 for s in ("home", "away")}))
+    split = W.time_split(form.join(B.fixtures(spark, sf).select("match_id", "at"), "match_id").withColumn("y", F.col("y").cast("double")), ["season"], "at", ["match_id"])
+    return M.outcome_model(split, ["d_points", "d_gf", "d_ga", "d_xg_net"], "y").select("match_id", "is_test", "y", "p")
 
 
 @query()
 def classifier(spark, sf):
-    return M.classify(_peers(spark, sf), [f"{c}_per90" for c in _RATES], "grp").select("player", "season", "grp", "predicted", "confidence")
+    return M.classify(_peers(spark, sf), [f"{c}_per90" for c in _RATES], "grp", "player").select("player", "season", "grp", "is_test", "predicted", "confidence")
+
+
+@query()
+def classifier_report(spark, sf):
+    """How the classifier does on what it has not seen: recall by class."""
+    found = M.classify(_peers(spark, sf), [f"{c}_per90" for c in _RATES], "grp", "player").filter("is_test")
+    return found.groupBy("grp").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("grp")).cast("int")).alias("recall"), F.avg("confidence").alias("confidence"))
+
+
+@query()
+def feature_importance(spark, sf):
+    return M.importance(_peers(spark, sf), [f"{c}_per90" for c in _RATES], "grp")
 
 
 @query()
 def value_model(spark, sf):
     priced = _peers(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("player"), F.greatest("c_acctbal", F.lit(0.0)).alias("value")), "player")
-    return M.value_model(priced, [f"{c}_per90" for c in _RATES], "value").select("player", "season", "value", "predicted", "predicted_low", "predicted_high", "residual")
+    return M.value_model(priced, [f"{c}_per90" for c in _RATES], "value", "player").select("player", "season", "is_test", "value", "predicted", "predicted_low", "predicted_high", "residual")

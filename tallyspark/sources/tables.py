@@ -1,4 +1,5 @@
-"""Tables in and out: parquet scans, keyed upserts, partition overwrite, guarded artifacts, keyword columns."""
+"""Tables in and out: parquet, CSV and JSON scans, keyed upserts, partition overwrite, guarded artifacts, vector
+indexes, incremental loads, keyword columns."""
 
 from __future__ import annotations
 
@@ -43,3 +44,90 @@ def artifact(spark: SparkSession, path: str) -> DataFrame | None:
 def unseen(incoming: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What an incremental load has still to do."""
     return incoming.join(done.select(*keys), keys, "left_anti")
+
+
+def csv_table(spark: SparkSession, path: str, schema: str, dates: tuple[str, ...] = ()) -> DataFrame:
+    """A CSV feed with a header; the columns of dates are read as text in the schema and become dates, null where their
+    first ten characters are none."""
+    read = spark.read.option("header", True).schema(schema).csv(path)
+    return read.withColumns({c: F.substring(c, 1, 10).try_cast("date") for c in dates})
+
+
+def valuations(players: DataFrame, values: DataFrame, key: str, at: str, reference: str, competitions: list[str]) -> DataFrame:
+    """A row per player of the competitions: the valuation nearest to a date, the earlier of two as near, with what is
+    known of the player, if anything is. values: key, at, value, competition; players: a row per key."""
+    gap = F.abs(F.datediff(F.col(at), F.lit(reference).cast("date")))
+    near = values.filter(F.col("competition").isin(competitions)).withColumn("__gap", gap)
+    first = F.row_number().over(Window.partitionBy(key).orderBy("__gap", at, "value"))
+    return near.withColumn("__n", first).filter("__n = 1").drop("__gap", "__n").join(players, key, "left")
+
+
+def loaded(matches: DataFrame, competition: str, season: str, limit: int | None = None) -> DataFrame:
+    """The matches of a competition and season, the first by id if a limit is given; an unknown pair is an error."""
+    found = matches.filter((F.col("competition") == competition) & (F.col("season") == season))
+    if found.isEmpty():
+        raise ValueError(f"no matches of {competition} in {season}")
+    return found if limit is None else found.orderBy("match_id").limit(limit)
+
+
+def write_records(df: DataFrame, path: str) -> None:
+    """A published table as JSON records, NaN as null."""
+    plain = {f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    df.withColumns(plain).write.mode("overwrite").json(path)
+
+
+def read_records(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """Published records, None if there are none."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return None
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """One published JSON document, None if it is absent."""
+    try:
+        return spark.read.option("multiLine", True).json(path)
+    except AnalysisException:
+        return None
+
+
+def vector_index(documents: DataFrame, key: str, text: str, embed, batch: int = 32) -> DataFrame:
+    """documents with vector (array<float>): embed takes a list of texts and returns a vector for each, and is called
+    with at most batch of them. It runs inside tasks, so it has to be something that can be sent there."""
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+    schema = StructType([*documents.schema.fields, StructField("vector", ArrayType(FloatType()))])
+
+    def run(frames):
+        for frame in frames:
+            texts = frame[text].fillna("").tolist()
+            frame["vector"] = [list(map(float, v)) for k in range(0, len(texts), batch) for v in embed(texts[k : k + batch])]
+            yield frame
+
+    return documents.mapInPandas(run, schema)
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """Replaces an index as a whole."""
+    index.write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, rebuild=None) -> DataFrame | None:
+    """An index of any age, attributes that its files lack being null; made anew by rebuild where there is none."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException:
+        return rebuild() if rebuild else None
+
+
+def keep_loading(stream: DataFrame, path: str, checkpoint: str, by: list[str]):
+    """Loads what a file stream has not loaded yet and stops. Each batch replaces the partitions it has rows of, so a
+    batch that runs again leaves the same table; the checkpoint remembers what is done."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        overwrite_slices(batch, path, by)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
