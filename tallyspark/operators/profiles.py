@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,3 +151,39 @@ def filled(players: DataFrame, known: DataFrame, key: str, checks: dict[str, Col
     right = known.select(F.col(key).alias("__key"), *[F.when(ok, F.col(c)).alias(f"__{c}") for c, ok in checks.items()])
     joined = players.join(right, F.col(key) == F.col("__key"), "left")
     return joined.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in checks else F.col(c) for c in players.columns])
+
+
+def retrieve(index: DataFrame, question: str, top: int, countries: list[str] | None = None) -> DataFrame:
+    """The rows of an index that answer a question, with place. index: player, name, vector, foot, position_group, role,
+    age, nationality and metrics (<name>_per90), as far as it has them.
+
+    What the question requires filters first. Players that it names are pinned, unless it requires something; the rest
+    follows by similarity to them, or to the whole pool where nobody is named. A question that asks for leaders of a
+    metric and names nobody orders the whole filtered pool by that metric instead. The question is one text, read
+    before the plan is made."""
+    from tallyspark.operators.search import asks_for_leaders, matching, parse_constraints
+
+    asked = index.sparkSession.createDataFrame([(question,)], "q string")
+    columns = {n: c.alias(n) for n, c in parse_constraints("q", countries).items()} | {"metrics": metrics_in(F.col("q")).alias("metrics"), "leaders": asks_for_leaders(F.col("q")).alias("leaders")}
+    said = asked.select(*columns.values()).first()  # one row
+    required: dict[str, Column] = {n: F.col(n) == said[n] for n in ("foot", "role", "position_group", "nationality") if said[n] is not None and n in index.columns}
+    ages = [c for c in (None if said.max_age is None else F.col("age") <= said.max_age, None if said.min_age is None else F.col("age") >= said.min_age) if c is not None]
+    if ages and "age" in index.columns:
+        required["age"] = ages[0] if len(ages) == 1 else ages[0] & ages[1]
+    pool = matching(index, required)
+    named = mentioned(index.select("player", "name"), "name", question).select("player")
+    metric = next((f"{m}_per90" for m in said.metrics if f"{m}_per90" in index.columns), None)
+    if metric and said.leaders and named.isEmpty():
+        found = leaders(pool, metric, "player", ["player"], top)
+        order = [F.col(metric).desc_nulls_last(), F.col("player")]
+    else:
+        marked = pool.join(named.distinct().withColumn("__named", F.lit(True)), "player", "left")
+        basis = marked.filter("__named") if not named.isEmpty() else marked
+        one = centroid(basis, "vector").withColumnRenamed("centroid", "__query")
+        scored = marked.crossJoin(F.broadcast(one)).withColumn("similarity", S.cosine(F.col("vector"), F.col("__query")))  # one row
+        pins = F.coalesce("__named", F.lit(False)) if not required else F.lit(False)
+        found = scored.withColumn("__pinned", pins)
+        order = [F.desc("__pinned"), F.desc("similarity"), F.col("player")]
+        found = found.orderBy(*order).limit(top)
+    place = F.row_number().over(Window.orderBy(*order))  # of the rows that are shown
+    return found.withColumn("place", place).drop("__named", "__query", "__pinned")

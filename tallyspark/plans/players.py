@@ -266,3 +266,31 @@ def valuations_with_players(spark, sf):
     people = B.people(spark, sf).select("player", "birth")
     near = W.first_by(people.select("player").join(orders, "player", "left").withColumn("gap", gap), ["player"], [F.col("gap").asc_nulls_last(), F.col("o_orderdate"), F.col("o_orderkey")])
     return near.select("player", "value").join(people, "player", "left").withColumn("age", S.years_between(F.lit("2016-01-01").cast("date"), F.col("birth")))
+
+
+def _index(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("player"), F.col("embedding").alias("vector"))
+    group = F.when(F.col("grp") == "BUILDING", "FWD").when(F.col("grp") == "MACHINERY", "DEF").otherwise("MID")
+    return B.people(spark, sf).join(vectors, "player").withColumns({"position_group": group, "goals_per90": (F.col("player") % 97 / 10.0)})
+
+
+@query(f"""WITH {B.PEOPLE_SQL}, pool AS (SELECT player, (player % 97) / 10.0::DOUBLE AS goals FROM people JOIN embeddings ON vec_id = player WHERE foot = 'left' AND age <= 30 AND grp = 'BUILDING')
+SELECT player, row_number() OVER (ORDER BY goals DESC, player) AS place FROM pool QUALIFY place <= 8""")
+def retrieve_leaders(spark, sf):
+    """A question with requirements that asks for the leaders of a metric."""
+    found = P.retrieve(_index(spark, sf), "which left-footed forwards under 30 score the most goals?", 8)
+    return found.select("player", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {B.PEOPLE_SQL}, pool AS (SELECT player, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM people JOIN embeddings ON vec_id = player),
+s AS (SELECT player, player = 7 AS pinned, list_cosine_similarity(v, (SELECT v FROM pool WHERE player = 7)) AS s FROM pool)
+SELECT player, row_number() OVER (ORDER BY pinned DESC, s DESC, player) AS place FROM s QUALIFY place <= 8""")
+def retrieve_named(spark, sf):
+    """A question that names a player: that one first, then who is most alike."""
+    found = P.retrieve(_index(spark, sf), "who resembles customer 000000007?", 8)
+    return found.select("player", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {_RATE_SQL} SELECT season, minutes, goals, goals_per90 FROM rate WHERE player = 1 ORDER BY season DESC""")
+def player_seasons(spark, sf):
+    return _rates(spark, sf).filter("player = 1").select("season", "minutes", "goals", "goals_per90").orderBy(F.desc("season"))

@@ -218,3 +218,12 @@ def staleness(spark, sf):
     pool, fitted = table(spark, sf, "customer").agg(F.count("*").alias("pool")), table(spark, sf, "supplier").agg(F.count("*").alias("fitted_on"))
     both = pool.crossJoin(fitted)  # one row each
     return both.withColumn("stale", F.abs(F.col("pool") - F.col("fitted_on")) > F.greatest(F.lit(5.0), F.col("fitted_on") * 0.02))
+
+
+@query("""SELECT l_orderkey AS match_id, l_linenumber % 2 = 1 AS is_home, string_agg(printf('%.3f', round(l_discount * 100) / 100), ',' ORDER BY l_linenumber, l_discount) AS xg FROM lineitem GROUP BY ALL""")
+def team_shots(spark, sf):
+    """The chances of each side of a match in the order of its events."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+    shots = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_discount")))
+    said = F.array_join(F.transform(shots, lambda s: F.format_string("%.3f", F.round(s["l_discount"] * 100) / 100)), ",")
+    return lines.groupBy(F.col("l_orderkey").alias("match_id"), (F.col("l_linenumber") % 2 == 1).alias("is_home")).agg(said.alias("xg"))

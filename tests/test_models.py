@@ -127,3 +127,9 @@ def test_names_and_positions(spark):
     lookup = spark.createDataFrame([("nick", None), ("full", 3)], "key string, v int")
     rows = spark.createDataFrame([(1, "nick", "full"), (2, None, "full"), (3, "x", "y")], "id int, nickname string, name string")
     assert {r.id: r.v for r in L.by_first_known_name(rows, lookup, "nickname", "name", "v").collect()} == {1: None, 2: 3, 3: None}
+
+
+@pytest.mark.parametrize("bad", [{"conditions": (("x", "like", 1),)}, {"conditions": (("y", "gt", 1),)}, {"order": "y"}, {"limit": 0}, {"limit": 101}])
+def test_searches_are_checked_before_any_plan(bad):
+    with pytest.raises(ValueError):
+        Q.Query(("x",), **bad)
