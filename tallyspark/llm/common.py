@@ -46,6 +46,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+    def keep(self, *labels: str) -> None:
+        """Frees all tables but these, once what is left of a call's work reads no others."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [status.getPath().getName() for status in fs.listStatus(root)] if fs.exists(root) else []
+        self.drop(*[name for name in found if name not in labels])
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns by their names, whatever these hold."""
     return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]

@@ -109,6 +109,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = scratch.save(
         named.groupBy("level", "name").agg(F.max(F.struct(F.col("doc_id"), (-F.col("row_id")).alias("row"))).alias("keep"), F.count("*").alias("group_size")), "groups"
     )
+    scratch.keep("named", "groups")
     return named.join(groups, ["level", "name"]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == -F.col("keep.row")).alias("kept"), "text_sha256"
     )

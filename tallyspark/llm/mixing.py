@@ -121,7 +121,7 @@ def cutoffs(docs: DataFrame, mixture: Mixture, domain: Column, id_col="doc_id",
     cut = full.unionByName(partial).groupBy(*LEVELS).agg(F.max("cutoff").alias("cutoff"))
     out = leaves.drop("rest").join(cut, list(LEVELS), "left").withColumn("cutoff", F.coalesce("cutoff", F.lit("")))
     out = scratch.save(out, "cutoffs")
-    scratch.drop("counted", "tokens", "leaves", "keyed", "buckets", "coarse", "fine")
+    scratch.keep("cutoffs")
     return out
 
 

@@ -240,6 +240,7 @@ def find(docs: DataFrame, settings: Bootstrap = Bootstrap(), id_col: str = "doc_
     secret = each.filter((F.col("kind") == SECRET) & F.col("seed")).select("row_id", "start", "end", "kind")
     new = new.unionByName(secret).groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
     new = scratch.save(new, "new")
+    scratch.keep("rows", "new")
     spans = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast(T.ArrayType(_SPAN)))))
     return rows.join(new, "row_id", "left").select("doc_id", "base", spans.alias("spans"))
 

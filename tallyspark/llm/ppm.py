@@ -279,7 +279,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     known = grams.filter("n > 0").withColumn("context", F.shiftright("key", 8)).join(longest, "context").select("key", F.log10((2 * F.col("n") - 1) / (F.col("total") + F.col("kinds"))).alias("price"))
     priced = known.unionByName(unknown_prices(grams.filter("n = 0"), levels)).unionByName(words.select("key", F.col("n").cast("double").alias("price")))
     priced = scratch.save(priced, "prices")
-    scratch.drop(*[f"{kind}-{order}" for order in range(ORDER + 1) for kind in ("grams", "contexts")])
+    scratch.keep("chunks", "counts", "prices")
     answers = counted.select("key", "chunks").join(priced, "key").select(F.explode("chunks").alias("asker"), "key", "price")
     schema = T.StructType([*own, *T._parse_datatype_string("n_tokens bigint, n_known bigint, base_score double, score double").fields])
 

@@ -215,6 +215,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     rooted = scratch.save(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(rooted.join(least, "root").select("print", "root", "component_id"), "components")
+    scratch.keep("rows", "components")
     return rows.join(named, "print").select("doc_id", "text_key", "print", "root", "component_id")
 
 

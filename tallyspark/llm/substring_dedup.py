@@ -258,7 +258,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = windows.filter("n = 1").join(known, ["anchor", "window"]).groupBy("rid").agg(F.collect_set("at").alias("found"))
     cut = opened.select("rid", "text", "factors").join(found, "rid", "left")
     cut = scratch.save(cut.mapInArrow(_cut, f"rid string, factors {_FACTORS}, n_removed bigint, kept_sha256 string, kept_text string").filter("n_removed > 0").dropDuplicates(["rid"]), "cut")
-    scratch.drop("anchors", "shared", "split", "opened", "windows")
+    scratch.keep("rows", "cut")
     out = rows.select("rid", "id", "n_words", "sha").join(cut, "rid", "left")
     return out.select(
         F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "factors", "kept_text"

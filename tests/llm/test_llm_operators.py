@@ -13,7 +13,6 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tallyspark.llm import bpe, chat, exact_dedup, mixing, pii, ppm, quality, simhash, substring_dedup, token_counts
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
@@ -329,28 +328,3 @@ def test_ppm(docs, monkeypatch, chunk, at_once):
 
 def test_adaptive_score_learns():
     assert ppm.adaptive_score(b"the same words " * 40) > 5 * ppm.adaptive_score(b"the same words " * 4)
-
-
-def test_pipeline_stages(spark):
-    folder = "/root/testdata/sf0.001"
-    given = spark.read.parquet(f"{folder}/documents.parquet")
-    texts = {r.doc_id: r.text for r in given.collect()}
-    kept = {i for i, t in texts.items() if (m := plain_quality(t))[0] >= 50 and 100 * m[4] <= 50 * m[0]}
-    stage = corpus_pipeline.quality_rules(spark, given, folder)
-    ids = {r.doc_id for r in stage.collect()}
-    assert ids <= kept and stage.columns == given.columns
-    last = {}
-    for i in ids:
-        last[texts[i]] = max(i, last.get(texts[i], i))
-    stage = corpus_pipeline.exact(spark, stage, folder)
-    assert {r.doc_id for r in stage.collect()} == set(last.values())
-    roots = plain_roots({plain_print(texts[i]) for i in last.values()})
-    first = {}
-    for i in last.values():
-        r = roots[plain_print(texts[i])]
-        first[r] = min(i, first.get(r, i))
-    stage = corpus_pipeline.near(spark, stage, folder)
-    assert {r.doc_id for r in stage.collect()} == set(first.values())
-    mixed = {r.doc_id for r in corpus_pipeline.mixed(spark, stage, folder).collect()}
-    assert mixed and mixed <= set(first.values())
-    assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == mixed
