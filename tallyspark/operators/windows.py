@@ -45,10 +45,11 @@ def time_split(df: DataFrame, by: list[str], at: str, keys: list[str], share: fl
     upto = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     days = days.withColumn("upto", F.sum("n").over(upto)).withColumn("cut", F.floor(F.sum("n").over(Window.partitionBy(*by)) * F.lit(share)))
     last = days.filter("upto > cut and upto - n <= cut").select(*by, F.col("__day").alias("__last"), (F.col("cut") - F.col("upto") + F.col("n")).alias("__rest"))
-    joined = dated.join(last, by, "left")
-    within = F.row_number().over(Window.partitionBy(*by, F.when(F.col("__day") == F.col("__last"), F.lit("cut")).otherwise(F.concat_ws("|", "__day", F.pmod(F.xxhash64(*keys), F.lit(64))))).orderBy(at, *keys)) - 1
-    test = F.when(F.col("__day") == F.col("__last"), within >= F.col("__rest")).otherwise(F.col("__day") > F.col("__last"))
-    return joined.withColumn("is_test", F.coalesce(test, F.lit(False))).drop("__day", "__last", "__rest")
+    joined = dated.join(last, by, "left").withColumn("__cut", F.coalesce(F.col("__day") == F.col("__last"), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(at, *keys)) - 1  # of the rows of one day
+    cut = joined.filter("__cut").withColumn("is_test", place >= F.col("__rest"))
+    other = joined.filter("not __cut").withColumn("is_test", F.coalesce(F.col("__day") > F.col("__last"), F.lit(False)))
+    return cut.unionByName(other).drop("__day", "__last", "__rest", "__cut")
 
 
 def similar(df: DataFrame, target: Column, keys: list[str], features: list[str], by: list[str], top: int, minutes: str) -> DataFrame:
