@@ -248,7 +248,8 @@ def find(docs: DataFrame, settings: Bootstrap = Bootstrap(), id_col: str = "doc_
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """spans has all spans of the four kinds; what has no kind in the contract, secrets, is in columns of its own."""
     found = find(documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     listed, secret = F.filter("spans", lambda s: s["kind"] < SECRET), F.filter("spans", lambda s: s["kind"] == SECRET)
     return found.select(
         "doc_id",

@@ -1,5 +1,6 @@
 """The dealt methods themselves: that results come from factors, tallies, splices, rounds and joins."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -146,3 +147,13 @@ def test_secrets_and_long_values():
     long = "9" * 300
     assert pii.named(long) != pii.named(long + "9") and len(pii.named(long)) == 65
     assert pii._context("x" * 100 + " " + long + " y", 101, 401)[1] == "_ y"
+
+
+def test_the_pii_query_says_what_its_spans_say(spark, tmp_path):
+    rows = [(1, "a@b.example.com and 10.0.0.1 and c@d.example.com, 10.0.0.300"), (2, "+1 555 010 9999 or 4111 1111 1111 1111"), (3, None), (4, 'token = "0123456789abcdef0123" 10.1.1.1')]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pii.op8_pii(spark, str(tmp_path)).collect():
+        base = pii.base_spans(dict(rows)[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in base) for kind in range(4)]
+        said = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.spans == said and r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.n_secret == (r.doc_id == 4)
