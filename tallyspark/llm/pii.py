@@ -2,7 +2,7 @@
 
 Base expressions find the seeds. What stands around a seed is generalised into lexical patterns: the word before it,
 the word after it, both, the two before it, and the second before it with the next one skipped; words are taken whole,
-lower-cased, with runs of digits as one class. Around an identifier-like string that no base expression accepts the
+case folded, with runs of digits as one class. Around an identifier-like string that no base expression accepts the
 same patterns make it a candidate. Patterns and values form a graph. In each round Spark scores the patterns, by the
 share of their values that are of one kind, and then the values, by the patterns they stand in; values that the
 trusted patterns vouch for become seeds of the next round, whose contexts support further patterns. When a round finds
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -45,7 +45,6 @@ _NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
 _MAIL_LIKE = re.compile(r"(?<![^\x20\x09-\x0D@])[^\x20\x09-\x0D@]+(?:@|\(at\)|\[at\])[^\x20\x09-\x0D@]+")
 _SECRET = re.compile(r"""(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|password|passwd)['"]?[\x20]?[=:][\x20]?["']([^"'\x20\x09-\x0D]{16,})["']""")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-SPACES = frozenset(" \t\n\x0b\x0c\r")
 
 
 def luhn(digits: str) -> bool:
@@ -81,51 +80,79 @@ def secret_spans(text: str) -> list[tuple[int, int, int]]:
     return [(m.start(1), SECRET, m.end(1)) for m in _SECRET.finditer(text)]
 
 
-def _before(text: str, end: int, n: int) -> list[str]:
-    """The last n whole words before a place, nearest first; a word that touches it counts."""
-    found = []
-    while len(found) < n:
-        while end > 0 and text[end - 1] in SPACES:
-            end -= 1
-        if end == 0:
-            break
-        start = end
-        while start > 0 and text[start - 1] not in SPACES:
-            start -= 1
-        found.append(text[start:end])
-        end = start
-    return found
-
-
-def _after(text: str, start: int) -> str | None:
-    while start < len(text) and text[start] in SPACES:
-        start += 1
-    end = start
-    while end < len(text) and text[end] not in SPACES:
-        end += 1
-    return text[start:end] or None
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_DIGITS = re.compile(r"[0-9]+")
+#: Characters from which a text is named by a hash.
+LONG = 64
 
 
 def named(text: str) -> str:
-    """A text as it is, or, if it is long, its SHA-256: equal for equal texts."""
-    return text if len(text) <= 64 else "#" + hashlib.sha256(text.encode()).hexdigest()
-
-
-def _context(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a span."""
-    plain = lambda w: named(re.sub(r"[0-9]+", "0", w.lower()))
-    left = [plain(w) for w in _before(text, start, 2)]
-    right = _after(text, end)
-    found = [f"{left[0]} _"] if left else []
-    if right:
-        found.append(f"_ {plain(right)}")
-    if left and right:
-        found.append(f"{left[0]} _ {plain(right)}")
-    if len(left) == 2:
-        found += [f"{left[1]} {left[0]} _", f"{left[1]} * _"]
+    """A text as it is, or, if it is long, by its SHA-256: equal for equal texts."""
+    return text if len(text) <= LONG else "#" + hashlib.sha256(text.encode()).hexdigest()
+
+
+def _plain(text: str) -> str:
+    """Case folded, which looks at single characters, and runs of digits as one class."""
+    return _DIGITS.sub("0", text.casefold())
+
+
+def _prefix_names(word: str, cuts: list[int]) -> dict[int, str]:
+    """The name of word[:cut] for each of the sorted cuts, in one pass over the word."""
+    digest, head, n, last, in_digits, found = hashlib.sha256(), "", 0, 0, False, {}
+    for cut in cuts:
+        part = word[last:cut]
+        plain = _plain(part)
+        if in_digits and "0" <= part[:1] <= "9":  # a run goes on
+            plain = plain[1:]
+        if part:
+            in_digits, last = "0" <= part[-1] <= "9", cut
+        digest.update(plain.encode())
+        n += len(plain)
+        head = (head + plain)[: LONG + 1]
+        found[cut] = head if n <= LONG else "#" + digest.copy().hexdigest()[:32]
     return found
 
 
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
+    """The lexical patterns of each span (start, end). A word that touches a span counts as far as it lies off it, so
+    in a text without white space all that stands before a span does; words are found once and every piece of a word is
+    named in one pass over it, whatever the number of spans."""
+    if not spans:
+        return []
+    places = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in places], [b for _, b in places]
+    lefts = [(k, min(ends[k], s)) if (k := bisect_left(starts, s) - 1) >= 0 else None for s, _ in spans]
+    rights = [(k, max(starts[k], e)) if (k := bisect_right(ends, e)) < len(ends) else None for _, e in spans]
+    cuts: dict[int, set[int]] = {}
+    for found in lefts:
+        if found:
+            cuts.setdefault(found[0], set()).add(found[1] - starts[found[0]])
+            if found[0]:
+                cuts.setdefault(found[0] - 1, set()).add(ends[found[0] - 1] - starts[found[0] - 1])
+    before = {k: _prefix_names(text[starts[k] : ends[k]], sorted(c)) for k, c in cuts.items()}
+    cuts = {}
+    for found in rights:
+        if found:
+            cuts.setdefault(found[0], set()).add(ends[found[0]] - found[1])
+    after = {k: _prefix_names(text[starts[k] : ends[k]][::-1], sorted(c)) for k, c in cuts.items()}
+    out = []
+    for left, right in zip(lefts, rights):
+        first = before[left[0]][left[1] - starts[left[0]]] if left else None
+        second = before[left[0] - 1][ends[left[0] - 1] - starts[left[0] - 1]] if left and left[0] else None
+        last = after[right[0]][ends[right[0]] - right[1]] if right else None
+        if last and last[0] != "#":
+            last = last[::-1]
+        found = [f"{first} _"] if first else []
+        if last:
+            found.append(f"_ {last}")
+        if first and last:
+            found.append(f"{first} _ {last}")
+        if second:
+            found += [f"{second} {first} _", f"{second} * _"]
+        out.append(found)
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, class, end) of identifier-like strings off the seeds: addresses, then numbers off these, then tokens of
     letters and digits off both."""
@@ -175,7 +202,8 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
                 bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
                 seeds = sorted(base + secret_spans(text)) if secrets else base
                 own = [(s, k, e, True) for s, k, e in seeds] + [(s, k, e, False) for s, k, e in candidates(text, seeds)]
-                found.append([{"start": s, "kind": k, "end": e, "seed": is_seed, "value": named(text[s:e]), "patterns": _context(text, s, e)} for s, k, e, is_seed in own])
+                patterns = contexts(text, [(s, e) for s, _, e, _ in own])
+                found.append([{"start": s, "kind": k, "end": e, "seed": is_seed, "value": named(text[s:e]), "patterns": p} for (s, k, e, is_seed), p in zip(own, patterns)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(bases, pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "kind", "end")]))), pa.array(found, _arrow_mentions())],
                 names=schema.names,

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -67,8 +69,8 @@ def plain_bootstrap(docs, settings):
     rows = []
     for i, text in docs:
         base = sorted(pii.base_spans(text) + pii.secret_spans(text))
-        rows += [(i, s, e, pii.CLASS_OF[k], k, text[s:e], pii._context(text, s, e)) for s, k, e in base]
-        rows += [(i, s, e, c, None, text[s:e], pii._context(text, s, e)) for s, c, e in pii.candidates(text, base)]
+        rows += [(i, s, e, pii.CLASS_OF[k], k, text[s:e], pii.contexts(text, [(s, e)])[0]) for s, k, e in base]
+        rows += [(i, s, e, c, None, text[s:e], pii.contexts(text, [(s, e)])[0]) for s, c, e in pii.candidates(text, base)]
     values, known = defaultdict(set), {}
     for _, _, _, c, k, v, patterns in rows:
         for p in patterns:
@@ -146,7 +148,7 @@ def test_secrets_and_long_values():
     assert [(text[s:e], k) for s, k, e in pii.secret_spans(text)] == [("0123456789abcdef0123", pii.SECRET)]
     long = "9" * 300
     assert pii.named(long) != pii.named(long + "9") and len(pii.named(long)) == 65
-    assert pii._context("x" * 100 + " " + long + " y", 101, 401)[1] == "_ y"
+    assert pii.contexts("x" * 100 + " " + long + " y", [(101, 401)])[0][1] == "_ y"
 
 
 def test_the_pii_query_says_what_its_spans_say(spark, tmp_path):
@@ -157,3 +159,46 @@ def test_the_pii_query_says_what_its_spans_say(spark, tmp_path):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in base) for kind in range(4)]
         said = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
         assert r.spans == said and r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.n_secret == (r.doc_id == 4)
+
+
+def plain_contexts(text, start, end):
+    """Patterns of a span by walking from it, for texts of ASCII and words of 64 characters at most."""
+    plain = lambda w: re.sub("[0-9]+", "0", w.lower())
+    left, right = text[:start].split()[::-1], text[end:].split()
+    first, second, last = (plain(x[k]) if len(x) > k else None for x, k in ((left, 0), (left, 1), (right, 0)))
+    return [p for p, ok in ((f"{first} _", first), (f"_ {last}", last), (f"{first} _ {last}", first and last), (f"{second} {first} _", second), (f"{second} * _", second)) if ok]
+
+
+def test_contexts_are_those_of_a_walk():
+    for _ in range(300):
+        text = "".join(random.choice("aB1 2\n:,@") for _ in range(random.randrange(1, 60)))
+        spans = [tuple(sorted(random.sample(range(len(text) + 1), 2))) for _ in range(8)]
+        assert pii.contexts(text, spans) == [plain_contexts(text, a, b) for a, b in spans]
+
+
+def test_pieces_of_long_words_have_the_names_of_equal_words():
+    word = "".join(random.choice("aB12é") for _ in range(500))
+    cuts = sorted(random.sample(range(1, 501), 40))
+    assert pii._prefix_names(word, cuts) == {c: pii._prefix_names(word[:c], [c])[c] for c in cuts}
+
+
+def test_pii_of_a_long_text_without_white_space(spark):
+    text = ",".join(f"user{k}@host{k % 997}.example.org" for k in range(330_000))
+    assert len(text) > 10_000_000
+    began = time.monotonic()
+    found = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).selectExpr("size(base)", "size(spans)").first()
+    assert tuple(found) == (330_000, 330_000)
+    assert time.monotonic() - began < 90
+
+
+def test_columns_named_like_what_operators_make_keep_their_values(spark):
+    names = ["__key", "__first", "__one", "__leaf", "__cut", "__copies", "__epoch", "__mix", "__KEY2"]
+    rows = [(k, f"text {k // 2} " + "w " * 30, "en", f"src{k % 2}", *[f"{n}-{k}" for n in names]) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    own = {r[0]: r for r in rows}
+    mixture = mixing.Mixture(weights={}, default=1, budget=800, epochs=1)
+    mixed = mixing.mix(docs, mixture, F.lit("web"))
+    assert mixed.columns == [*docs.columns, "___mix"]
+    for kept in (exact_dedup.exact_dedup(docs), simhash.near_dedup(docs), jaccard.near_dedup(docs), mixed.drop("___mix")):
+        got = [tuple(r) for r in kept.collect()]
+        assert got and all(r == own[r[0]] for r in got)
