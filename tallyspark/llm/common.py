@@ -60,6 +60,14 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with as many underscores before it as it takes to be no column of df, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often and wherever body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

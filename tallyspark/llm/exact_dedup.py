@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, columns_of, documents, let, text_of
+from tallyspark.llm.common import Scratch, columns_of, documents, let, text_of, unused
 
 BLOCK_BYTES = 4096
 
@@ -124,10 +124,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     kept = exact_groups(docs, id_col, text_col).filter("kept")
     key = lambda i, sha: F.concat_ws(":", sha, F.coalesce(i.cast("string"), F.lit("null")))
-    keys = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    keyed = docs.withColumn("__key", key(F.col(id_col), F.sha2(text_of(text_col).cast("binary"), 256)))
-    return keyed.join(keys, "__key", "left_semi").withColumn("__first", first).filter("__first = 1").select(*columns_of(docs))
+    name, place = unused(docs, "__key"), unused(docs, "__first")
+    keys = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias(name))
+    first = F.row_number().over(Window.partitionBy(name).orderBy(F.lit(0)))
+    keyed = docs.withColumn(name, key(F.col(id_col), F.sha2(text_of(text_col).cast("binary"), 256)))
+    return keyed.join(keys, name, "left_semi").withColumn(place, first).filter(F.col(place) == 1).select(*columns_of(docs))
 
 
 def op4_exact_dedup(spark, sf_dir):

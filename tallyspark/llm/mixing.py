@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, columns_of, documents, text_of, words_of
+from tallyspark.llm.common import Scratch, columns_of, documents, text_of, words_of, unused
 
 LEVELS = ("domain", "lang", "source")
 
@@ -131,7 +131,7 @@ def _leaf(domain: Column, lang_col: str, source_col: str) -> list[Column]:
 
 def mix(docs: DataFrame, mixture: Mixture, domain: Column, id_col="doc_id", text_col="text", lang_col="lang", source_col="source") -> DataFrame:
     """The rows of docs that the mixture takes, once for each epoch that takes them, with all their columns and a
-    struct __mix (domain, lang, source, budget, epoch).
+    struct __mix (domain, lang, source, budget, epoch), or what unused() makes of that name.
 
     Null domains, languages and sources are a node "(none)"; null ids share one key; null and empty texts hold no token
     and go with whoever stands beside them in the order. Rows that share an id, repeated ones too, tie in the order and
@@ -141,12 +141,14 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column, id_col="doc_id", text
     """
     cut = cutoffs(docs, mixture, domain, id_col, text_col, lang_col, source_col)
     leaf = F.struct(*_leaf(domain, lang_col, source_col))
-    cut = cut.select(F.struct(*LEVELS).alias("__leaf"), "budget", "whole", "cutoff").select("__leaf", F.struct("budget", "whole", "cutoff").alias("__cut"))
-    joined = docs.withColumn("__leaf", leaf).join(cut, "__leaf")
-    partial = (F.col("__cut.whole") < mixture.epochs) & (key(mixture, F.col("__cut.whole"), F.col(id_col)) <= F.col("__cut.cutoff"))
-    copies = (F.col("__cut.whole") + F.when(partial, 1).otherwise(0)).cast("int")
-    taken = joined.withColumn("__copies", copies).filter("__copies > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    return taken.select(*columns_of(docs), F.struct("__leaf.*", "__cut.budget", F.col("__epoch").alias("epoch")).alias("__mix"))
+    of_leaf, of_cut, of_copies, of_epoch = (unused(docs, f"__{n}") for n in ("leaf", "cut", "copies", "epoch"))
+    cut = cut.select(F.struct(*LEVELS).alias(of_leaf), F.struct("budget", "whole", "cutoff").alias(of_cut))
+    joined = docs.withColumn(of_leaf, leaf).join(cut, of_leaf)
+    whole = F.col(f"{of_cut}.whole")
+    partial = (whole < mixture.epochs) & (key(mixture, whole, F.col(id_col)) <= F.col(f"{of_cut}.cutoff"))
+    copies = (whole + F.when(partial, 1).otherwise(0)).cast("int")
+    taken = joined.withColumn(of_copies, copies).filter(F.col(of_copies) > 0).withColumn(of_epoch, F.explode(F.sequence(F.lit(0), F.col(of_copies) - 1)))
+    return taken.select(*columns_of(docs), F.struct(f"{of_leaf}.*", f"{of_cut}.budget", F.col(of_epoch).alias("epoch")).alias(unused(docs, "__mix")))
 
 
 def domain_of_source(source: Column) -> Column:

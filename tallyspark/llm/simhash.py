@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import Scratch, columns_of, documents, text_of
+from tallyspark.llm.common import Scratch, columns_of, documents, text_of, unused
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -224,10 +224,11 @@ def one_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) ->
     key = lambda i, text: F.concat_ws(".", F.coalesce(i.cast("string"), F.lit("null")), text)
     scratch = Scratch(docs.sparkSession, "near-kept")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"), F.col("text_key").alias("t"))).alias("x"))
-    kept = scratch.save(first.select(key(F.col("x.i"), F.col("x.t")).alias("__key")), "kept")
-    keyed = docs.withColumn("__key", key(F.col(id_col), F.xxhash64(text_of(text_col))))
-    one = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    return keyed.join(kept, "__key", "left_semi").withColumn("__one", one).filter("__one = 1").select(*columns_of(docs))
+    name, place = unused(docs, "__key"), unused(docs, "__one")
+    kept = scratch.save(first.select(key(F.col("x.i"), F.col("x.t")).alias(name)), "kept")
+    keyed = docs.withColumn(name, key(F.col(id_col), F.xxhash64(text_of(text_col))))
+    one = F.row_number().over(Window.partitionBy(name).orderBy(F.lit(0)))
+    return keyed.join(kept, name, "left_semi").withColumn(place, one).filter(F.col(place) == 1).select(*columns_of(docs))
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
