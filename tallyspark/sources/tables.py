@@ -3,6 +3,8 @@ indexes, incremental loads, keyword columns."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -131,3 +133,15 @@ def keep_loading(stream: DataFrame, path: str, checkpoint: str, by: list[str]):
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by spark.checkpoint.dir; one of our own only in local mode."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tallyspark-")
+        sc.setCheckpointDir(found)
+    return found
