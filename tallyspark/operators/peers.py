@@ -3,7 +3,8 @@
 Groups are few and large, so no task may hold one. Equal values of a group are counted first; the distinct values are
 cut into BUCKETS by approximate quantiles, which any value falls into by comparison alone, so ranks are exact however
 rough the cuts are. A value's rank is what its group has in lower buckets (a sum over at most BUCKETS + 1 rows) and
-what its bucket has below it (a window over one bucket). Ranks go back to the rows by group and value.
+what its bucket has below it (a window over one bucket). Ranks go back to the rows by group and value. The rows and the
+counted values are each written once and read from there, so what the rows come from is computed once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.sources.tables import saved
+
 BUCKETS = 128
 
 
@@ -41,13 +44,13 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 def _long(df: DataFrame, columns: list[str], values: list[str]) -> DataFrame:
     each = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])
-    return df.select(*columns, F.explode(each).alias("__m")).select(*columns, "__m.*").filter("value is not null")
+    return df.select(*columns, F.explode(each).alias("__m")).select(*columns, "__m.*")
 
 
 def value_ranks(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     """by, metric, value, below (rows of the group under it), ties (rows that share it), known (rows with a value)."""
     group = [*by, "metric"]
-    counted = _long(df, by, values).groupBy(*group, "value").agg(F.count("*").alias("ties"))
+    counted = saved(_long(df, by, values).filter("value is not null").groupBy(*group, "value").agg(F.count("*").alias("ties")), "counted")
     cuts = counted.groupBy(*group).agg(F.percentile_approx("value", [k / BUCKETS for k in range(1, BUCKETS)], 10_000).alias("cuts"))
     placed = _joined(counted, cuts, group).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     lower = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,11 +64,12 @@ def value_ranks(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
 def ranked(df: DataFrame, keys: list[str], values: dict[str, str], by: list[str], measure: Callable[[Column, Column, Column], Column] = average_percentile) -> DataFrame:
     """df with a column (key of values) for each value column (its value): a measure of its rank within by; null for
     null. keys tell rows apart and are never null."""
-    names = list(values.values())
-    ranks = value_ranks(df, names, by).select(*by, "metric", "value", measure(F.col("below"), F.col("ties"), F.col("known")).alias("measured"))
-    found = _joined(_long(df, [*keys, *by], names), ranks, [*by, "metric", "value"])
-    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == v, F.col("measured"))).alias(new) for new, v in values.items()])
-    return df.join(wide, keys, "left")
+    names, rows = list(values.values()), saved(df, "peers")
+    ranks = value_ranks(rows, names, by).select(*by, "metric", "value", measure(F.col("below"), F.col("ties"), F.col("known")).alias("measured"))
+    whole = rows.withColumn("__row", F.struct(*df.columns))
+    found = _joined(_long(whole, [*keys, *by, "__row"], names), ranks, [*by, "metric", "value"], "left")
+    wide = found.groupBy(*keys).agg(F.any_value("__row").alias("__row"), *[F.max(F.when(F.col("metric") == v, F.col("measured"))).alias(new) for new, v in values.items()])
+    return wide.select("__row.*", *values)
 
 
 def standardised(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:

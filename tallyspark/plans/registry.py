@@ -15,7 +15,7 @@ from tallyspark.operators import windows as W
 from tallyspark.plans import bindings as B
 from tallyspark.plans.catalog import QUERIES, SQL, query  # noqa: F401
 from tallyspark.sources.tables import table
-from tallyspark.streaming import streams
+from tallyspark.streaming import state, streams
 
 def _seasons(spark, sf):
     return A.rollup(B.league(spark, sf), ["player", "season"], B.SUMS, "match_id")
@@ -63,8 +63,10 @@ def _peers(spark, sf):
     return _rates(spark, sf).filter("minutes >= 100").join(players, "player")
 
 
-def _percentiles(spark, sf):
-    return R.ranked(_peers(spark, sf), ["player", "season"], {f"{c}_pct": f"{c}_per90" for c in _WEIGHTS}, ["grp"])
+def _percentiles(spark, sf, grp=None):
+    """grp: a group to rank by itself; ranks lie within groups, so the others have no part in them."""
+    peers = _peers(spark, sf)
+    return R.ranked(peers if grp is None else peers.filter(F.col("grp") == grp), ["player", "season"], {f"{c}_pct": f"{c}_per90" for c in _WEIGHTS}, ["grp"])
 
 
 def _pct_sql(c):
@@ -78,9 +80,9 @@ _SCORE_EXPR = "0.0::DOUBLE" + "".join(f" + {c}_pct * {w}::DOUBLE" for c, w in _W
 
 @query(f"WITH {_PCT_SQL} SELECT player, season, grp, floor(({_SCORE_EXPR}) * 10 + 0.5) / 10 AS score FROM pct WHERE grp = 'BUILDING' ORDER BY score DESC, player, season LIMIT 50")
 def rankings(spark, sf):
-    """Weighted percentile score within the peer group; group and limit come after scoring."""
+    """Weighted percentile score within the peer group; the limit comes after scoring."""
     score = S.half_up(W.weighted_score({c: F.col(f"{c}_pct") for c in _WEIGHTS}, _WEIGHTS), 1)
-    scored = W.ranked(_percentiles(spark, sf).filter("grp = 'BUILDING'"), score, [F.col("player"), F.col("season")], 50)
+    scored = W.ranked(_percentiles(spark, sf, "BUILDING"), score, [F.col("player"), F.col("season")], 50)
     return scored.select("player", "season", "grp", "score")
 
 
@@ -399,6 +401,21 @@ def stream_session(spark, sf):
     return streams.sessions(events).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+#: Calls that a client has in a window, and its seconds: events are some hours apart, so a minute would refuse none.
+_CALLS, _SECONDS = 3, 48 * 3600
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_us(ts) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+step AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, 0::BIGINT AS "at", []::BIGINT[] AS f, []::BIGINT[] AS kept FROM c
+  UNION ALL SELECT c.user_id, c.k, c.event_id, c."at", list_filter(kept, lambda x: c."at" - x <= {_SECONDS * 1_000_000}),
+    CASE WHEN len(list_filter(kept, lambda x: c."at" - x <= {_SECONDS * 1_000_000})) < {_CALLS} THEN list_append(list_filter(kept, lambda x: c."at" - x <= {_SECONDS * 1_000_000}), c."at") ELSE list_filter(kept, lambda x: c."at" - x <= {_SECONDS * 1_000_000}) END
+  FROM step JOIN c ON c.user_id = step.user_id AND c.k = step.k + 1)
+SELECT user_id, event_id, len(f) < {_CALLS} AS allowed, CASE WHEN len(f) >= {_CALLS} THEN (({_SECONDS * 1_000_000} - ("at" - f[1])) // 1000000 + 1)::INTEGER END AS retry_after FROM step WHERE k > 0""")
+def rate_limit(spark, sf):
+    """Which calls of a client a limit lets through, and how long the others have to wait: the batch form of the stream."""
+    return state.limited(table(spark, sf, "events").select("user_id", "event_id", "ts"), _CALLS, _SECONDS)
+
+
 @query()
 def team_strength(spark, sf):
     """Attack and defence of every team by a Poisson regression, strongest attack first."""

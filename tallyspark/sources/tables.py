@@ -4,6 +4,7 @@ indexes, incremental loads, keyword columns."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,6 +136,14 @@ def keep_loading(stream: DataFrame, path: str, checkpoint: str, by: list[str]):
     return query
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that what is built on it neither repeats its work nor keeps
+    its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, by spark.checkpoint.dir; one of our own only in local mode."""
     sc = spark.sparkContext

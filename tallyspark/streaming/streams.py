@@ -1,11 +1,9 @@
-"""Structured Streaming forms: tumbling and session windows (extensions), and a keyed sliding-window rate limit."""
+"""Structured Streaming forms of tumbling and session windows (extensions); state.py has those that keep state."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,33 +23,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return counted.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-def rate_limit(events: DataFrame, most: int = 3, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """user_id, event_id, allowed: at most `most` allowed calls of a user in the last seconds; refused calls do not
-    count. State per user is the times of its allowed calls within the window, at most `most` of them, and goes once
-    the watermark has passed them, by event time, so a replay decides alike. A user's calls of one micro-batch are put in time order together, so the size of
-    a micro-batch is what bounds them."""
-
-    def step(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        allowed = []
-        for at in frame["ts"].map(lambda t: t.timestamp()):
-            kept = [x for x in kept if x > at - seconds]
-            allowed.append(len(kept) < most)
-            if allowed[-1]:
-                kept.append(at)
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(int((max(kept, default=0) + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"user_id": key[0], "event_id": frame["event_id"], "allowed": allowed})
-
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a stream over what is there and returns the table it leaves in memory; for tests and small tables."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

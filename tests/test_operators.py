@@ -1,6 +1,4 @@
-"""Reference operators on small closed cases, and the rate limit against a plain version."""
-
-from pathlib import Path
+"""Reference operators on small closed cases."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +7,6 @@ from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import profiles as P
 from tallyspark.operators import search as Q
-from tallyspark.streaming import streams
-
-FOLDER = "/root/testdata/sf0.001"
 
 
 def one(spark, column):
@@ -100,16 +95,3 @@ def test_filled(spark):
     known = spark.createDataFrame([(1, "right", 180), (2, "odd", 50), (3, "both", 190)], "id int, foot string, height int")
     got = P.filled(players, known, "id", {"foot": F.col("foot").isin("left", "right", "both"), "height": F.col("height") > 100})
     assert sorted(map(tuple, got.collect())) == [(1, "left", 180), (2, None, None), (3, "both", 170)]
-
-
-@pytest.mark.skipif(not Path(FOLDER).exists(), reason="the driver's tables are absent")
-def test_rate_limit(spark):
-    events = streams.event_stream(spark, FOLDER).withColumn("ts", F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 1000)))  # denser
-    got = {r.event_id: r.allowed for r in streams.drained(streams.rate_limit(events), "limited", "append").collect()}
-    rows = spark.read.parquet(f"{FOLDER}/events.parquet").select("event_id", "user_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 1000).alias("t")).collect()
-    kept, wanted = {}, {}
-    for r in sorted(rows, key=lambda r: (r.t, r.event_id)):
-        own = [x for x in kept.get(r.user_id, []) if x > r.t - 60]
-        wanted[r.event_id] = len(own) < 3
-        kept[r.user_id] = own + [r.t] * wanted[r.event_id]
-    assert got == wanted and len(set(wanted.values())) == 2
