@@ -123,7 +123,9 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         entries.append(key)
     posted = prints.select(F.explode(F.array(*entries)).alias("posting"), "print")
     scratch = Scratch(prints.sparkSession, "postings")
-    met = scratch.save(posted.withColumn("held", F.count("*").over(Window.partitionBy("posting"))).filter("held > 1"), "met")
+    # counts are combined before they are shuffled and joined back: no task has to hold a posting to count it
+    held = posted.groupBy("posting").agg(F.count("*").alias("held")).filter("held > 1")
+    met = scratch.save(posted.join(held, "posting"), "met")
     others = F.lit([[p for p in range(8) if p not in places] for places in sets])
     fifth = F.transform(
         F.get(others, F.shiftright("posting", 8 * KEY_BYTES).cast("int")),
