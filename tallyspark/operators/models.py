@@ -92,6 +92,58 @@ def team_strengths(goals: DataFrame, shrink: float = 1e-3) -> tuple[DataFrame, f
     return found.join(played, "team").orderBy(F.desc("attack"), "team"), exp(float(c[2 * n]))
 
 
+_STRENGTH = "team string, played long, attack double, defence double, home double"
+
+
+def strengths_by_scope(goals: DataFrame, scope: str, shrink: float = 1e-3, turns: int = 50) -> DataFrame:
+    """scope, team, played, attack, defence, home: a Poisson regression as team_strengths, in each scope by itself, all
+    scopes at once. Rows (scope, team, opponent, goals, is_home) are first added up by sides and place, as the fit needs
+    no more of them, so what meets in a task are a scope's pairs of teams and not its matches. It minimises the mean
+    deviance / 2 plus shrink / 2 times the squares of all coefficients but the intercept, by Newton's method, which the
+    penalty gives one lowest point. attack and defence are differences to the scope's mean team; home is the factor on
+    goals. Rows without a scope, team or opponent have no part."""
+    import numpy as np
+    import pyarrow as pa
+
+    named = goals.select(F.col(scope).alias("scope"), *[F.col(c).cast("string").alias(c) for c in ("team", "opponent")], F.col("is_home").cast("double").alias("home"), F.col("goals").cast("double").alias("goals"))
+    pairs = named.dropna(subset=["scope", "team", "opponent", "goals"]).groupBy("scope", "team", "opponent", "home").agg(F.count("*").cast("double").alias("n"), F.sum("goals").alias("y"))
+    kind = pairs.schema["scope"]
+
+    def fitted(key, table: pa.Table) -> pa.Table:
+        names = sorted({*table.column("team").to_pylist(), *table.column("opponent").to_pylist()})
+        at, t = {name: k for k, name in enumerate(names)}, len(names)
+        rows, (n, y) = np.arange(table.num_rows), (table.column(c).to_numpy() for c in ("n", "y"))
+        own = np.array([at[x] for x in table.column("team").to_pylist()])
+        x = np.zeros((table.num_rows, 2 * t + 2))
+        x[rows, own] = 1
+        x[rows, t + np.array([at[o] for o in table.column("opponent").to_pylist()])] = 1
+        x[:, 2 * t], x[:, 2 * t + 1] = table.column("home").to_numpy(), 1
+        ridge = np.full(2 * t + 2, shrink)
+        ridge[-1] = 0
+        b = np.zeros(2 * t + 2)
+        b[-1] = np.log(max(y.sum(), 0.5) / n.sum())
+        cost = lambda b: (n @ np.exp(np.minimum(x @ b, 50)) - y @ (x @ b)) / n.sum() + ridge @ (b * b) / 2
+        for _ in range(turns):
+            mean = n * np.exp(np.minimum(x @ b, 50))
+            slope = x.T @ (mean - y) / n.sum() + ridge * b
+            step = np.linalg.solve((x.T * mean) @ x / n.sum() + np.diag(ridge + 1e-12), slope)
+            size = 1.0
+            while size > 1e-6 and cost(b - size * step) > cost(b):
+                size /= 2
+            b = b - size * step
+            if np.abs(size * step).max() < 1e-10:
+                break
+        played = np.bincount(own, n, minlength=t)
+        keep = np.flatnonzero(played)
+        attack, defence = b[:t] - b[:t].mean(), -(b[t : 2 * t] - b[t : 2 * t].mean())
+        count = len(keep)
+        return pa.table({"scope": pa.array([key[0].as_py()] * count, table.column("scope").type), "team": [names[k] for k in keep], "played": pa.array(played[keep].astype(np.int64)), "attack": attack[keep], "defence": defence[keep], "home": np.full(count, np.exp(b[2 * t]))})
+
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    return pairs.groupBy("scope").applyInArrow(fitted, StructType([kind, *_parse_datatype_string(_STRENGTH).fields]))
+
+
 def value_model(df: DataFrame, features: list[str], value: str, key: str, held_out: float = 0.25, seed: int = 42) -> DataFrame:
     """Rows with is_test, predicted, predicted_low, predicted_high and residual: boosted trees on log1p, fitted on the
     keys that are not held out. The bounds add the 5 and 95 percentiles of residuals of a fifth of the training keys

@@ -424,6 +424,14 @@ def team_strength(spark, sf):
     return M.team_strengths(side("home", "away").unionByName(side("away", "home")))[0]
 
 
+@query()
+def strengths_by_competition(spark, sf):
+    """The same for each competition by itself and for all together, every fit in a task of its own."""
+    games = B.scorelines(spark, sf).withColumn("scope", F.explode(F.array(F.col("competition").cast("string"), F.lit("overall"))))
+    side = lambda own, other: games.select("scope", F.col(own).alias("team"), F.col(other).alias("opponent"), F.col(f"{own}_goals").alias("goals"), F.lit(own == "home").alias("is_home"))
+    return M.strengths_by_scope(side("home", "away").unionByName(side("away", "home")), "scope")
+
+
 @query()
 def outcome_model(spark, sf):
     form = X.form_features(B.scorelines(spark, sf).withColumns({f"{s}_xg": F.col(f"{s}_xg100") / 100 for s in ("home", "away")}))

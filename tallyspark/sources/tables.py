@@ -124,12 +124,18 @@ def load_index(spark: SparkSession, path: str, rebuild=None) -> DataFrame | None
         return rebuild() if rebuild else None
 
 
-def keep_loading(stream: DataFrame, path: str, checkpoint: str, by: list[str]):
-    """Loads what a file stream has not loaded yet and stops. Each batch replaces the partitions it has rows of, so a
-    batch that runs again leaves the same table; the checkpoint remembers what is done."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        overwrite_slices(batch, path, by)
+def keep_loading(stream: DataFrame, path: str, checkpoint: str, by: list[str], replace: bool = True):
+    """Loads what a file stream has not loaded yet and stops; the checkpoint remembers what is done.
+
+    With replace a partition's rows come whole, as a match that is sent again does: each batch replaces the partitions
+    that it has rows of, those of earlier batches too. Without it rows are added: a batch has a partition of its own
+    (column load, its number) below each of by. Either way a batch that runs again leaves the same table."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        if replace:
+            overwrite_slices(batch, path, by)
+        else:
+            overwrite_slices(batch.withColumn("load", F.lit(number)), path, [*by, "load"])
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,27 @@ def test_names_and_positions(spark):
 def test_searches_are_checked_before_any_plan(bad):
     with pytest.raises(ValueError):
         Q.Query(("x",), **bad)
+
+
+def test_strengths_of_each_scope_are_those_of_its_own_rows(spark):
+    """The fit has one lowest point, so a slope of zero over a scope's own rows proves it."""
+    rng = np.random.default_rng(4)
+    rows = [(f"c{s}", a, b, int(rng.poisson(np.exp(0.1 * a - 0.1 * b + 0.25 * h))), bool(h)) for s in range(3) for a in range(5 + s) for b in range(5 + s) if a != b for h in (0, 1) for _ in range(6)]
+    rows += [("one", 1, 2, 0, True), (None, 1, 2, 3, True), ("one", None, 2, 3, True)]
+    df = spark.createDataFrame(rows, "scope string, team int, opponent int, goals int, is_home boolean").repartition(5)
+    got = M.strengths_by_scope(df, "scope").collect()
+    assert {r.scope for r in got} == {"c0", "c1", "c2", "one"}
+    for s in range(3):
+        own = {r.team: r for r in got if r.scope == f"c{s}"}
+        mine = [r for r in rows if r[0] == f"c{s}"]
+        attack, defence = ({t: getattr(r, c) for t, r in own.items()} for c in ("attack", "defence"))
+        home = np.log(own["0"].home)
+        eta = np.array([attack[str(a)] - defence[str(b)] + home * h for _, a, b, _, h in mine])
+        y = np.array([r[3] for r in mine])
+        level = y.sum() / np.exp(eta).sum()  # the intercept and the centring, in one
+        miss = level * np.exp(eta) - y
+        for t in own:
+            by = np.array([str(a) == t for _, a, *_ in mine]), np.array([str(b) == t for _, _, b, *_ in mine])
+            assert abs(miss[by[0]].sum() / len(mine) + 1e-3 * attack[t]) < 1e-6
+            assert abs(miss[by[1]].sum() / len(mine) - 1e-3 * defence[t]) < 1e-6
+        assert own["0"].played == 2 * 6 * (4 + s) and attack[str(4 + s)] > attack["0"]

@@ -73,3 +73,9 @@ def test_loading_goes_on_where_it_stopped(spark, tmp_path):
     spark.createDataFrame([(5, "b")], "id int, season string").coalesce(1).write.mode("append").parquet(source)
     I.keep_loading(stream(), path, seen, ["season"])
     assert sorted((r.id, r.season) for r in spark.read.parquet(path).collect()) == [(1, "a"), (5, "b")]
+    added, seen = str(tmp_path / "added"), str(tmp_path / "seen-added")
+    I.keep_loading(stream(), added, seen, ["season"], replace=False)
+    spark.createDataFrame([(6, "b")], "id int, season string").coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        I.keep_loading(stream(), added, seen, ["season"], replace=False)
+    assert sorted((r.id, r.season) for r in spark.read.parquet(added).collect()) == [(1, "a"), (2, "b"), (5, "b"), (6, "b")]
