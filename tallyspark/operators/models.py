@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from math import exp
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.operators.evaluation import split_by_key
 
@@ -92,7 +95,7 @@ def team_strengths(goals: DataFrame, shrink: float = 1e-3) -> tuple[DataFrame, f
     return found.join(played, "team").orderBy(F.desc("attack"), "team"), exp(float(c[2 * n]))
 
 
-_STRENGTH = "team string, played long, attack double, defence double, home double"
+_STRENGTH = [T.StructField("team", T.StringType()), T.StructField("played", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("attack", "defence", "home")]]
 
 
 def strengths_by_scope(goals: DataFrame, scope: str, shrink: float = 1e-3, turns: int = 50) -> DataFrame:
@@ -102,9 +105,6 @@ def strengths_by_scope(goals: DataFrame, scope: str, shrink: float = 1e-3, turns
     deviance / 2 plus shrink / 2 times the squares of all coefficients but the intercept, by Newton's method, which the
     penalty gives one lowest point. attack and defence are differences to the scope's mean team; home is the factor on
     goals. Rows without a scope, team or opponent have no part."""
-    import numpy as np
-    import pyarrow as pa
-
     named = goals.select(F.col(scope).alias("scope"), *[F.col(c).cast("string").alias(c) for c in ("team", "opponent")], F.col("is_home").cast("double").alias("home"), F.col("goals").cast("double").alias("goals"))
     pairs = named.dropna(subset=["scope", "team", "opponent", "goals"]).groupBy("scope", "team", "opponent", "home").agg(F.count("*").cast("double").alias("n"), F.sum("goals").alias("y"))
     kind = pairs.schema["scope"]
@@ -139,9 +139,7 @@ def strengths_by_scope(goals: DataFrame, scope: str, shrink: float = 1e-3, turns
         count = len(keep)
         return pa.table({"scope": pa.array([key[0].as_py()] * count, table.column("scope").type), "team": [names[k] for k in keep], "played": pa.array(played[keep].astype(np.int64)), "attack": attack[keep], "defence": defence[keep], "home": np.full(count, np.exp(b[2 * t]))})
 
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    return pairs.groupBy("scope").applyInArrow(fitted, StructType([kind, *_parse_datatype_string(_STRENGTH).fields]))
+    return pairs.groupBy("scope").applyInArrow(fitted, T.StructType([kind, *_STRENGTH]))
 
 
 def value_model(df: DataFrame, features: list[str], value: str, key: str, held_out: float = 0.25, seed: int = 42) -> DataFrame:
