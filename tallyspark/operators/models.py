@@ -109,7 +109,7 @@ def strengths_by_scope(goals: DataFrame, scope: str, shrink: float = 1e-3, turns
     pairs = named.dropna(subset=["scope", "team", "opponent", "goals"]).groupBy("scope", "team", "opponent", "home").agg(F.count("*").cast("double").alias("n"), F.sum("goals").alias("y"))
     kind = pairs.schema["scope"]
 
-    def fitted(key, table: pa.Table) -> pa.Table:
+    def fitted(key, table):
         names = sorted({*table.column("team").to_pylist(), *table.column("opponent").to_pylist()})
         at, t = {name: k for k, name in enumerate(names)}, len(names)
         rows, (n, y) = np.arange(table.num_rows), (table.column(c).to_numpy() for c in ("n", "y"))
