@@ -221,3 +221,17 @@ def test_filter_audit(spark, docs):
     assert len(got) == 4 * 600
     assert filter_audit.filter_audit(docs.limit(0), told).count() == 0
     assert filter_audit.filter_audit(docs, told.limit(0)).agg(F.sum("good_lost")).first()[0] == 0
+
+
+def test_encoder_gives_the_ids_of_whole_texts():
+    ids = plain_ids()
+    rng = random.Random(2)
+    pieces = ["Foo", "BAR,", "it's", "'S", "x2.", "<|endoftext|>", "<|EndOfText|>", "<|", "é!", "É", "ΑΣ.", "ΑΣ", "a,b.", "...", "&&&", "q&&&", "I'LL.", "'", "don't!", "7.", "½.", "²)", "ﬁ,", "\u0130.", "e\u0301.", "\u037e", "a_", "_a_", "#1", "A\u00a0b.", "x\u2003Y,", "ß."]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(300)] + pieces
+    with open(WORDS) as file:
+        encoder = packing.Encoder(file.read())
+    assert encoder.by_words and encoder.lowers and encoder.apart
+    for _ in range(2):  # the second time from memory
+        got = [list(memoryview(x).cast("H")) for x in encoder.encode([t.encode() for t in texts])]
+        assert got == [ids(t)[:-1] for t in texts]
+        encoder.held = packing.REMEMBERED + 1
