@@ -1,20 +1,23 @@
 """Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
 
-Every window of WINDOW words picks the smallest of its GRAM-word hashes as its anchor; neighbouring windows that pick
-the same one make a block, named by the anchor and by the windows it begins and ends with. The cut is made by content
-alone, so a passage is cut alike wherever it stands, and the blocks of all documents are the reference. The index keeps
-the first and the last place of every block.
+Every window of WINDOW words picks the smallest of its GRAM-word hashes. The picked runs of GRAM words are the blocks of
+the reference; they are chosen by content alone, so a passage is cut alike wherever it stands. A block's context is what
+the windows that picked it span. A block alone is too short to be a duplicate: what is removed depends on how far its
+factor reaches.
 
-A document is parsed left to right over its blocks. At each one the parse tries the places that the index has for it
-elsewhere, follows each as long as the next block stands at the next place, and takes the longest run as a factor
-(first and last word, the place it is copied from). A block that the index holds nowhere else is a literal and ends
-the factor. Where a factor ends, a block may share its anchor with the index but not all of its windows: these are
-checked one by one, and what they cover is joined to the factor. Factors of WINDOW words and more are duplicate spans.
+A document is parsed left to right over its blocks. The source of a block's factor is the first place that the index
+has for it elsewhere, and the factor reaches as far to both sides as the words agree, within the context. Contexts of one
+name agree to their ends; others are compared word by word with the source's context. Factors of blocks that follow each
+other in the source too are one factor. Factors of WINDOW words and more are duplicate spans, and so is what they are
+copied from. A window that crosses a factor's end cannot equal one of that source, but can equal one of another place:
+these windows, and no others, are looked up by their hashes.
+
+This is exact. If a window stands twice, both have the same block at the same offset. If its source has that window, both
+factors hold it (the source's by being copied from); if not, it crosses the ends of both and both are looked up.
 
 A block costs one index entry, some 25 words' worth, not one per window. Entries are counted before they travel; of
-equal blocks one stands for all at the boundary check, so a passage that a third of all documents hold costs its rows
-and no pairs. Texts travel once, and those that lose words a second time. Words, windows and blocks are told apart by
-64-bit hashes.
+equal contexts one is compared for all, so a passage that a third of all documents hold costs its rows and no pairs.
+Texts travel once, and those that lose words a second time. Words, windows and contexts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -75,8 +78,9 @@ def windows_of(words: list[bytes]) -> np.ndarray:
     return _sequences(_hashed(words), WINDOW)
 
 
-def blocks_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, block (hashes), first window and number of windows of each block of a text."""
+def blocks_of(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """anchor, context (hashes of the block and of what its windows span), first window, number of windows, and the
+    block's distance from the first window, of each block of a text."""
     parts = []
     for at in range(0, max(1, len(words) - WINDOW + 1), PART):
         own = _hashed(words[at : at + PART + WINDOW - 1])
@@ -86,10 +90,10 @@ def blocks_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         picked = sliding_window_view(grams, WINDOW - GRAM + 1).argmin(axis=1) + np.arange(len(windows))
         first = np.flatnonzero(np.concatenate(([True], picked[1:] != picked[:-1])))
         count = np.diff(np.concatenate((first, [len(windows)])))
-        block = _mixed(windows[first] + windows[first + count - 1] * np.uint64(ODD) + count.astype(np.uint64))
-        parts.append((grams[picked[first]].view(np.int64), block.view(np.int64), first + at, count))
+        context = _mixed(windows[first] + windows[first + count - 1] * np.uint64(ODD) + count.astype(np.uint64))
+        parts.append((grams[picked[first]].view(np.int64), context.view(np.int64), first + at, count, picked[first] - first))
     if not parts:
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 5
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -108,8 +112,8 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-_BLOCK = [("anchor", pa.int64()), ("block", pa.int64()), ("first", pa.int32()), ("count", pa.int32())]
-_ROWS = "row bigint, rid string, n_words bigint, sha string, blocks array<struct<anchor:bigint,block:bigint,first:int,count:int>>"
+_BLOCK = [("anchor", pa.int64()), ("context", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("shift", pa.int32())]
+_ROWS = "row bigint, rid string, n_words bigint, sha string, blocks array<struct<anchor:bigint,context:bigint,first:int,count:int,shift:int>>"
 #: Places that a task may give to its blocks.
 PLACES = 1 << 40
 
@@ -129,7 +133,7 @@ def _indexed(batches):
             place += len(own[0]) + 1
             sizes.append(sizes[-1] + len(own[0]))
             found.append(own)
-        columns = [np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(4)]
+        columns = [np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(5)]
         structs = pa.StructArray.from_arrays([pa.array(c.astype(kind.to_pandas_dtype())) for c, (_, kind) in zip(columns, _BLOCK, strict=True)], names=[n for n, _ in _BLOCK])
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows, pa.int64()), batch.column("rid"), batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), structs)],
@@ -137,64 +141,72 @@ def _indexed(batches):
         )
 
 
-def parsed(held: list[tuple[int, int, int, int, int]], row: int) -> list[tuple[int, int, int]]:
-    """The factors of a document: first word, end, place of the first block in the reference. held: ordinal, first
-    window, number of windows, first and last place of each block that the index holds elsewhere, by ordinal. row:
-    the place of the document's own first block."""
+def extended(own: np.ndarray, shift: int, source: np.ndarray, source_shift: int) -> tuple[int, int]:
+    """How many words before a block and after it agree with the source's, both given by the hashes of their contexts'
+    words and the block's distance from the context's beginning."""
+    n = min(shift, source_shift)
+    differs = np.flatnonzero(own[shift - n : shift][::-1] != source[source_shift - n : source_shift][::-1])
+    left = int(differs[0]) if len(differs) else n
+    own, source = own[shift + GRAM :], source[source_shift + GRAM :]
+    n = min(len(own), len(source))
+    differs = np.flatnonzero(own[:n] != source[:n])
+    return left, int(differs[0]) if len(differs) else n
+
+
+def parsed(held: list[tuple[int, int, int, int, int, int]], row: int) -> list[tuple[int, int, int]]:
+    """The factors of a document: first word, end, place of the first block in the reference. held: ordinal, place in
+    the text, words that agree before and after it, first and last place with that context, of each block that has
+    one elsewhere, by ordinal. row: the place of the document's own first block."""
     factors, k = [], 0
     while k < len(held):
         longest, source = 0, -1
-        for place in held[k][3:5]:
+        for place in held[k][4:6]:
             if place == row + held[k][0]:
                 continue
             n = 1
-            while k + n < len(held) and held[k + n][0] == held[k][0] + n and place + n in held[k + n][3:5]:
+            while k + n < len(held) and held[k + n][0] == held[k][0] + n and place + n in held[k + n][4:6]:
                 n += 1
             if n > longest:
                 longest, source = n, place
         last = held[k + longest - 1]
-        factors.append((held[k][1], last[1] + last[2] + WINDOW - 1, source))
+        factors.append((held[k][1] - held[k][2], last[1] + GRAM + last[3], source))
         k += longest
     return factors
 
 
 _FACTORS = "array<struct<a:int,b:int,source:bigint>>"
-_CHECKED = f"rid string, text binary, factors {_FACTORS}, windows array<struct<anchor:bigint,window:bigint,at:int,n:bigint>>"
+_PASSAGES = "array<struct<anchor:bigint,n:bigint,ord:int,first:int,shift:int,reference:boolean,words:binary>>"
+_OPENED = f"rid string, row bigint, text binary, factors {_FACTORS}, passages {_PASSAGES}"
+FACTORS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("source", pa.int64())]))
+PASSAGES = pa.list_(pa.struct([("anchor", pa.int64()), ("n", pa.int64()), ("ord", pa.int32()), ("first", pa.int32()), ("shift", pa.int32()), ("reference", pa.bool_()), ("words", pa.binary())]))
 
 
 #: Blocks that a task looks at together, but for one document more.
 AT_ONCE = 20_000
 
 
-def _lists(kind: dict[str, np.dtype], parts: dict[str, list[np.ndarray]], sizes: list[int]) -> pa.ListArray:
-    structs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, t), *parts[n]]).astype(t)) for n, t in kind.items()], names=list(kind))
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), structs)
-
-
 def _opened(batches):
-    """The factors of documents that the index holds blocks of, and the windows of blocks at factor boundaries."""
-    fields = ("ord", "first", "count", "lo", "hi", "anchor", "n")
-    of_factor, of_window = {"a": np.int32, "b": np.int32, "source": np.int64}, {"anchor": np.int64, "window": np.int64, "at": np.int32, "n": np.int64}
+    """The factors of whole contexts, and the words of contexts that have to be compared."""
+    fields = ("ord", "first", "count", "shift", "lo", "hi", "anchor", "n")
 
     def made(part: pa.RecordBatch, sizes: list[int]) -> pa.RecordBatch:
         todos = part.column("todo").flatten()
         todo = list(zip(*(todos.field(name).to_pylist() for name in fields)))
-        factors, windows = {n: [] for n in of_factor}, {n: [] for n in of_window}
-        n_factors, n_windows, at = [], [], 0
+        factors, passages, at = [], [], 0
         for t, row, size in zip(part.column("text"), part.column("row").to_pylist(), sizes):
             own = todo[at : at + size]
             at += size
-            found = [f for f in parsed(sorted(x[:5] for x in own if x[5] is None), row) if f[1] - f[0] >= WINDOW]
-            for name, values in zip(of_factor, zip(*found)):
-                factors[name].append(np.array(values))
-            n_factors.append(len(found))
-            checked = [(x[1], x[2], x[5], x[6]) for x in own if x[5] is not None]
-            words = t.as_py().split() if checked else []
-            n_windows.append(sum(count for _, count, _, _ in checked))
-            for first, count, anchor, n in checked:
-                for name, values in zip(of_window, (np.full(count, anchor), windows_of(words[first : first + count + WINDOW - 1]).view(np.int64), np.arange(first, first + count), np.full(count, n))):
-                    windows[name].append(values)
-        return pa.RecordBatch.from_arrays([part.column("rid"), part.column("text"), _lists(of_factor, factors, n_factors), _lists(of_window, windows, n_windows)], names=["rid", "text", "factors", "windows"])
+            held = sorted((o, first + shift, shift, count + WINDOW - 1 - shift - GRAM, lo, hi) for o, first, count, shift, lo, hi, anchor, _ in own if anchor is None)
+            factors.append([{"a": a, "b": b, "source": source} for a, b, source in parsed(held, row)])
+            compared = [x for x in own if x[6] is not None]
+            words = t.as_py().split() if compared else []
+            passages.append(
+                [
+                    {"anchor": anchor, "n": n, "ord": o, "first": first, "shift": shift, "reference": lo == row + o, "words": _hashed(words[first : first + count + WINDOW - 1]).tobytes()}
+                    for o, first, count, shift, lo, _, anchor, n in compared
+                ]
+            )
+        return pa.RecordBatch.from_arrays([part.column("rid"), part.column("row"), part.column("text"), pa.array(factors, FACTORS), pa.array(passages, PASSAGES)], names=["rid", "row", "text", "factors", "passages"])
 
     for batch in batches:
         sizes = pc.list_value_length(batch.column("todo")).to_pylist()
@@ -206,28 +218,52 @@ def _opened(batches):
                 start, held = k + 1, 0
 
 
+_COMPARED = "rid string, anchor bigint, n bigint, place bigint, a int, b int, left int, right int, source bigint, windows array<struct<window:bigint,at:int>>"
+WINDOWS = pa.list_(pa.struct([("window", pa.int64()), ("at", pa.int32())]))
+
+
+def _compared(batches):
+    """The factor of each context and its source's, and the hashes of the context's windows that cross its ends."""
+    kinds = {"rid": pa.string(), "anchor": pa.int64(), "n": pa.int64(), "place": pa.int64(), "a": pa.int32(), "b": pa.int32(), "left": pa.int32(), "right": pa.int32(), "source": pa.int64(), "windows": WINDOWS}
+    for batch in batches:
+        rows = batch.to_pydict()
+        made = [rows["rid"], rows["anchor"], rows["n"], rows["place"], *([] for _ in range(6))]
+        for first, shift, words, source, source_shift, source_words in zip(*(rows[k] for k in ("first", "shift", "words", "source", "source_shift", "source_words"))):
+            own = np.frombuffer(words, np.uint64)
+            left, right = extended(own, shift, np.frombuffer(source_words, np.uint64), source_shift)
+            a, b = shift - left, shift + GRAM + right
+            crossing = np.arange(len(own) - WINDOW + 1)
+            crossing = crossing[(crossing < a) | (crossing + WINDOW > b)]
+            hashes = _sequences(own, WINDOW)[crossing].view(np.int64).tolist() if len(crossing) else []
+            for column, value in zip(made[4:], (first + a, first + b, left, right, source, [{"window": h, "at": first + c} for h, c in zip(hashes, crossing.tolist())])):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(made, kinds.values(), strict=True)], names=list(kinds))
+
+
 def _cut(batches):
     for batch in batches:
-        removed, digests, texts = [], [], []
-        for t, factors, found in zip(batch.column("text"), batch.column("factors"), batch.column("found")):
+        removed, digests, texts, spans = [], [], [], []
+        for t, *parts in zip(batch.column("text"), batch.column("factors"), batch.column("found")):
+            factors = [(x["a"], x["b"], x["source"]) for part in parts for x in part.as_py() or []]
+            factors = sorted(f for f in factors if f[1] - f[0] >= WINDOW)
             words = t.as_py().split()
-            spans = [(x["a"], x["b"]) for x in factors.as_py()] + [(a, a + WINDOW) for a in found.as_py() or []]
-            n, kept = without(words, spans)
+            n, kept = without(words, [f[:2] for f in factors])
             removed.append(n)
             digests.append(_digest(kept))
             texts.append(b" ".join(kept).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("factors"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["rid", "factors", "n_removed", "kept_sha256", "kept_text"])
+            spans.append([{"a": a, "b": b, "source": source} for a, b, source in factors])
+        columns = [batch.column("rid"), pa.array(spans, FACTORS), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["rid", "factors", "n_removed", "kept_sha256", "kept_text"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, factors (first word, end, place they are copied from), kept_text (the
-    last two only of documents that lose words, else null): one row per row of docs.
+    """doc_id, n_words, n_removed, kept_sha256, factors (first word, end, place they are copied from: -1 where a look-up
+    found the window, and for a source the first place that copies it), kept_text (the last two only of documents that lose words, else null): one row per row of docs.
 
     Words covered by a window of WINDOW words that also starts anywhere else, in the same document or another, are
     removed, every occurrence. Null texts have no words; an empty table gives an empty one. Repeated rows are
     occurrences of each other's windows and get a row each. Very long texts are hashed PART words at a time and are
-    otherwise like any other. Ties do not arise: of a block's places the first and the last are kept, whichever rows
-    hold them. Other columns of docs are not read.
+    otherwise like any other. Ties do not arise: a factor's source is the first place, whichever row holds it. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
@@ -239,23 +275,32 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([*fields[:2], given.schema["id"], *fields[2:]])
     rows = scratch.save(given.mapInArrow(_indexed, schema), "rows")
     blocks = rows.select("row", F.posexplode("blocks").alias("ord", "b")).select("row", "ord", (F.col("row") + F.col("ord")).alias("place"), "b.*")
-    counted = blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("block") == F.max("block")).alias("same"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    counted = blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same"), F.min("place").alias("lo"), F.max("place").alias("hi"))
     anchors = scratch.save(counted.filter("n > 1").drop("n"), "anchors")
     shared = scratch.save(blocks.join(anchors, "anchor"), "shared")
-    differing = shared.filter("not same").drop("lo", "hi")
-    split = differing.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(F.struct("place", "row", "ord", "first", "count")).alias("one"), F.max("place").alias("hi"))
-    split = scratch.save(split, "split")
-    repeated = differing.join(split.filter("n > 1").select("anchor", "block", F.col("one.place").alias("lo"), "hi"), ["anchor", "block"])
+    differing = shared.filter("not same").drop("hi")
+    one = F.min(F.struct("place", "row", "ord", "first", "count", "shift")).alias("one")
+    split = scratch.save(differing.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), one, F.max("place").alias("hi")), "split")
+    repeated = differing.drop("lo").join(split.filter("n > 1").select("anchor", "context", F.col("one.place").alias("lo"), "hi"), ["anchor", "context"])
     nothing = F.lit(None).cast("bigint")
-    held = shared.filter("same").unionByName(repeated).select("row", "ord", "first", "count", "lo", "hi", nothing.alias("anchor"), nothing.alias("n"))
-    checked = split.select("one.row", "one.ord", "one.first", "one.count", nothing.alias("lo"), nothing.alias("hi"), "anchor", "n")
-    todo = held.unionByName(checked).groupBy("row").agg(F.collect_list(F.struct("ord", "first", "count", "lo", "hi", "anchor", "n")).alias("todo"))
-    # of equal rows the first is parsed for all; a block's first place is never in another
+    kept = ["ord", "first", "count", "shift"]
+    held = shared.filter("same").unionByName(repeated, allowMissingColumns=True).select("row", *kept, "lo", "hi", nothing.alias("anchor"), nothing.alias("n"))
+    compared = split.select("one.row", *[f"one.{c}" for c in kept], "lo", nothing.alias("hi"), "anchor", "n")
+    todo = held.unionByName(compared).groupBy("row").agg(F.collect_list(F.struct(*kept, "lo", "hi", "anchor", "n")).alias("todo"))
+    # of equal rows the first is parsed for all; a context's first place is never in another
     first = rows.groupBy("rid").agg(F.min("row").alias("row"))
-    opened = scratch.save(given.drop("id").join(todo.join(first, "row"), "rid").select("rid", "text", "row", "todo").mapInArrow(_opened, _CHECKED), "opened")
-    windows = opened.select("rid", F.explode("windows").alias("w")).select("rid", "w.*")
+    opened = scratch.save(given.drop("id").join(todo.join(first, "row"), "rid").select("rid", "text", "row", "todo").mapInArrow(_opened, _OPENED), "opened")
+    passages = opened.select("rid", "row", F.explode("passages").alias("p")).select("rid", (F.col("row") + F.col("p.ord")).alias("place"), "p.*")
+    # a source is one row of its anchor, whatever number of contexts is compared with it
+    sources = passages.filter("reference").select("anchor", F.col("place").alias("source"), F.col("shift").alias("source_shift"), F.col("words").alias("source_words"))
+    compared = scratch.save(passages.filter("not reference").drop("reference", "ord").join(sources, "anchor").mapInArrow(_compared, _COMPARED), "compared")
+    long = compared.filter(F.col("b") - F.col("a") >= WINDOW)
+    copied = long.groupBy("anchor", "left", "right").agg(F.min("place").alias("source")).join(passages.filter("reference and n = 1").select("rid", "anchor", (F.col("first") + F.col("shift")).alias("at")), "anchor")
+    windows = compared.select("rid", "anchor", "n", F.explode("windows").alias("w")).select("rid", "anchor", "n", "w.*")
     known = scratch.save(windows.groupBy("anchor", "window").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window"), "windows")
-    found = windows.filter("n = 1").join(known, ["anchor", "window"]).groupBy("rid").agg(F.collect_set("at").alias("found"))
+    looked_up = windows.filter("n = 1").join(known, ["anchor", "window"]).select("rid", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b"), F.lit(-1).cast("bigint").alias("source"))
+    marks = long.filter("n = 1").select("rid", "a", "b", "source").unionByName(copied.select("rid", (F.col("at") - F.col("left")).alias("a"), (F.col("at") + GRAM + F.col("right")).alias("b"), "source")).unionByName(looked_up)
+    found = marks.groupBy("rid").agg(F.collect_list(F.struct("a", "b", "source")).alias("found"))
     cut = opened.select("rid", "text", "factors").join(found, "rid", "left")
     cut = scratch.save(cut.mapInArrow(_cut, f"rid string, factors {_FACTORS}, n_removed bigint, kept_sha256 string, kept_text string").filter("n_removed > 0").dropDuplicates(["rid"]), "cut")
     scratch.keep("rows", "cut")

@@ -16,11 +16,82 @@ WORDS = tokenizers_files.path("word_bpe_49k.json")
 
 
 def test_factors_are_the_longest_runs_of_one_source():
-    # ordinal, first window, windows, first and last place in the reference; the document itself begins at place 100
-    held = [(0, 0, 5, 10, 100), (1, 5, 5, 11, 101), (2, 10, 5, 50, 102), (4, 20, 5, 52, 104), (5, 25, 5, 70, 105)]
-    assert substring_dedup.parsed(held, 100) == [(0, 44, 10), (10, 49, 50), (20, 59, 52), (25, 64, 70)]
-    twice = [(0, 0, 5, 10, 30), (1, 5, 5, 31, 90), (2, 10, 5, 32, 91)]
-    assert substring_dedup.parsed(twice, 500) == [(0, 49, 30)]
+    # ordinal, place in the text, words before and after that agree, first and last place in the reference; the document itself begins at place 100
+    held = [(0, 4, 4, 20, 10, 100), (1, 9, 4, 20, 11, 101), (2, 14, 4, 20, 50, 102), (4, 24, 4, 20, 52, 104), (5, 29, 4, 20, 70, 105)]
+    assert substring_dedup.parsed(held, 100) == [(0, 41, 10), (10, 46, 50), (20, 56, 52), (25, 61, 70)]
+    twice = [(0, 4, 4, 20, 10, 30), (1, 9, 4, 20, 31, 90), (2, 14, 4, 20, 32, 91)]
+    assert substring_dedup.parsed(twice, 500) == [(0, 46, 30)]
+
+
+def test_factors_reach_as_far_as_words_agree():
+    own = substring_dedup._hashed([b"%d" % k for k in range(58)])
+    other = own.copy()
+    other[[5, 50]] = 1
+    assert substring_dedup.extended(own, 20, own, 20) == (20, 26)
+    assert substring_dedup.extended(own, 20, other, 20) == (14, 18)
+    assert substring_dedup.extended(own[10:], 10, other, 20) == (10, 18)
+    assert substring_dedup.extended(own[:35], 20, other, 20) == (14, 3)
+
+
+def plain_removed(texts):
+    split = [t.split() for t in texts]
+    seen = Counter(tuple(ws[p : p + 35]) for ws in split for p in range(len(ws) - 34))
+    removed = []
+    for ws in split:
+        gone = [False] * len(ws)
+        for p in range(len(ws) - 34):
+            if seen[tuple(ws[p : p + 35])] > 1:
+                gone[p : p + 35] = [True] * 35
+        removed.append(sum(gone))
+    return removed
+
+
+def passages_cut_anywhere():
+    """Texts of pieces of one passage, cut and joined anywhere, so that a block meets many contexts and most factors end inside one."""
+    dice = random.Random(5)
+    passage = [f"p{dice.randrange(90)}" for _ in range(200)]
+    texts = []
+    for k in range(150):
+        ws = []
+        for _ in range(dice.randrange(1, 5)):
+            a = dice.randrange(165)
+            ws += passage[a : a + dice.randrange(20, 60)] + [f"x{dice.randrange(30)}" for _ in range(dice.randrange(3))]
+        texts.append(" ".join(ws))
+    return texts + texts[:7] + ["again and again " * 40, " ".join(passage)]
+
+
+def test_substring_dedup_is_exact_on_passages_cut_anywhere(spark):
+    texts = passages_cut_anywhere()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = substring_dedup.substring_dedup(docs).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == dict(enumerate(plain_removed(texts)))
+    for r in rows:
+        words = texts[r.doc_id].split()
+        covered = {k for f in r.factors or [] for k in range(f["a"], f["b"])}
+        assert len(covered) == r.n_removed and covered <= set(range(len(words)))
+        assert all(f["b"] - f["a"] >= 35 for f in r.factors or [])
+
+
+def test_blocks_of_their_own_are_no_duplicates(spark, monkeypatch):
+    """The factors decide: without the words that they reach over, nothing that only they find is removed."""
+    dice = random.Random(9)
+    whole, edge = ([f"{c}{dice.randrange(10**6)}" for _ in range(90)] for c in "we")
+    texts = [" ".join(whole), " ".join(whole), " ".join(edge[:60] + ["one"] * 9), " ".join(["two"] * 9 + edge[20:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = plain_removed(texts)
+    assert [r.n_removed for r in substring_dedup.substring_dedup(docs).orderBy("doc_id").collect()] == wanted and min(wanted) >= 40
+    stream = substring_dedup._opened
+
+    def single(held, row):
+        return [(x[1], x[1] + substring_dedup.GRAM, x[4]) for x in held]
+
+    # a wrapped function travels to the workers by value, with the parse that it finds here
+    def opened(batches):
+        yield from stream(batches)
+
+    monkeypatch.setattr(substring_dedup, "parsed", single)
+    monkeypatch.setattr(substring_dedup, "_opened", opened)
+    assert [r.n_removed for r in substring_dedup.substring_dedup(docs).orderBy("doc_id").collect()][:2] == [0, 0]
 
 
 def test_vocabularies_that_cross_white_space_are_encoded_whole(spark, tmp_path):
