@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +236,16 @@ def test_encoder_gives_the_ids_of_whole_texts():
         got = [list(memoryview(x).cast("H")) for x in encoder.encode([t.encode() for t in texts])]
         assert got == [ids(t)[:-1] for t in texts]
         encoder.held = packing.REMEMBERED + 1
+
+
+def test_words_of_letters_are_encoded_many_to_a_text_as_by_themselves():
+    from tokenizers import Tokenizer
+
+    with open(WORDS) as file:
+        encoder = packing.Encoder(file.read())
+    assert encoder.ends is not None
+    plain, dice = Tokenizer.from_file(WORDS), random.Random(3)
+    letters = [chr(c) for c in range(0x20, 0x3000) if chr(c).isalpha()]
+    texts = ["क़क İx abc", "café don't it's", "가 x̀y ǅa ﬁx", "a<|endoftext|>b <|EndOfText|> c", "中文 12ab ab12 ..a a.. '", ""]
+    texts += [" ".join("".join(dice.choices(letters, k=dice.randrange(1, 6))) for _ in range(500)) for _ in range(20)]
+    assert encoder.encode([t.encode() for t in texts]) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
