@@ -1,3 +1,3 @@
 """Queries over the driver tables; importing this package registers all of them."""
 
-from tallyspark.plans import evaluation, models, players, registry, scouting, seasons, vectors  # noqa: F401
+from tallyspark.plans import evaluation, feeds, models, players, registry, scouting, seasons, vectors  # noqa: F401
