@@ -52,7 +52,8 @@ def split_by_key(key: Column, share: float, seed: int = 42) -> Column:
 
 
 def question_bank(templates: DataFrame, words: DataFrame, template: str, word: str, order: list[str]) -> DataFrame:
-    """text and its order: every template with every word, the first of equal texts. Both are short written lists."""
-    made = templates.crossJoin(F.broadcast(words)).withColumn("text", F.replace(F.col(template), F.lit("{}"), F.col(word)))
+    """text and its order: every template with every word, the first of equal texts. Templates are a short written
+    list and go to wherever the words are."""
+    made = words.crossJoin(F.broadcast(templates)).withColumn("text", F.replace(F.col(template), F.lit("{}"), F.col(word)))
     first = F.row_number().over(Window.partitionBy("text").orderBy(*order))
     return made.withColumn("__n", first).filter("__n = 1").select("text", *order)

@@ -134,3 +134,52 @@ action AS (
     SELECT user_id AS player, event_id, ts, ts::DATE AS day, event_type, value % 120 AS x, ((json_extract(props, '$.k')::INTEGER) % 80)::DOUBLE AS y FROM events)
   WINDOW w AS (PARTITION BY player, day ORDER BY ts, event_id)
 )"""
+
+
+#: What questions are put together from, a piece of each by the customer's key: how they begin, feet, positions, genders,
+#: ages, metrics; what each piece says stands beside it.
+BEGIN = (("Who makes the most", True), ("Quem lidera em", True), ("Find me", False), ("Compare", False))
+FEET = (("", None), ("left-footed", "left"), ("canhotos", "left"), ("two-footed", "both"), ("destro", "right"))
+PLACES = ("", "winger", "full-backs", "defesas centrais", "médio ala", "goalkeepers", "a midfielder who plays as a winger")
+GENDERS = (("", None), ("women", "female"), ("homens", "male"), ("women and men", None))
+AGES = ("", "under 23", "over 30", "sub-21", "jovens", "veteran", "mais de 25 and under 29")
+FIRST = (("", None), ("expected goals", "xg"), ("remates", "shots"), ("progressive passes", "progressive_passes"), ("pressing", "pressures"))
+SECOND = (("", None), ("tackles", "tackles"), ("passes certos", "passes_completed"), ("conduções", "carries"))
+THIRD = (("", None), ("golos", "goals"), ("blocks", "blocks"), ("alívios", "clearances"))
+
+
+def _pieces() -> list[tuple[str, ...]]:
+    first = lambda rules: tuple(r[0] for r in rules)
+    return [first(BEGIN), first(FEET), PLACES, first(GENDERS), AGES, first(FIRST), first(SECOND), first(THIRD)]
+
+
+#: By what the key is divided before the piece is taken, so that pieces go together in many ways.
+_STRIDES = (1, 1, 3, 2, 5, 1, 7, 11)
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """A question a customer: player and question, with the name of the customer's nation in two of three."""
+    key = F.col("c_custkey")
+    said = [F.get(F.array(*map(F.lit, p)), (F.floor(key / stride) % len(p)).cast("int")) for p, stride in zip(_pieces(), _STRIDES)]
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.when(F.col("n_nationkey") % 8 == 0, "espanholas").otherwise(F.col("n_name")).alias("nation"))
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(nations, "c_nationkey")
+    words = F.array(*said[:5], F.when(key % 3 != 0, F.concat(F.lit("from "), F.col("nation"))), *said[5:])
+    return rows.select(key.alias("player"), F.array_join(F.filter(words, lambda w: w != ""), " ").alias("question"))
+
+
+def _piece_sql(k: int) -> str:
+    words = _pieces()[k]
+    return "[" + ", ".join(f"'{w}'" for w in words) + f"][(c_custkey // {_STRIDES[k]}) % {len(words)} + 1]"
+
+
+def said_sql(rules, k: int) -> str:
+    """What the piece of kind k says, null where it says nothing."""
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for _, v in rules) + f"][(player // {_STRIDES[k]}) % {len(rules)} + 1]"
+
+
+QUESTION_SQL = f"""
+question AS (
+  SELECT c_custkey AS player, array_to_string(list_filter([{", ".join(map(_piece_sql, range(5)))}, CASE WHEN c_custkey % 3 <> 0 THEN 'from ' || CASE WHEN n_nationkey % 8 = 0 THEN 'espanholas' ELSE n_name END END,
+         {", ".join(map(_piece_sql, range(5, 8)))}], lambda w: w <> ''), ' ') AS question
+  FROM customer JOIN nation ON n_nationkey = c_nationkey
+)"""

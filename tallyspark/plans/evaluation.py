@@ -148,15 +148,13 @@ def grouped_split(spark, sf):
 
 
 _TEMPLATES = ("Who are the best {}?", "Find me {} under 23", "Who are the best  {}?", "Compare {}", "Compare {}")
-_WORDS = ("wingers", "strikers", "full-backs")
 
-
-@query("WITH t AS (SELECT unnest(range(0, 5)) AS t, unnest([" + ", ".join(f"'{x}'" for x in _TEMPLATES) + "]) AS template), w AS (SELECT unnest(range(0, 3)) AS w, unnest([" + ", ".join(f"'{x}'" for x in _WORDS) + """]) AS word)
-SELECT replace(template, '{}', word) AS text, min(t * 10 + w) // 10 AS t, min(t * 10 + w) % 10 AS w FROM t, w GROUP BY text""")
+@query("WITH t AS (SELECT unnest(range(0, 5)) AS t, unnest([" + ", ".join(f"'{x}'" for x in _TEMPLATES) + """]) AS template), w AS (SELECT DISTINCT p_type AS word FROM part)
+SELECT replace(template, '{}', word) AS text, min(t) AS t, word FROM t, w GROUP BY text, word""")
 def question_bank(spark, sf):
+    """Written templates with the different types of the table."""
     templates = spark.createDataFrame(list(enumerate(_TEMPLATES)), "t long, template string")
-    words = spark.createDataFrame(list(enumerate(_WORDS)), "w long, word string")
-    return E.question_bank(templates, words, "template", "word", ["t", "w"])
+    return E.question_bank(templates, table(spark, sf, "part").select(F.col("p_type").alias("word")).distinct(), "template", "word", ["t", "word"])
 
 
 @query("""SELECT coalesce(source, 'overall') AS kind, count(*) AS n, avg(quality) FILTER (toxic = 0) AS faithfulness, avg(toxic) AS refused FROM (SELECT labels.*, source FROM labels JOIN documents USING (doc_id)) GROUP BY ROLLUP (source)""")

@@ -93,8 +93,7 @@ def labelled_teams(spark, sf):
 @query(f"WITH {B.PEOPLE_SQL} SELECT DISTINCT nationality FROM people WHERE nationality IS NOT NULL ORDER BY nationality")
 def countries(spark, sf):
     """The vocabulary that questions are read against, as a table."""
-    found = Q.country_vocabulary(B.people(spark, sf), "nationality")
-    return spark.createDataFrame([(x,) for x in found], "nationality string").orderBy("nationality")
+    return B.people(spark, sf).select("nationality").filter("nationality is not null").distinct().orderBy("nationality")
 
 
 @query(f"""WITH {_RATE_SQL} SELECT player || '-' || season AS id, goals_per90 AS value, minutes FROM rate WHERE minutes >= 60 AND goals_per90 IS NOT NULL""")
@@ -191,11 +190,8 @@ def report_context(spark, sf):
     return rows.select("player", "season", said(P.strengths(F.col("m"), 2)).alias("strengths"), said(P.weaknesses(F.col("m"), 2)).alias("weaknesses"))
 
 
-_QUESTIONS = (
-    "Left-footed winger under 23", "young Brazilian full-backs", "veteran centre-backs from Germany", "defesas centrais franceses", "médio ala italiano", "a midfielder who plays as a winger",
-    "right footed or left footed strikers over 30", "sub-21 trincos", "experienced goalkeepers", "melhores avançados argentinos com mais de 25", "two-footed playmakers", "who leads in tackles?", "jovens extremos de Marrocos", "Romania",
-)
-_PARSED_NATIONS = ("ALGERIA", "ARGENTINA", "BRAZIL", "CANADA", "FRANCE", "GERMANY", "JAPAN", "MOROCCO", "ROMANIA", "UNITED STATES")
+#: A country that questions name by its people, beside those of the table.
+_SPAIN = "SPAIN"
 
 
 def _earliest_sql(rules):
@@ -206,18 +202,23 @@ def _first_of(rules):
     return f"list_sort(list_filter({_earliest_sql(rules)}, lambda x: x.spot IS NOT NULL))[1]"
 
 
-@query("WITH asked AS (SELECT question, strip_accents(lower(question)) AS q FROM (VALUES " + ", ".join(f"('{x}')" for x in _QUESTIONS) + f""") AS t(question)),
-f AS (SELECT question, q, {_first_of([(v, p) for v, p in Q.GROUP_WORDS])} AS g, {_first_of([(role, p, grp) for role, p, grp in Q.ROLE_WORDS])} AS r FROM asked),
+@query(f"""WITH {B.QUESTION_SQL}, asked AS (SELECT player, question, strip_accents(lower(question)) AS q FROM question),
+f AS (SELECT player, question, q, {_first_of([(v, p) for v, p in Q.GROUP_WORDS])} AS g, {_first_of([(role, p, grp) for role, p, grp in Q.ROLE_WORDS])} AS r FROM asked),
 d AS (SELECT *, r IS NOT NULL AND (g IS NULL OR r.spot <= g.spot) AS named FROM f)
-SELECT question, CASE {" ".join(f"WHEN regexp_matches(q, '{p}') THEN '{v}'" for v, p in Q.FOOT_WORDS)} END AS foot, CASE WHEN named THEN r.a END AS role, CASE WHEN named THEN r.b ELSE g.a END AS position_group,
+SELECT player, question, CASE {" ".join(f"WHEN regexp_matches(q, '{p}') THEN '{v}'" for v, p in Q.FOOT_WORDS)} END AS foot, CASE WHEN named THEN r.a END AS role, CASE WHEN named THEN r.b ELSE g.a END AS position_group,
   CASE WHEN regexp_matches(q, '{Q.OLDEST}') THEN regexp_extract(q, '{Q.OLDEST}', 1)::INTEGER WHEN regexp_matches(q, '{Q.YOUNG}') THEN {Q.YOUNG_MOST} ELSE -1 END AS max_age,
   CASE WHEN regexp_matches(q, '{Q.YOUNGEST}') THEN regexp_extract(q, '{Q.YOUNGEST}', 1)::INTEGER WHEN regexp_matches(q, '{Q.VETERAN}') THEN {Q.VETERAN_LEAST} ELSE -1 END AS min_age,
-  CASE {" ".join(f"WHEN regexp_matches(q, '\\b(?:{p})\\b') THEN '{c.upper()}'" for p, c in Q.DEMONYMS.items() if c.upper() in _PARSED_NATIONS)} {" ".join(f"WHEN regexp_matches(q, '\\b{c.lower()}\\b') THEN '{c}'" for c in _PARSED_NATIONS)} END AS nationality FROM d""")
+  CASE WHEN player % 3 <> 0 THEN (SELECT CASE WHEN n_nationkey % 8 = 0 THEN '{_SPAIN}' ELSE n_name END FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = player) END AS nationality FROM d""")
 def question_constraints(spark, sf):
-    """Foot, role, position group, age bounds and nationality of questions, against a written vocabulary of countries."""
-    asked = spark.createDataFrame([(x,) for x in _QUESTIONS], "question string")
-    found = Q.parse_constraints("question", list(_PARSED_NATIONS))
-    return asked.select("question", *[(F.coalesce(c, F.lit(-1)) if n.endswith("age") else c).alias(n) for n, c in found.items()])
+    """Foot, role, position group, age bounds and nationality of questions, against the table's countries."""
+    found = Q.parse_constraints("question", [*Q.country_vocabulary(table(spark, sf, "nation"), "n_name"), _SPAIN])
+    return B.questions(spark, sf).select("player", "question", *[(F.coalesce(c, F.lit(-1)) if n.endswith("age") else c).alias(n) for n, c in found.items()])
+
+
+@query(f"WITH {B.QUESTION_SQL} SELECT player, {B.said_sql(B.GENDERS, 3)} AS gender FROM question")
+def asked_genders(spark, sf):
+    """The gender that a question names, null where it names none or both."""
+    return B.questions(spark, sf).select("player", S.asked_gender(F.col("question")).alias("gender"))
 
 
 @query("SELECT c_custkey AS left_id, s_suppkey AS right_id, 1 AS common, 100.0::DOUBLE AS score FROM customer JOIN (SELECT replace(s_name, 'Supplier', 'Customer') AS name, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY ALL) ON name = c_name")

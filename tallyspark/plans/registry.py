@@ -86,6 +86,15 @@ def rankings(spark, sf):
     return scored.select("player", "season", "grp", "score")
 
 
+@query(f"WITH {_PCT_SQL} SELECT player, season, grp, floor(({_SCORE_EXPR}) * 10 + 0.5) / 10 AS score FROM pct WHERE grp = 'BUILDING' AND player % 3 = 0 ORDER BY score DESC, player, season LIMIT 50")
+def rankings_by_gender(spark, sf):
+    """The women of a group by the score that they have among all of the group: gender filters after scoring."""
+    score = S.half_up(W.weighted_score({c: F.col(f"{c}_pct") for c in _WEIGHTS}, _WEIGHTS), 1)
+    women = B.people(spark, sf).filter("gender = 'female'").select("player")
+    chosen = _percentiles(spark, sf, "BUILDING").join(women, "player", "left_semi")
+    return W.ranked(chosen, score, [F.col("player"), F.col("season")], 50).select("player", "season", "grp", "score")
+
+
 @query(f"WITH {_PCT_SQL} " + " UNION ALL ".join(f"SELECT player, season, '{c}' AS metric, floor({c}_pct * {w}::DOUBLE * 1e6 + 0.5) / 1e6 AS part FROM pct" for c, w in _WEIGHTS.items()))
 def score_breakdown(spark, sf):
     parts = F.array(*[F.struct(F.lit(c).alias("metric"), S.half_up(F.col(f"{c}_pct") * F.lit(w), 6).alias("part")) for c, w in _WEIGHTS.items()])
@@ -313,25 +322,23 @@ def shared_tokens(spark, sf):
     return Q.shared_tokens(table(spark, sf, "documents"), "text")
 
 
-@query(rf"SELECT doc_id FROM documents WHERE regexp_matches({_FOLD}, '{Q.LEADERS}')")
+@query(f"WITH {B.QUESTION_SQL} SELECT player, question, {B.said_sql(B.BEGIN, 0)} OR question LIKE '%mais de%' AS leaders FROM question")
 def leader_flags(spark, sf):
-    return table(spark, sf, "documents").filter(Q.asks_for_leaders(F.col("text"))).select("doc_id")
-
-
-_ASKED = ("Left-footed winger under 23", "melhores defesas canhotos", "two-footed midfielder over 30", "goalkeepers", "who leads?", "right footed strikers menos de 25")
+    """Whether a question asks for leaders; the SQL knows it from how the question was made."""
+    return B.questions(spark, sf).withColumn("leaders", Q.asks_for_leaders(F.col("question")))
 
 
 def _first_sql(rules):
     return "(SELECT v FROM (VALUES " + ", ".join(f"('{v}', nullif(strpos(q, nullif(regexp_extract(q, '{p}'), '')), 0))" for v, p in rules) + ") AS r(v, spot) WHERE spot IS NOT NULL ORDER BY spot, v LIMIT 1)"
 
 
-@query("WITH asked AS (SELECT question, strip_accents(lower(question)) AS q FROM (VALUES " + ", ".join(f"('{x}')" for x in _ASKED) + f""") AS t(question))
-SELECT question, {_first_sql(Q.FOOT_WORDS)} AS foot, {_first_sql(Q.GROUP_WORDS)} AS position_group,
-  coalesce(try_cast(nullif(regexp_extract(q, '{Q.OLDEST}', 1), '') AS INTEGER), -1) AS max_age, coalesce(try_cast(nullif(regexp_extract(q, '{Q.YOUNGEST}', 1), '') AS INTEGER), -1) AS min_age FROM asked""")
+@query(f"""WITH {B.QUESTION_SQL}, asked AS (SELECT player, question, strip_accents(lower(question)) AS q FROM question)
+SELECT player, question, {_first_sql(Q.FOOT_WORDS)} AS foot, {_first_sql(Q.GROUP_WORDS)} AS position_group,
+  coalesce(try_cast(nullif(regexp_extract(q, '{Q.OLDEST}', 1), '') AS INTEGER), CASE WHEN regexp_matches(q, '{Q.YOUNG}') THEN {Q.YOUNG_MOST} END, -1) AS max_age,
+  coalesce(try_cast(nullif(regexp_extract(q, '{Q.YOUNGEST}', 1), '') AS INTEGER), CASE WHEN regexp_matches(q, '{Q.VETERAN}') THEN {Q.VETERAN_LEAST} END, -1) AS min_age FROM asked""")
 def constraint_parse(spark, sf):
-    asked = spark.createDataFrame([(x,) for x in _ASKED], "question string")
     found = Q.parse_constraints("question")
-    return asked.select("question", *[(F.coalesce(found[n], F.lit(-1)) if n.endswith("age") else found[n]).alias(n) for n in ("foot", "position_group", "max_age", "min_age")])
+    return B.questions(spark, sf).select("player", "question", *[(F.coalesce(found[n], F.lit(-1)) if n.endswith("age") else found[n]).alias(n) for n in ("foot", "position_group", "max_age", "min_age")])
 
 
 @query("SELECT event_type, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k, count(*) AS n FROM events GROUP BY event_type")

@@ -127,9 +127,7 @@ def rank_correlation(spark, sf):
     return ranks.groupBy("grp").agg(S.half_up(F.corr("x", "y") + 1, 6).alias("rho"))
 
 
-_ASKED = ("who makes the most tackles and interceptions", "quem faz mais passes progressivos", "strikers with expected goals, goals and shots per game and presses", "a quiet question")
-
-
-@query()
+@query(f"""WITH {B.QUESTION_SQL} SELECT player, question, array_to_string(list_filter([{B.said_sql(B.FIRST, 5)}, {B.said_sql(B.SECOND, 6)}, {B.said_sql(B.THIRD, 7)}], lambda m: m IS NOT NULL), ',') AS metrics FROM question""")
 def metrics_asked(spark, sf):
-    return spark.createDataFrame([(x,) for x in _ASKED], "question string").select("question", P.metrics_in(F.col("question")).alias("metrics"))
+    """The metrics that questions name; the SQL knows them from how the questions were made."""
+    return B.questions(spark, sf).withColumn("metrics", F.array_join(P.metrics_in(F.col("question")), ","))
