@@ -36,6 +36,21 @@ def test_ranks_equal_a_plain_version(spark):
     assert top == {"a": 7, "b": 7, None: 7}
 
 
+def test_ranks_hold_when_cuts_never_come_out_twice_alike(spark, monkeypatch):
+    random_cuts = F.udf(lambda n: sorted(random.SystemRandom().uniform(0, 400) for _ in range(9)), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda value, *_: random_cuts(F.count(value)))
+    rows = [(k, k % 2, float(k * 7 % 401)) for k in range(2000)]
+    spark.conf.set("spark.sql.exchange.reuse", False)  # larger tables' plans sketch twice; so do these
+    try:
+        got = {r.id: r.b for r in R.ranked(spark.createDataFrame(rows, "id int, g int, x double"), ["id"], {"b": "x"}, ["g"], R.below_percentile).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    known = defaultdict(list)
+    for _, g, x in rows:
+        known[g].append(x)
+    assert got == {k: sum(v < x for v in known[g]) / len(known[g]) * 100 for k, g, x in rows}
+
+
 def test_standard_scores_of_equal_values_are_0(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (2, "a", 2.0), (3, "b", 1.0), (4, "b", 3.0)], "id int, g string, x double")
     assert {r.id: r.z_x for r in R.standardised(df, ["x"], ["g"]).collect()} == {1: 0.0, 2: 0.0, 3: -1.0, 4: 1.0}
