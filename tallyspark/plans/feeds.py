@@ -85,6 +85,9 @@ def outdated_matches(spark, sf):
     return raw.outdated(lines, lines, 2)
 
 
+#: Portions that all matches are cut into, about: a competition has one more at most, for what doesn't fill one.
+PORTIONS = 12
+
 _NEED_SQL = """game AS (SELECT o_orderkey AS match_id, year(o_orderdate)::INTEGER AS competition FROM orders),
 known AS (SELECT l_orderkey AS match_id, l_suppkey AS player, CASE WHEN l_orderkey % 3 <> 0 THEN 'nick' || l_partkey % 50 END AS nickname, CASE WHEN l_partkey % 4 <> 0 THEN 'country' || l_partkey % 25 END AS country FROM lineitem),
 player AS (SELECT s_suppkey AS player, CASE WHEN s_suppkey % 4 = 0 THEN 'own' || s_suppkey END AS nickname, CASE WHEN s_suppkey % 3 <> 1 THEN 'home' || s_suppkey % 9 END AS country FROM supplier),
@@ -96,7 +99,9 @@ first AS (SELECT known.player, known.nickname, known.country, match_id, competit
 @query(f"""WITH {_NEED_SQL} SELECT player, coalesce(player.nickname, first.nickname) AS nickname, coalesce(player.country, first.country) AS country,
 CASE WHEN player.nickname IS NULL OR player.country IS NULL THEN match_id END AS match_id FROM player LEFT JOIN first USING (player)""")
 def filled_by_need(spark, sf):
-    """Players with nicknames and countries of line-ups, and the match that gave them."""
+    """Players with nicknames and countries of line-ups, and the match that gave them. Line-ups are stored by competition
+    once, so that a portion reads its own competition's and no others; portions grow with the matches, so that their
+    number doesn't."""
     key = F.col("s_suppkey")
     players = table(spark, sf, "supplier").select(
         key.alias("player"), F.when(key % 4 == 0, F.concat(F.lit("own"), key)).alias("nickname"), F.when(key % 3 != 1, F.concat(F.lit("home"), key % 9)).alias("country")
@@ -107,9 +112,13 @@ def filled_by_need(spark, sf):
         F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("player"),
         F.when(F.col("l_orderkey") % 3 != 0, F.concat(F.lit(" nick"), part % 50, F.lit(" "))).otherwise(F.lit(" ")).alias("nickname"), F.when(part % 4 != 0, F.concat(F.lit("country"), part % 25)).alias("country"),
     )
-    appeared = squads.join(games, "match_id").select("player", "competition")
+    stored = f"{shared_folder(spark)}/squads-{uuid.uuid4().hex}"
+    placed = squads.join(games, "match_id")
+    placed.write.partitionBy("competition").parquet(stored)
+    store = spark.read.schema(placed.schema).parquet(stored)
     path = f"{shared_folder(spark)}/line-ups-{uuid.uuid4().hex}"
-    N.scan_by_need(players, appeared, games, lambda some: squads.join(some, "match_id"), ["nickname", "country"], path, 500)
+    read = lambda some: store.join(some, ["competition", "match_id"]).drop("competition")
+    N.scan_by_need(players, store.select("player", "competition"), games, read, ["nickname", "country"], path, max(500, -(-games.count() // PORTIONS)))
     seen = artifact(spark, path)
     filled = N.filled_from_scan(players, seen, ["nickname", "country"])
     return filled.withColumn("match_id", F.lit(None).cast("long")) if seen is None else filled.join(seen.select("player", "match_id"), "player", "left")

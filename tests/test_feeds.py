@@ -1,6 +1,7 @@
 """Raw events with versions, filling by need, and sets that are published together."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,14 @@ def test_a_failed_publication_leaves_the_set_before_it(spark, tmp_path):
     U.publish(spark, folder, {"a": U.Artifact(rows(9)), "c": U.Artifact(rows(), may_be_empty=True)}, 94, "m2")
     assert [r.n for r in U.published(spark, folder, "a").collect()] == [9] and U.published(spark, folder, "b") is None and U.published(spark, folder, "c").count() == 0
     assert (state(94).stale, state(94).mismatched, U.manifest(spark, folder).count()) == (False, False, 2)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the driver's tables are absent")
+def test_portions_grow_with_the_matches(spark, monkeypatch):
+    """Ten times the matches take no more portions, so no more jobs."""
+    from tallyspark.plans import feeds
+
+    cut, portions = [], N._portions
+    monkeypatch.setattr(N, "_portions", lambda *a: cut.append(portions(*a)) or cut[-1])
+    assert feeds.filled_by_need(spark, "/root/testdata/sf0.01").count()
+    assert sum(map(len, cut[0].values())) <= feeds.PORTIONS + len(cut[0])
