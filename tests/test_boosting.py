@@ -109,3 +109,20 @@ def test_a_class_too_small_is_not_calibrated(classes):
 def test_isotonic_pools_what_is_out_of_order():
     x, level = B.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([1.0, 0, 4, 2]), np.array([2.0, 2, 4, 2]))
     assert x.tolist() == [0.1, 0.2, 0.3, 0.4] and level.tolist() == [0.25, 0.25, 1.0, 1.0]
+
+
+def test_folds_that_grow_together_equal_those_grown_apart_in_as_many_jobs_as_one(spark):
+    rows = spark.range(600).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), ((F.col("id") * 5 + 2) % 7 % 3).cast("double").alias("y"), (F.col("id") % 3).cast("int").alias("f")).persist()
+    cuts, loss, start = B.cuts_of(rows, ["a", "b"]), B.softmax(3), [-1.0, -1.0, -1.0]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("together", "")
+    together = B.fit_folds(rows, ["a", "b"], "y", loss, start, cuts, 2, 2, fold="f", folds=3)
+    spark.sparkContext.setJobGroup("alone", "")
+    apart = [B.fit(rows, ["a", "b"], "y", loss, start, cuts, 2, 2)]
+    assert len(tracker.getJobIdsForGroup("together")) == len(tracker.getJobIdsForGroup("alone"))
+    apart += [B.fit(rows.filter(F.col("f") != f), ["a", "b"], "y", loss, start, cuts, 2, 2) for f in range(3)]
+    for one, other in zip(together, apart):
+        for trees, others in zip(one.trees, other.trees):
+            for t, o in zip(trees, others):
+                assert t.feature.tolist() == o.feature.tolist() and t.cut.tolist() == o.cut.tolist() and t.cover.tolist() == o.cover.tolist()
+                assert t.value.tolist() == pytest.approx(o.value.tolist())
