@@ -9,7 +9,8 @@ is posted again under each fifth byte, which pairs at the minimum share as well.
 
 Copies share a fingerprint and enter the index once. A posting gives no table of pairs but a star per connected part,
 found by breadth-first search from a member to those that are left, at most a link per member. Components come from
-those links by alternating large and small stars, as joins and aggregates over tables at rest.
+those links by alternating large and small stars, as joins and aggregates over tables at rest. These tables grow with
+the rows and random fingerprints look small when compressed, so both sides are dealt by key and none is broadcast.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     scratch = Scratch(prints.sparkSession, "postings")
     # counts are combined before they are shuffled and joined back: no task has to hold a posting to count it
     held = posted.groupBy("posting").agg(F.count("*").alias("held")).filter("held > 1")
-    met = scratch.save(posted.join(held, "posting"), "met")
+    met = scratch.save(posted.join(held.hint("merge"), "posting"), "met")
     others = F.lit([[p for p in range(8) if p not in places] for places in sets])
     fifth = F.transform(
         F.get(others, F.shiftright("posting", 8 * KEY_BYTES).cast("int")),
@@ -189,10 +190,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         turn += 1
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = scratch.save(large, f"large-{turn}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        moved = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         nxt = scratch.save(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), f"edges-{turn}")
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"large-{turn}", f"edges-{turn - 1}")
@@ -213,12 +214,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     rows = scratch.save(fingerprints(docs, shingle, id_col, text_col), "rows")
     distinct = scratch.save(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(scratch.save(links(distinct.select("print"), distance), "links"), scratch)
-    rooted = distinct.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = distinct.join(found.withColumnRenamed("node", "print").hint("merge"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     rooted = scratch.save(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.save(rooted.join(least, "root").select("print", "root", "component_id"), "components")
+    named = scratch.save(rooted.join(least.hint("merge"), "root").select("print", "root", "component_id"), "components")
     scratch.keep("rows", "components")
-    return rows.join(named, "print").select("doc_id", "text_key", "print", "root", "component_id")
+    return rows.join(named.hint("merge"), "print").select("doc_id", "text_key", "print", "root", "component_id")
 
 
 def one_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -230,7 +231,7 @@ def one_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) ->
     kept = scratch.save(first.select(key(F.col("x.i"), F.col("x.t")).alias(name)), "kept")
     keyed = docs.withColumn(name, key(F.col(id_col), F.xxhash64(text_of(text_col))))
     one = F.row_number().over(Window.partitionBy(name).orderBy(F.lit(0)))
-    return keyed.join(kept, name, "left_semi").withColumn(place, one).filter(F.col(place) == 1).select(*columns_of(docs))
+    return keyed.join(kept.hint("merge"), name, "left_semi").withColumn(place, one).filter(F.col(place) == 1).select(*columns_of(docs))
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -273,3 +273,19 @@ def test_columns_named_like_what_operators_make_keep_their_values(spark):
     for kept in (exact_dedup.exact_dedup(docs), simhash.near_dedup(docs), jaccard.near_dedup(docs), mixed.drop("___mix")):
         got = [tuple(r) for r in kept.collect()]
         assert got and all(r == own[r[0]] for r in got)
+
+
+def test_simhash_broadcasts_no_table(spark, monkeypatch):
+    """Small tables too are dealt by key: at 0.5 GB a hash table of postings took 537 MB of the driver."""
+    plans, save = [], simhash.Scratch.save
+
+    def saved(self, df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, label)
+
+    monkeypatch.setattr(simhash.Scratch, "save", saved)
+    docs = spark.createDataFrame([(k, f"some words of text {k // 2}", "x") for k in range(40)], "doc_id long, text string, lang string")
+    groups = simhash.near_groups(docs)
+    plans.append(groups._jdf.queryExecution().executedPlan().toString())
+    assert simhash.one_each(docs, groups, "doc_id", "text").count() == 20
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
