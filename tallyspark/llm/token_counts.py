@@ -7,39 +7,42 @@ vocabulary's normaliser and its splitting pattern carry nothing across it, and n
 chunk counts up to the boundary and the right one from it on. Where an overlap holds no boundary, it is widened until
 one is found or the text ends.
 
-A shorter document is one chunk. It is encoded word by word, which the same proof allows; a task remembers words up to
-a bound of bytes, as most of its time would else go to words it has seen. Whether the proof holds is read from the
+A shorter document is one chunk. Chunks are encoded word by word, which the same proof allows; a task remembers words
+up to a bound of bytes, as most of its time would else go to words it has seen. Whether the proof holds is read from the
 vocabulary's file; for one that carries anything across white space, documents are encoded whole by the library.
 Texts stay in their task and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm.common import documents, text_of
+from tallyspark.llm.words import WHITE, Encoder
+from tallyspark.llm.words import splits_at_space as splits_at_space
 
 #: Characters of a chunk and of an overlap, and tokens that are no more than a model takes.
 CHUNK, OVERLAP, LIMIT = 8192, 256, 2048
-#: Characters of text counted together, and bytes of words whose counts a worker remembers.
-BATCH_CHARS, REMEMBERED = 1_000_000, 8_000_000
-WHITE = frozenset(" \t\n\x0b\x0c\r")
+#: Characters of text counted together.
+BATCH_CHARS = 1_000_000
+#: Which bytes are white space.
+BLANK = np.isin(np.arange(256), [ord(c) for c in WHITE])
 
 Encode = Callable[[str], tuple[list[int], list[int]]]
 
 
 def _boundary(text: str, left, left_at: int, right, right_at: int, end: int) -> int:
-    """First stable common boundary in text[right_at:end], -1 if there is none. left, right: ids and starts."""
-    starts = {s + left_at: k for k, s in reversed(list(enumerate(left[1])))}
+    """First stable common boundary in text[right_at:end], -1 if there is none. left, right: ids and sorted starts."""
+    first = bisect_left(left[1], right_at - left_at)
+    starts = {s + left_at: k for k, s in reversed(list(enumerate(left[1][first:], first)))}
     for k, s in enumerate(right[1]):
         p = s + right_at
         if p >= end:
@@ -48,15 +51,17 @@ def _boundary(text: str, left, left_at: int, right, right_at: int, end: int) ->
             continue
         # the last word of the overlap may be cut short on the left, so it is not compared
         stop = next((x for x in range(end - 1, p, -1) if text[x] in WHITE), p)
+        until = bisect_left(right[1], stop - right_at, k)
         own = [(i, x + left_at) for i, x in zip(left[0][starts[p] :], left[1][starts[p] :], strict=True) if x + left_at < stop]
-        other = [(i, x + right_at) for i, x in zip(right[0][k:], right[1][k:], strict=True) if x + right_at < stop]
+        other = [(i, x + right_at) for i, x in zip(right[0][k:until], right[1][k:until], strict=True)]
         if own == other:
             return p
     return -1
 
 
 def spliced_count(text: str, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text of any length, from chunks. encode: a text's ids and the character each token starts at."""
+    """Tokens of a text of any length, from chunks. encode: a text's ids and the
+    character that each token or its word starts at, in order."""
     n, total, counted_to = len(text), 0, 0
     at, end = 0, min(n, chunk + overlap)
     left = encode(text[at:end])
@@ -69,86 +74,44 @@ def spliced_count(text: str, encode: Encode, chunk: int = CHUNK, overlap: int =
             end = min(n, end + wider)
             left = encode(text[at:end])
             if end == n:
-                return total + sum(s + at >= counted_to for s in left[1])
+                return total + len(left[1]) - bisect_left(left[1], counted_to - at)
             if end >= next_end:
                 next_end = min(n, end + chunk)
                 right = encode(text[next_at:next_end])
-        total += sum(counted_to <= s + at < p for s in left[1])
+        total += bisect_left(left[1], p - at) - bisect_left(left[1], counted_to - at)
         left, at, end, counted_to = right, next_at, next_end, p
-    return total + sum(s + at >= counted_to for s in left[1])
-
-
-#: What a vocabulary file calls the steps that look at no more than a word, and those that cut at white space.
-_WORDWISE = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer"}
-_CUTTING = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
-
-
-def _steps(part: dict | None, inner: str) -> list[dict]:
-    if part is None:
-        return []
-    return [x for p in part[inner] for x in _steps(p, inner)] if part["type"] == "Sequence" else [part]
-
-
-def _within_words(step: dict) -> bool:
-    """Whether a normaliser changes words by themselves; runs of white space may become other white space."""
-    if step["type"] != "Replace":
-        return step["type"] in _WORDWISE
-    return step["pattern"].get("Regex") in (r"\s", r"\s+") and bool(step["content"]) and set(step["content"]) <= WHITE
-
-
-def _cuts(step: dict) -> bool:
-    """Whether a splitter cuts at white space and drops it: by its kind, or as it keeps nothing but matches of a pattern
-    that has no look-around and can't match white space, by the classes in it."""
-    if step["type"] != "Split":
-        return step["type"] in _CUTTING
-    pattern = step["pattern"].get("Regex", " ")
-    rest = re.sub(r"\[\^\\s[^\]]*\]", "", pattern)
-    return step["behavior"] == "Removed" and step["invert"] and not re.search(r"\s|\.|\^|\$|\(\?|\\(?!p\{[LNMPS])", rest)
-
-
-def splits_at_space(vocabulary: str) -> bool:
-    """Whether a text's tokens are those of its words between ASCII white space, one after the other, by what the file
-    says: all normalisers work within words, the first splitter cuts at white space and drops it, and no added token
-    holds white space or takes any that stands beside it."""
-    read = json.loads(vocabulary)
-    normalisers, splitters = _steps(read.get("normalizer"), "normalizers"), _steps(read.get("pre_tokenizer"), "pretokenizers")
-    added = read.get("added_tokens") or []
-    return all(map(_within_words, normalisers)) and bool(splitters) and _cuts(splitters[0]) and not any(t.get("lstrip") or t.get("rstrip") or WHITE & set(t["content"]) for t in added)
+    return total + len(left[1]) - bisect_left(left[1], counted_to - at)
 
 
 class Counter:
     """vocabulary: the text of a tokenizers file. spliced: documents that went through chunks so far."""
 
     def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.by_words = splits_at_space(vocabulary)
-        self.known: dict[bytes, int] = {}
-        self.held = self.spliced = 0
+        self.encoder = Encoder(vocabulary)
+        self.size = np.dtype(self.encoder.kind).itemsize
+        self.spliced = 0
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        return found.ids, [a for a, _ in found.offsets]
+        """ids, and for each the character that its word starts at: a boundary has white space before it, so no other
+        place is asked for."""
+        raw = text.encode()
+        [own] = self.encoder.by_word([raw])
+        letters = np.frombuffer(raw, np.uint8)
+        blank = BLANK[letters]
+        starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+        if len(raw) > len(text):  # from bytes to characters
+            starts = (np.cumsum(letters & 0xC0 != 0x80) - 1)[starts]
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // self.size
+        return np.frombuffer(b"".join(own), self.encoder.kind).tolist(), np.repeat(starts, lengths).tolist()
 
     def counts(self, texts: list[bytes]) -> list[int]:
-        if not self.by_words:
-            return [len(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids) for t in texts]
+        if not self.encoder.by_words:
+            return [len(ids) // self.size for ids in self.encoder.encode(texts)]
         whole = [t.decode() if len(t) > CHUNK else "" for t in texts]
-        split = [None if len(s) > CHUNK else t.split() for s, t in zip(whole, texts, strict=True)]
-        if self.held > REMEMBERED:
-            self.known.clear()
-            self.held = 0
-        known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
-        if new:
-            self.held += sum(map(len, new)) + 100 * len(new)
-            known.update(zip(new, map(len, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
-        self.spliced += sum(words is None for words in split)
-        return [spliced_count(s, self.encode) if words is None else sum(map(known.__getitem__, words)) for s, words in zip(whole, split, strict=True)]
+        long = [len(s) > CHUNK for s in whole]
+        short = iter(self.encoder.by_word([t for x, t in zip(long, texts, strict=True) if not x]))
+        self.spliced += sum(long)
+        return [spliced_count(s, self.encode) if x else sum(map(len, next(short))) // self.size for x, s in zip(long, whole, strict=True)]
 
 
 _kept: dict[str, Counter] = {}

@@ -289,3 +289,19 @@ def test_simhash_broadcasts_no_table(spark, monkeypatch):
     plans.append(groups._jdf.queryExecution().executedPlan().toString())
     assert simhash.one_each(docs, groups, "doc_id", "text").count() == 20
     assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_chunks_are_counted_from_remembered_words():
+    """Chunks of a long text give the library's count, and a word that was met is not encoded again."""
+    from tokenizers import Tokenizer
+
+    dice = random.Random(5)
+    pieces = ["Foo", "BAR,", "it's", "é!", "ÉÉ", "中文", "a b.", "<|endoftext|>", "<|EndOfText|>", "x<|endoftext|>Y", "½", "é.", "12ab", "​", "\x01"]
+    text = "".join(dice.choice(pieces) + dice.choice([" ", "\n", " \t ", "\x0b", "\x0c"]) for _ in range(4000))
+    counter, plain = token_counts.Counter(open(WORDS).read()), Tokenizer.from_file(WORDS)
+    wanted = len(plain.encode(text, add_special_tokens=False).ids)
+    assert token_counts.spliced_count(text, counter.encode, 300, 40) == wanted
+    assert counter.counts([text.encode(), b"", text[:50].encode()])[0] == wanted and counter.spliced == 1
+    met, own = [], counter.encoder._ids
+    counter.encoder._ids = lambda texts: met.extend(texts) or own(texts)
+    assert counter.counts([text.encode()]) == [wanted] and not [w for t in met for w in t.split()]
