@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.operators.evaluation import split_by_key
+from tallyspark.sources.tables import saved
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -75,23 +76,24 @@ def importance(df: DataFrame, features: list[str], label: str, seed: int = 42) -
 def team_strengths(goals: DataFrame, shrink: float = 1e-3) -> tuple[DataFrame, float]:
     """team, played, attack, defence, strongest attack first, and the factor that playing at home puts on goals: a
     Poisson regression of goals on the side's team, the other's and the place, from rows (team, opponent, goals,
-    is_home). Attack and defence are differences to the mean team; a good defence is above 0. What comes to the driver
-    is a coefficient per team; Spark fits up to 4096 of them."""
-    at = goals.withColumn("home", F.col("is_home").cast("double"))
-    teams = at.select(F.col("team").cast("string").alias("team")).unionByName(at.select(F.col("opponent").cast("string").alias("team"))).distinct()
+    is_home). Attack and defence are differences to the mean team; a good defence is above 0. Rows are added up by sides
+    and place and written first: the fit needs no more of them than how many there are and their mean, so its turns read
+    pairs of teams and not matches. What comes to the driver is a coefficient per team; Spark fits up to 4096 of them."""
+    sides = [F.col("team").cast("string").alias("team"), F.col("opponent").cast("string").alias("opponent"), F.col("is_home").cast("double").alias("home")]
+    at = saved(goals.groupBy(*sides).agg(F.count("*").cast("double").alias("n"), F.avg("goals").alias("label")), "pairs")
+    teams = at.select("team").unionByName(at.select(F.col("opponent").alias("team"))).distinct()
     indexer = StringIndexer(inputCol="team", outputCol="i", stringOrderType="alphabetAsc").fit(teams)
-    named = at.withColumn("team", F.col("team").cast("string")).withColumn("opponent", F.col("opponent").cast("string"))
-    coded = indexer.setInputCol("team").setOutputCol("a").transform(named)
+    coded = indexer.setInputCol("team").setOutputCol("a").transform(at)
     coded = indexer.setInputCol("opponent").setOutputCol("d").transform(coded)
     n = len(indexer.labels)
     encoder = OneHotEncoder(inputCols=["a", "d"], outputCols=["av", "dv"], dropLast=False).fit(indexer.setInputCol("team").setOutputCol("a").transform(teams).withColumn("d", F.col("a")))
-    data = VectorAssembler(inputCols=["av", "dv", "home"], outputCol="features").transform(encoder.transform(coded)).select("features", F.col("goals").cast("double").alias("label")).persist()
-    model = GeneralizedLinearRegression(family="poisson", link="log", regParam=shrink, maxIter=50).fit(data)
+    data = VectorAssembler(inputCols=["av", "dv", "home"], outputCol="features").transform(encoder.transform(coded)).select("features", "label", "n").persist()
+    model = GeneralizedLinearRegression(family="poisson", link="log", weightCol="n", regParam=shrink, maxIter=50).fit(data)
     data.unpersist()
     c = model.coefficients.toArray()
     attack, defence = c[:n] - c[:n].mean(), -(c[n : 2 * n] - c[n : 2 * n].mean())
     found = goals.sparkSession.createDataFrame([(t, float(x), float(y)) for t, x, y in zip(indexer.labels, attack, defence)], "team string, attack double, defence double")
-    played = named.groupBy("team").agg(F.count("*").alias("played"))
+    played = at.groupBy("team").agg(F.sum("n").cast("long").alias("played"))
     return found.join(played, "team").orderBy(F.desc("attack"), "team"), exp(float(c[2 * n]))
 
 

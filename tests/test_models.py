@@ -183,3 +183,12 @@ def test_strengths_of_each_scope_are_those_of_its_own_rows(spark):
             assert abs(miss[by[0]].sum() / len(mine) + 1e-3 * attack[t]) < 1e-6
             assert abs(miss[by[1]].sum() / len(mine) - 1e-3 * defence[t]) < 1e-6
         assert own["0"].played == 2 * 6 * (4 + s) and attack[str(4 + s)] > attack["0"]
+
+
+def test_team_strengths_are_fitted_on_pairs_of_teams(spark, monkeypatch):
+    """However many matches two teams played, the fit reads a row for them and a place."""
+    sizes, fit = [], M.GeneralizedLinearRegression.fit
+    monkeypatch.setattr(M.GeneralizedLinearRegression, "fit", lambda self, data: sizes.append(data.count()) or fit(self, data))
+    rows = [(a, b, (k + len(a)) % 3, k % 2 == 0) for k in range(50) for a, b in (("x", "yy"), ("yy", "x"))]
+    found, _ = M.team_strengths(spark.createDataFrame(rows, "team string, opponent string, goals int, is_home boolean"))
+    assert sizes == [4] and {r.team: r.played for r in found.collect()} == {"x": 50, "yy": 50}
