@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.sources.tables import saved
 
 #: What a side's earlier matches add up to: points, and goals, expected goals and shots for and against.
 RUNNING = ("points", "gf", "ga", "xgf", "xga", "sf", "sa")
@@ -31,7 +32,9 @@ def sides(games: DataFrame) -> DataFrame:
 def form_features(games: DataFrame, least: int = 4) -> DataFrame:
     """A row per match of which both sides have played least earlier ones in the season: means of RUNNING over strictly
     earlier matches (h_ and a_), their differences (d_), the difference of net expected goals, and y (0 home won, 1
-    draw, 2 away won). A team's season is what a window holds."""
+    draw, 2 away won). A team's season is what a window holds. games is written first and read from there, as both
+    sides and the result come from it."""
+    games = saved(games, "games")
     earlier = Window.partitionBy("season", "team").orderBy("at", "match_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = sides(games)
     means = rows.select("match_id", "side", F.count("*").over(earlier).alias("played"), *[(F.sum(c).over(earlier) / F.count("*").over(earlier)).alias(c) for c in RUNNING])

@@ -23,9 +23,9 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def outcome_model(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Rows with p_* per class: standardised multinomial logistic regression fitted on rows where is_test is false. The
-    training rows are assembled once and kept for both fits."""
-    data = _assembled(df, features)
+    """Rows with p_* per class: standardised multinomial logistic regression fitted on rows where is_test is false. Rows are
+    written first, so that the fits and the prediction don't make them again; the training rows are kept for both fits."""
+    data = _assembled(saved(df, "rows"), features)
     train = data.filter("not is_test").persist()
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
     model = LogisticRegression(labelCol=label, maxIter=50, regParam=0.01).fit(scaler.transform(train))

@@ -192,3 +192,10 @@ def test_team_strengths_are_fitted_on_pairs_of_teams(spark, monkeypatch):
     rows = [(a, b, (k + len(a)) % 3, k % 2 == 0) for k in range(50) for a, b in (("x", "yy"), ("yy", "x"))]
     found, _ = M.team_strengths(spark.createDataFrame(rows, "team string, opponent string, goals int, is_home boolean"))
     assert sizes == [4] and {r.team: r.played for r in found.collect()} == {"x": 50, "yy": 50}
+
+
+def test_outcome_model_reads_written_rows(spark):
+    """What the rows come from is not made again for each fit and the prediction."""
+    rows = [(k, float(k % 3), float(k % 7), k % 4 == 0) for k in range(80)]
+    found = M.outcome_model(spark.createDataFrame(rows, "k int, y double, x double, is_test boolean"), ["x"], "y")
+    assert found.count() == 80 and found.inputFiles() and all("/rows-" in f for f in found.inputFiles())
