@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import exact_dedup, jaccard, mixing, pii, simhash, substring_dedup, token_counts
+from tallyspark.llm import common, exact_dedup, jaccard, mixing, pii, simhash, substring_dedup, token_counts
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
 WORDS = tokenizers_files.path("word_bpe_49k.json")
@@ -305,3 +305,17 @@ def test_chunks_are_counted_from_remembered_words():
     met, own = [], counter.encoder._ids
     counter.encoder._ids = lambda texts: met.extend(texts) or own(texts)
     assert counter.counts([text.encode()]) == [wanted] and not [w for t in met for w in t.split()]
+
+
+def test_scratch_tables_leave_no_shuffles(spark):
+    """Shuffles of a step that was written would lie on disk until the driver collects garbage."""
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith(".data")}
+    setting = spark.conf.get(common.FREED, None)
+    before, scratch = files(), common.Scratch(spark, "test")
+    dealt = spark.range(2000).repartition(3, "id")
+    assert scratch.save(dealt, "dealt").count() == 2000
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(common.FREED, None) == setting
+    assert scratch.save(dealt.groupBy((F.col("id") % 7).alias("k")).count(), "counted").count() == 7 and dealt.count() == 2000
