@@ -56,7 +56,7 @@ def league_tables(spark, sf):
     complete = B.fixtures(spark, sf).groupBy("season").agg(F.count("*").alias("n")).filter("n >= 100")
     games = B.scorelines(spark, sf).join(complete.select("season"), "season", "left_semi")
     side = lambda home: F.sort_array(F.collect_list(F.when(F.col("is_home") == home, F.col("xg100")))).alias("home_xg" if home else "away_xg")
-    shots = B.league(spark, sf).groupBy("match_id").agg(side(True), side(False))
+    shots = B.lines(spark, sf).groupBy("match_id").agg(side(True), side(False))
     shots = shots.select("match_id", *[F.transform(c, lambda x: x / F.lit(100.0)).alias(c) for c in ("home_xg", "away_xg")])
     out = M.league_tables(shots, games).orderBy("season", F.desc("points"), F.desc(F.col("gf") - F.col("ga")), "team")
     rounded = lambda c, shift=0: S.half_up(F.col(c) + shift, 4).alias(c)
