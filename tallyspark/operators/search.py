@@ -86,7 +86,7 @@ def centroid(df: DataFrame, vector: str) -> DataFrame:
 
 def shared_tokens(names: DataFrame, name: str, most: int = 3) -> DataFrame:
     """Words that stand in more than `most` rows and so point to nobody."""
-    return names.select(F.explode(F.array_distinct(S.words(F.col(name)))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    return names.select(F.explode(S.distinct_words(F.col(name))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > most)
 
 
 def unique_lookup(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
