@@ -127,12 +127,12 @@ METRIC_PHRASES = {
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _metrics(folded: pd.Series) -> pd.Series:
-    longest = sorted(((p, m) for m, ps in METRIC_PHRASES.items() for p in ps), key=lambda x: -len(x[0]))
+    longest = sorted(((p, m, re.compile(rf"\b{p}\b")) for m, ps in METRIC_PHRASES.items() for p in ps), key=lambda x: -len(x[0]))
 
     def named(text: str) -> list[str]:
         spots: dict[str, int] = {}
-        for phrase, metric in longest:
-            if hit := re.search(rf"\b{phrase}\b", text):
+        for phrase, metric, whole in longest:
+            if phrase in text and (hit := whole.search(text)):  # most phrases are in no question
                 spots.setdefault(metric, hit.start())
                 text = text[: hit.start()] + "\0" * len(phrase) + text[hit.end() :]  # ground taken by the longer phrase
         return sorted(spots, key=spots.get)[:3]
