@@ -37,7 +37,9 @@ def classify(df: DataFrame, features: list[str], label: str, key: str, least: in
     """Rows of classes with at least `least` rows, with is_test, predicted class, confidence and p (an array by class in
     order of name). A share of keys is held out whole; the forest is fitted on the other rows. Each class's probability
     is calibrated by an isotonic regression that a further fifth of the training keys, which the forest does not see,
-    is put aside for; what is calibrated is brought back to a sum of 1."""
+    is put aside for; what is calibrated is brought back to a sum of 1. df is written first and read from there, as its
+    classes, their index and the rows come from it."""
+    df = saved(df, "classed")
     common = df.groupBy(label).count().filter(F.col("count") >= least).select(label)
     data = _assembled(df.join(common, label, "left_semi"), features).withColumnRenamed("raw", "features")
     data = data.withColumn("is_test", split_by_key(F.col(key), held_out, seed)).withColumn("__aside", split_by_key(F.col(key), 0.2, seed + 1))
