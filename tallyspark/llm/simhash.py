@@ -15,6 +15,7 @@ the rows and random fingerprints look small when compressed, so both sides are d
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -41,11 +42,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    ones = np.zeros(64, np.int64)
     lasts = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest, seed = xxhash.xxh64_intdigest, SEED
-    for k in range(0, n, BITS_AT_ONCE):
-        hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts[k : k + BITS_AT_ONCE].tolist(), lasts[k : k + BITS_AT_ONCE].tolist())], ">u8")
+    parts = ([digest(line[a:b], seed) for a, b in zip(starts[k : k + BITS_AT_ONCE].tolist(), lasts[k : k + BITS_AT_ONCE].tolist())] for k in range(0, n, BITS_AT_ONCE))
+    return majority(n, (np.array(part, ">u8") for part in parts))
+
+
+def majority(n: int, parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of n hashes, given as big-endian parts."""
+    ones = np.zeros(64, np.int64)
+    for hashes in parts:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
