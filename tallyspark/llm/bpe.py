@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by a two-tier lookup.
 
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is a token as a whole costs one probe and one
-comparison. Tier two merges the rest by a heap over linked bytes, whose pair ranks are looked up in the same hash.
+comparison. Tier two merges the rest by a heap over linked bytes; which pairs of tokens make another, and its rank, is
+looked up in the same hash once, for all ways to cut a token in two.
 Each task splits whole texts by the pattern, looks distinct pre-tokens up once a batch, and spreads the ids over the
 text with array operations; nothing is shuffled. What is broadcast is the vocabulary, whose size its file fixes.
 """
@@ -10,10 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import uuid
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -30,7 +31,7 @@ from tallyspark.llm.common import documents, text_of
 #: Characters of text looked up together, and pre-tokens of one text held together.
 BATCH_CHARS, BATCH_PIECES = 500_000, 200_000
 #: Distinct pre-tokens that a worker remembers, and ids of theirs, each standing for a few bytes of pre-token.
-REMEMBERED, REMEMBERED_IDS = 200_000, 1_000_000
+REMEMBERED, REMEMBERED_IDS = 600_000, 3_000_000
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -92,7 +93,8 @@ class PerfectHash:
 
 
 class Vocabulary:
-    """What is broadcast: the hash, and each slot's rank, which is also the token's id."""
+    """What is broadcast: the hash, each slot's rank, which is also the token's id, and the pairs of tokens that make
+    another, as left << 32 | right, with its rank."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = pattern
@@ -100,13 +102,18 @@ class Vocabulary:
         self.ids = [ranks[k] for k in self.hash.keys]
         self.bytes_of = {ranks[k]: k for k in ranks}
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        halves = [(token[:k], token[k:], rank) for token, rank in ranks.items() for k in range(1, len(token))]
+        left, right = (np.array(self.hash.slots([h[side] for h in halves]), np.int64) for side in (0, 1))
+        both, ids = (left >= 0) & (right >= 0), np.array(self.ids, np.int64)
+        self.pair_keys = ids[left[both]] << 32 | ids[right[both]]
+        self.pair_ranks = np.array([h[2] for h in halves], np.int64)[both]
 
 
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.find = regex.compile(vocabulary.pattern)
-        self.pairs: dict[int, int] = {}
+        self.pairs = dict(zip(vocabulary.pair_keys.tolist(), vocabulary.pair_ranks.tolist(), strict=True))
         self._forget()
 
     def _forget(self) -> None:
@@ -114,39 +121,40 @@ class Codec:
         self.flat = array("I")
         self.starts = array("q", [0])
 
-    def _rank(self, left: int, right: int) -> int:
-        """Rank of the token that two tokens make together, -1 if they make none."""
-        at = left << 32 | right
-        rank = self.pairs.get(at)
-        if rank is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            s = self.v.hash.slot(self.v.bytes_of[left] + self.v.bytes_of[right])
-            rank = self.pairs[at] = self.v.ids[s] if s >= 0 else -1
-        return rank
-
     def merged(self, piece: bytes) -> list[int]:
-        """Tier two: of all neighbours the pair of the lowest rank merges first, the leftmost of equals."""
-        ids = [self.v.byte_ids[b] for b in piece]
+        """Tier two: of all neighbours the pair of the lowest rank merges first, the leftmost of equals. The heap holds
+        rank << 32 | place; rank_at tells which entries still stand for a pair."""
+        ids = list(map(self.v.byte_ids.__getitem__, piece))
         n = len(ids)
+        rank = self.pairs.get
+        rank_at = [rank(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
+        heap = [r << 32 | i for i, r in enumerate(rank_at) if r >= 0]
+        if not heap:
+            return ids
+        heapify(heap)
+        rank_at.append(-1)  # nothing follows the last
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = self._rank
-        heap = [(r, i) for i in range(n - 1) if (r := rank(ids[i], ids[i + 1])) >= 0]
-        heapq.heapify(heap)
         while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n or rank(ids[i], ids[j]) != r:
+            top = heappop(heap)
+            r, i = top >> 32, top & 0xFFFFFFFF
+            if rank_at[i] != r:
                 continue  # one of the two has merged with another since
-            ids[i], ids[j] = r, -1
-            k = after[i] = after[j]
+            j = after[i]
+            k = after[j]
+            ids[i], ids[j], rank_at[j] = r, -1, -1
+            after[i] = k
             if k < n:
                 before[k] = i
-                if (r := rank(ids[i], ids[k])) >= 0:
-                    heapq.heappush(heap, (r, i))
+                rank_at[i] = x = rank(r << 32 | ids[k], -1)
+                if x >= 0:
+                    heappush(heap, x << 32 | i)
+            else:
+                rank_at[i] = -1
             h = before[i]
-            if h >= 0 and (r := rank(ids[h], ids[i])) >= 0:
-                heapq.heappush(heap, (r, h))
+            if h >= 0:
+                rank_at[h] = x = rank(ids[h] << 32 | r, -1)
+                if x >= 0:
+                    heappush(heap, x << 32 | h)
         return [x for x in ids if x >= 0]
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
